@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, dac, tokcount
+from . import bpe, dac, decontam, neardup, quality, tokcount, urlfilter
 from .common import table
 
 
@@ -14,6 +14,14 @@ def tokenizer_file(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op2_dart_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -22,6 +30,10 @@ def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(bpe.decode(coded, ranks))
 
 
+def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokcount.count_tokens(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"))
 
@@ -32,13 +44,22 @@ def op9_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dac.read_checks(files)
 
 
+def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    return urlfilter.evaluate(urlfilter.page_times(pages), urlfilter.host_list(pages))
+
+
 QUERIES = {
+    "op1_quality_rules": op1_quality_rules,
+    "op2_dart_minhash": op2_dart_minhash,
     "op5_byte_bpe": op5_byte_bpe,
+    "op6_decontamination": op6_decontamination,
     "op8_token_counts": op8_token_counts,
     "op9_token_ids": op9_token_ids,
+    "op10_url_filters": op10_url_filters,
 }
 
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {"op6_decontamination": decontam.ORACLE, "op10_url_filters": urlfilter.ORACLE}
 
 
 def stage_encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
