@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, dac, decontam, neardup, quality, tokcount, urlfilter
+from . import ann, bpe, dac, decontam, neardup, quality, tokcount, urlfilter
 from .common import table
 
 
@@ -22,6 +22,11 @@ def op2_dart_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op3_collision_counting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return ann.nearest(vectors, vectors.where("vec_id % 50 = 0"))
+
+
 def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -52,6 +57,7 @@ def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
     "op2_dart_minhash": op2_dart_minhash,
+    "op3_collision_counting": op3_collision_counting,
     "op5_byte_bpe": op5_byte_bpe,
     "op6_decontamination": op6_decontamination,
     "op8_token_counts": op8_token_counts,
