@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import ann, bpe, dac, decontam, neardup, quality, tokcount, urlfilter
-from .common import table
+from . import ann, bpe, dac, decontam, lm, neardup, quality, tokcount, urlfilter, warc
+from .common import new_path, table
 
 
 def tokenizer_file(name: str) -> str:
@@ -27,6 +28,14 @@ def op3_collision_counting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.nearest(vectors, vectors.where("vec_id % 50 = 0"))
 
 
+def op4_warc_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pages have no time; it is page_id seconds after the start of 2024."""
+    at = F.date_format(F.timestamp_seconds(F.lit(1704067200) + F.col("page_id")), "yyyy-MM-dd'T'HH:mm:ss'Z'")
+    captures = table(spark, sf_dir, "pages").select("page_id", "url", at.alias("captured_at"), "html")
+    index = warc.merge_index(warc.write_archives(captures, new_path(spark, "warc")))
+    return warc.read_archives(index).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -39,6 +48,10 @@ def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op7_deleted_interpolation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score_texts(table(spark, sf_dir, "documents"))
+
+
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokcount.count_tokens(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"))
 
@@ -58,14 +71,20 @@ QUERIES = {
     "op1_quality_rules": op1_quality_rules,
     "op2_dart_minhash": op2_dart_minhash,
     "op3_collision_counting": op3_collision_counting,
+    "op4_warc_index": op4_warc_index,
     "op5_byte_bpe": op5_byte_bpe,
     "op6_decontamination": op6_decontamination,
+    "op7_deleted_interpolation": op7_deleted_interpolation,
     "op8_token_counts": op8_token_counts,
     "op9_token_ids": op9_token_ids,
     "op10_url_filters": op10_url_filters,
 }
 
-ORACLE: dict[str, str] = {"op6_decontamination": decontam.ORACLE, "op10_url_filters": urlfilter.ORACLE}
+ORACLE: dict[str, str] = {
+    "op4_warc_index": warc.ORACLE,
+    "op6_decontamination": decontam.ORACLE,
+    "op10_url_filters": urlfilter.ORACLE,
+}
 
 
 def stage_encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
