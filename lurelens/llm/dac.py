@@ -35,7 +35,7 @@ from .common import filesystem, new_path, put_file, tune
 from .tokcount import id_encoder
 
 MAGIC, CHUNK_BITS, RUN = b"LLDAC001", 8, 512
-HEADER = struct.Struct("<8sIIqqII")
+HEADER = "<8sIIqqII"
 
 
 def _padded(data: bytes) -> bytes:
@@ -53,7 +53,7 @@ def pack(doc_ids: np.ndarray, offsets: np.ndarray, ids: np.ndarray) -> Iterator[
         ranks = np.concatenate((np.zeros(1, np.uint32), np.cumsum(ones)[:-1].astype(np.uint32))) if len(ones) else ones
         levels.append((len(rest), (rest & 0xFF).astype(np.uint8).tobytes(), bits, ranks.astype("<u4").tobytes()))
         rest = rest[goes_on] >> CHUNK_BITS
-    yield HEADER.pack(MAGIC, 1, CHUNK_BITS, len(doc_ids), len(ids), len(levels), 0)
+    yield struct.pack(HEADER, MAGIC, 1, CHUNK_BITS, len(doc_ids), len(ids), len(levels), 0)
     yield doc_ids.astype("<i8").tobytes()
     yield offsets.astype("<i8").tobytes()
     for n, chunks, bits, ranks in levels:
@@ -67,10 +67,10 @@ class DacFile:
     """Reads the bytes of a file (``bytes``, or a memory map) without decoding it."""
 
     def __init__(self, data):
-        magic, version, bits, docs, self.n, levels, _ = HEADER.unpack_from(data)
+        magic, version, bits, docs, self.n, levels, _ = struct.unpack_from(HEADER, data)
         if (magic, version, bits) != (MAGIC, 1, CHUNK_BITS):
             raise ValueError("not a file of directly addressable codes")
-        at = HEADER.size
+        at = struct.calcsize(HEADER)
 
         def take(kind: str, count: int) -> np.ndarray:
             nonlocal at

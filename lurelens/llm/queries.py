@@ -87,6 +87,32 @@ ORACLE: dict[str, str] = {
 }
 
 
+
+# Stages of the corpus pipeline.  Each takes the documents that the stage before it kept; the query's rows decide.
+
+
+def _kept(docs: DataFrame, decided: DataFrame) -> DataFrame:
+    """The documents without the rejected ids of ``decided`` (doc_id); documents with a null id stay."""
+    return docs.join(decided.where("doc_id is not null").distinct(), "doc_id", "left_anti")
+
+
+def stage_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents without those that the quality rules reject."""
+    scored = quality.score_quality(docs, table(spark, sf_dir, "labels"))
+    return _kept(docs, scored.where("predicted = 0").select("doc_id"))
+
+
+def stage_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document, the one of the least id, of each group of near duplicates."""
+    return _kept(docs, neardup.near_duplicates(docs).where("not is_kept").select("doc_id"))
+
+
+def stage_decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents without those in which a window of a benchmark item occurs."""
+    found = decontam.contamination(docs, table(spark, sf_dir, "benchmark"))
+    return _kept(docs, found.where("contaminated").select("doc_id"))
+
+
 def stage_encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id and ids of every document left."""
     import public_tokenizers
