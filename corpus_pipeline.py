@@ -4,9 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lurelens.llm.queries import stage_encode
+from lurelens.llm.queries import stage_decontaminate, stage_encode, stage_near_duplicates, stage_quality
 
-STAGES = [("encode", stage_encode)]
+STAGES = [
+    ("quality classifier", stage_quality),
+    ("minhash near-dedup", stage_near_duplicates),
+    ("benchmark decontamination", stage_decontaminate),
+    ("byte-level bpe", stage_encode),
+]
 
 # Rule fitting, hashing and merging cannot be told in SQL; tests hold the stages against brute force.
 ORACLE_SQL = None
@@ -18,5 +23,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = keep(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        docs = keep(stage(spark, docs, sf_dir), f"pipeline-{name.replace(' ', '-')}")
     return STAGES[-1][1](spark, docs, sf_dir)
