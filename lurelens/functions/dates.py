@@ -18,7 +18,8 @@ def observation_date(x: Column, today: Column) -> Column:
 
 def age_days(created: Column, observed: Column) -> Column:
     """Days since; at least 0; -1 if unknown."""
-    return F.coalesce(F.greatest(F.datediff(observed, created), F.lit(0)), F.lit(UNKNOWN))
+    days = F.datediff(observed, created)
+    return F.when(days < 0, 0).otherwise(F.coalesce(days, F.lit(UNKNOWN)))
 
 
 def expiry_days(expires: Column, observed: Column) -> Column:
@@ -28,7 +29,8 @@ def expiry_days(expires: Column, observed: Column) -> Column:
 
 def age_exact(created: Column, now: Column) -> Column:
     """Whole days between two instants, at least 0; -1 if unknown."""
-    return F.coalesce(F.greatest(F.floor((F.unix_timestamp(now) - F.unix_timestamp(created)) / 86400), F.lit(0)), F.lit(UNKNOWN)).cast("int")
+    days = F.floor((F.unix_timestamp(now) - F.unix_timestamp(created)) / 86400)
+    return F.when(days < 0, 0).otherwise(F.coalesce(days, F.lit(UNKNOWN))).cast("int")
 
 
 def expiry_exact(expires: Column, now: Column) -> Column:

@@ -89,12 +89,12 @@ def registered_domain(host: Column, suffixes: tuple[str, ...] = SUFFIXES) -> Col
 def domain_label(host: Column, suffixes: tuple[str, ...] = SUFFIXES) -> Column:
     """The label before the suffix; without a known suffix the last label; "" if the host is a suffix; an address whole."""
     known = _suffixes(suffixes)
-    return F.regexp_replace(host, rf"^(?:(?:.*?\.)??([^.]+)\.(?:{known})|(?:{known})|({_ADDRESS})|(?:.*\.)?([^.]*))$", "$1$2$3")
+    return F.regexp_replace(host, rf"^(?:(?:{known})|(?:.*?\.)??([^.]+)\.(?:{known})|({_ADDRESS})|(?:.*\.)?([^.]*))$", "$1$2$3")
 
 
 def subdomain(host: Column, suffixes: tuple[str, ...] = SUFFIXES) -> Column:
     known = _suffixes(suffixes)
-    return F.regexp_replace(host, rf"^(?:(?:(.*?)\.)??[^.]+\.(?:{known})|(?:{known})|{_ADDRESS}|(.*)\.[^.]*|.*)$", "$1$2")
+    return F.regexp_replace(host, rf"^(?:(?:{known})|(?:(.*?)\.)??[^.]+\.(?:{known})|{_ADDRESS}|(.*)\.[^.]*|.*)$", "$1$2")
 
 
 def subdomain_depth(host: Column, suffixes: tuple[str, ...] = SUFFIXES) -> Column:

@@ -23,6 +23,10 @@ REGISTRATION = "registered_domain string, creation_date timestamp, expiration_da
 HTTP = "url string, html string, final_url string, status_code int, fetch_success int, redirect_count int, redirect_cross_domain_count int, content_type string, error string, status string"
 HOSTING = "ip string, asn_org string, status string, error string"
 ASSETS = "origin string, favicon_url string, favicon binary, logo binary"
+LEXICAL = (
+    "lexical_similarity_score", "min_edit_distance_to_brand_domain", "homoglyph_similarity_score", "brand_token_in_subdomain", "brand_token_in_path",
+    "brand_not_in_registered_domain", "subdomain_depth", "matched_brand_domain", "registered_domain",
+)
 TABLES = {"dns": DNS, "tls": TLS, "registration": REGISTRATION, "http": HTTP, "hosting": HOSTING, "assets": ASSETS}
 
 
@@ -145,7 +149,7 @@ def feature_rows(rows: DataFrame, brands: DataFrame, s: Settings, given: dict[st
     tables = evidence(spark, given)
     references = references or {}
     today = F.to_date(F.lit(s.observation_date))
-    base = rows.withColumn("url", T.ensure_url("url")).drop("host", "target", "matched_brand_domain", "registered_domain", "brand_token_list")
+    base = rows.withColumn("url", T.ensure_url("url")).drop("host", "target", "brand_token_list", *LEXICAL)  # of the match before
     base = lexical_features(base, brands, s).withColumn("_row", F.monotonically_increasing_id())
     base = lookup(base, tables["dns"], "host", F.col("host"), "d_")
     base = lookup(base, tables["registration"], "registered_domain", F.col("registered_domain"), "r_")
@@ -182,7 +186,7 @@ def feature_rows(rows: DataFrame, brands: DataFrame, s: Settings, given: dict[st
         "url": F.col("url"), "domain": F.col("host"), "target_brand_domain": F.col("target"), "critical_sector_entity_name": F.col("cse_name"),
         "source_label": T.source_label("source_label"), "source_file": F.col("source_file"), "source_row": F.col("source_row"),
         **T.url_shape(F.col("url"), F.col("host")),
-        **{c: F.col(c) for c in ("lexical_similarity_score", "min_edit_distance_to_brand_domain", "homoglyph_similarity_score", "brand_token_in_subdomain", "brand_token_in_path", "brand_not_in_registered_domain", "subdomain_depth", "matched_brand_domain", "registered_domain")},
+        **{c: F.col(c) for c in LEXICAL},
         "dns_check_pass": F.coalesce("d_dns_check_pass", zero), "dns_resolves_to_ip": F.coalesce("d_dns_resolves_to_ip", zero), "resolved_ips": F.col("resolved_ips"),
         "cname_exists": F.coalesce("d_cname_exists", zero), "cname_chain_length": F.coalesce("d_cname_chain_length", zero),
         "nameserver_reputation_score": T.reputation(names, "nameserver"), "passive_dns_first_seen_days": unknown,
