@@ -1,8 +1,7 @@
 """Which brand a host imitates.
 
-The brand dimension goes to the tasks in blocks of a checked size; each distinct host is compared with a block in one
-Arrow call, so no host-brand pair is ever a row.  With one block, the usual case, the plan has no shuffle but the
-distinct of the hosts.
+The brand dimension goes to the tasks in blocks of a checked size; a row's host is compared with a block in one Arrow
+call, which remembers the hosts it has seen.  No host-brand pair is ever a row, and nothing is shuffled or joined.
 """
 
 from __future__ import annotations
@@ -85,16 +84,11 @@ def brand_table(brands: DataFrame, settings: Settings) -> DataFrame:
     return brands.select("domain", "name", T.registered_domain(host, s).alias("registered"), T.domain_stem(host, s).alias("stem"), T.domain_tokens(host, s).alias("tokens"), T.brand_tokens(host, F.col("name"), s).alias("own_tokens"))
 
 
-def _blocks(brands: DataFrame, settings: Settings) -> Iterator[list]:
+def brand_blocks(brands: DataFrame, settings: Settings) -> list[list]:
     """The brands in order of domain, in blocks of at most settings.broadcast_rows."""
-    held = []
-    for row in brand_table(brands, settings).orderBy("domain").toLocalIterator():
-        held.append(row)
-        if len(held) == settings.broadcast_rows:
-            yield held
-            held = []
-    if held:
-        yield held
+    rows = brand_table(brands, settings).orderBy("domain").collect()  # a dimension: what people maintain by hand
+    n = settings.broadcast_rows
+    return [rows[i : i + n] for i in range(0, len(rows), n)] or [[]]
 
 
 def _own(target: Column, settings: Settings) -> Column:
@@ -105,13 +99,17 @@ def _own(target: Column, settings: Settings) -> Column:
 def _comparer(listed: list[tuple], with_own: bool):
     def compare(parts: Iterator[tuple[pd.Series, pd.Series, pd.Series, pd.Series, pd.DataFrame]]) -> Iterator[pd.DataFrame]:
         known = [Brand(*b) for b in listed]
+        seen: dict[tuple, tuple] = {}
         for registered, stem, alnum, extra, own in parts:
             rows = []
-            for i in range(len(registered)):
-                first = []
-                if with_own and own["domain"].iloc[i]:
-                    first = [Brand(own["domain"].iloc[i], own["registered"].iloc[i], own["stem"].iloc[i], list(own["tokens"].iloc[i]))]
-                rows.append(Host(registered.iloc[i], stem.iloc[i], alnum.iloc[i]).best(first + known, list(extra.iloc[i])))
+            for r, st, al, ex, domain, own_r, own_s, own_t in zip(registered, stem, alnum, extra, own["domain"], own["registered"], own["stem"], own["tokens"], strict=True):
+                key = (r, st, al, tuple(ex), domain)
+                if key not in seen:
+                    if len(seen) > 100_000:
+                        seen.clear()
+                    first = [Brand(domain, own_r, own_s, list(own_t))] if with_own and domain else []
+                    seen[key] = Host(r, st, al).best(first + known, list(ex))
+                rows.append(seen[key])
             yield pd.DataFrame(rows, columns=["brand", "score", "distance", "homoglyph"])
 
     return pandas_udf(compare, BEST)
@@ -125,47 +123,36 @@ def _first_holder(listed: list[tuple]):
     return pandas_udf(first, "string")
 
 
-def best_brands(keys: DataFrame, brands: DataFrame, settings: Settings) -> DataFrame:
-    """For each distinct (host, target, cse_name): brand, score, distance, homoglyph, unrounded.
+def best_brands(rows: DataFrame, blocks: list[list], settings: Settings) -> DataFrame:
+    """``rows`` (host, target, cse_name, ...) with brand, score, distance and homoglyph, unrounded.
 
     The row's own target is compared first, then the brands by domain; a later one wins only with a higher score.
     """
     s = settings.suffixes
-    host, target = F.col("host"), F.col("target")
-    keyed = keys.select("host", "target", "cse_name").distinct()
-    shown = keyed.select("*", T.registered_domain(host, s).alias("r"), T.domain_stem(host, s).alias("st"), T.alnum(host).alias("al"), T.tokens(T.clean("cse_name")).alias("extra"), _own(target, settings).alias("own"))
-    results = []
-    for number, block in enumerate(list(_blocks(brands, settings)) or [[]]):
+    host = F.col("host")
+    inputs = (T.registered_domain(host, s), T.domain_stem(host, s), T.alnum(host), T.tokens(T.clean("cse_name")), _own(F.col("target"), settings))
+    names = []
+    for number, block in enumerate(blocks):
         listed = [(b["domain"], b["registered"], b["stem"], list(b["tokens"])) for b in block]
-        best = _comparer(listed, number == 0)("r", "st", "al", "extra", "own").alias("best")
-        results.append(shown.select("host", "target", "cse_name", F.lit(number).alias("block"), best))
-    if len(results) == 1:
-        return results[0].select("host", "target", "cse_name", "best.*")
-    every = results[0]
-    for more in results[1:]:
-        every = every.union(more)
-    top = every.groupBy("host", "target", "cse_name").agg(F.max_by("best", F.struct("best.score", -F.col("block"))).alias("best"))
-    return top.select("host", "target", "cse_name", "best.*")
-
-
-def first_token_brands(keys: DataFrame, brands: DataFrame, settings: Settings) -> DataFrame:
-    """For each distinct ``url_alnum``: token_brand, the first brand by domain that has a token in it; else null."""
-    keyed = keys.select("url_alnum").distinct()
-    every = None
-    for block in list(_blocks(brands, settings)) or [[]]:
-        listed = [(b["domain"], list(b["own_tokens"])) for b in block]
-        one = keyed.select("url_alnum", _first_holder(listed)("url_alnum").alias("token_brand"))
-        every = one if every is None else every.union(one).groupBy("url_alnum").agg(F.min("token_brand").alias("token_brand"))
-    return every
-
-
-def lexical_features(rows: DataFrame, brands: DataFrame, settings: Settings) -> DataFrame:
+        names.append(f"_best{number}")
+        rows = rows.withColumn(names[-1], _comparer(listed, number == 0)(*inputs))
+    best = F.col(names[0])
+    for name in names[1:]:
+        best = F.when(F.col(f"{name}.score") > best["score"], F.col(name)).otherwise(best)
+    return rows.withColumn("_best", best).select("*", "_best.*").drop("_best", *names)
+
+
+def first_token_brand(url_alnum: Column, blocks: list[list]) -> Column:
+    """The first brand by domain that has a token, of its domain or name, in a text; else null."""
+    return F.coalesce(*(_first_holder([(b["domain"], list(b["own_tokens"])) for b in block])(url_alnum) for block in blocks))
+
+
+def lexical_features(rows: DataFrame, brands: DataFrame, settings: Settings, blocks: list[list] | None = None) -> DataFrame:
     """``rows`` (url, detected_domain, target_domain, cse_name, ...) with the lexical feature columns."""
     s = settings.suffixes
     keyed = rows.withColumn("host", T.hostname(F.when(T.clean("detected_domain") == "", F.col("url")).otherwise(F.col("detected_domain"))))
     keyed = keyed.withColumn("target", T.hostname("target_domain")).withColumn("cse_name", F.coalesce("cse_name", F.lit("")))
-    found = best_brands(keyed, brands, settings)
-    joined = keyed.join(found, ["host", "target", "cse_name"])
+    joined = best_brands(keyed, brand_blocks(brands, settings) if blocks is None else blocks, settings)
     host = F.col("host")
     named = F.when(F.col("brand") == "", F.col("target")).otherwise(F.col("brand"))
     joined = joined.withColumn("brand_token_list", T.brand_tokens(named, F.col("cse_name"), s))
@@ -187,16 +174,17 @@ def lexical_features(rows: DataFrame, brands: DataFrame, settings: Settings) ->
 def match_brands(rows: DataFrame, brands: DataFrame, settings: Settings) -> DataFrame:
     """``rows`` with match_domain, match_name (null if no brand of the list) and match_score: the lexical winner, unless a
     brand token in host and path scores more."""
-    lexical = lexical_features(rows, brands, settings)
-    lexical = lexical.withColumn("url_alnum", T.url_alnum(F.when(T.clean("url") == "", F.col("detected_domain")).otherwise(F.col("url"))))
-    lexical = lexical.join(first_token_brands(lexical, brands, settings), "url_alnum", "left")
+    blocks = brand_blocks(brands, settings)
+    lexical = lexical_features(rows, brands, settings, blocks)
+    url = T.url_alnum(F.when(T.clean("url") == "", F.col("detected_domain")).otherwise(F.col("url")))
+    lexical = lexical.withColumn("token_brand", first_token_brand(url, blocks))
     base = F.greatest("lexical_similarity_score", "homoglyph_similarity_score")
     override = F.col("token_brand").isNotNull() & (F.lit(TOKEN_OVERRIDE_SCORE) > base)
     picked = lexical.withColumn("match_score", F.when(override, F.lit(TOKEN_OVERRIDE_SCORE)).otherwise(base)).withColumn(
         "picked", F.when(override, F.col("token_brand")).otherwise(F.col("matched_brand_domain"))
     )
     named = brands.select(F.col("domain").alias("picked"), F.col("domain").alias("match_domain"), F.col("name").alias("match_name"))
-    return picked.join(named, "picked", "left").drop("picked", "url_alnum", "token_brand")
+    return picked.join(named, "picked", "left").drop("picked", "token_brand")
 
 
 def split_by_match(matched: DataFrame, settings: Settings, threshold: float | None = None) -> tuple[DataFrame, DataFrame]:

@@ -21,7 +21,7 @@ from .operators import counts as N
 from .operators import evidence as E
 from .operators import metrics as M
 from .operators import rules as R
-from .operators.match import best_brands, match_brands, split_by_match
+from .operators.match import best_brands, brand_blocks, match_brands, split_by_match
 from .plans import learn
 from .plans.enrich import imitation_report
 
@@ -150,8 +150,8 @@ def brand_imitation(spark, d):
 
 @query(_BEST + "SELECT host, brand, score, CAST(distance AS INTEGER) AS distance, homoglyph FROM fin")
 def lexical_match(spark, d):
-    hosts = _t(spark, d, "pages").select(T.hostname("url").alias("host"), F.lit("").alias("target"), F.lit("").alias("cse_name")).where("host <> ''")
-    best = best_brands(hosts, _brands(spark), SETTINGS)
+    hosts = _t(spark, d, "pages").select(T.hostname("url").alias("host"), F.lit("").alias("target"), F.lit("").alias("cse_name")).where("host <> ''").distinct()
+    best = best_brands(hosts, brand_blocks(_brands(spark), SETTINGS), SETTINGS)
     return best.select("host", "brand", F.round("score", 6).alias("score"), "distance", F.round("homoglyph", 6).alias("homoglyph"))
 
 
