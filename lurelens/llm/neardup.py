@@ -8,7 +8,7 @@ their weighted Jaccard similarity.  Only about k log k darts fall on a document,
 Bands of coordinates give buckets.  Within a bucket documents are compared with pivots only, never all with all.
 Jaccard distance is a metric, so after a round of exact comparisons a document near a pivot can link to no
 document that is farther from the pivot than its own distance and the threshold together; it leaves the bucket
-when there is none nearer.  What is left gets twice as many pivots in the next round.  Every link between
+when there is none nearer.  What is left gets eight times as many pivots in the next round.  Every link between
 candidates is thus found or follows from links found, whatever the size of a bucket.
 """
 
@@ -160,36 +160,46 @@ def links(signed: DataFrame, docs: DataFrame, id_col: str = "doc_id", text_col:
     reps = signed.groupBy("key").agg(F.min("doc_id").alias("node"))
     members = signed.select("doc_id", "key").join(reps, "key").select("doc_id", "node")
     alone = signed.join(reps, "key").where("doc_id = node").select("node", "n", F.explode("buckets").alias("bucket"))
-    shared = alone.groupBy("bucket").agg(F.count("*").alias("members")).where("members > 1").select("bucket")
-    left = keep(alone.join(shared, "bucket").groupBy("bucket", "node").agg(F.max("n").alias("n")), "buckets")
+    # Buckets of the same nodes say the same; one of them stays.  They are told by count and two 64-bit fingerprints.
+    marks = [F.bit_xor(F.xxhash64("node", F.lit(k))).alias(f"mark{k}") for k in range(2)]
+    shared = alone.groupBy("bucket").agg(F.count("*").alias("members"), *marks).where("members > 1")
+    shared = shared.groupBy("members", "mark0", "mark1").agg(F.min("bucket").alias("bucket")).select("bucket")
+    left = keep(alone.join(shared, "bucket").groupBy("bucket", "node").agg(F.max("n").alias("n")).withColumn("label", F.col("node")), "buckets")
     sets = keep(_sets(docs, left.select("node").distinct(), id_col, text_col, shingle, weighting), "sets")
     limit = 1.0 - threshold
     edges, pivots = None, 1
+    # ``label``: a node with which this one is linked already; nodes of one label need no comparison.
     while left.limit(1).count():
-        # The pivots of a bucket: the least node of each of ``pivots`` classes; the classes are few by choice.
-        chosen = left.groupBy("bucket", F.pmod(F.xxhash64("node"), F.lit(pivots)).alias("class")).agg(F.min(F.struct("node", "n")).alias("pivot"))
+        # The pivots of a bucket: the least node of each of ``pivots`` classes of labels; the classes are few by choice.
+        chosen = left.groupBy("bucket", F.pmod(F.xxhash64("label"), F.lit(pivots)).alias("class")).agg(F.min(F.struct("node", "n", "label")).alias("pivot"))
         chosen = chosen.groupBy("bucket").agg(F.collect_set("pivot").alias("pivots"))
-        pairs = left.join(chosen, "bucket").select("bucket", "node", "n", F.explode("pivots").alias("pivot")).where("node <> pivot.node")
+        pairs = left.join(chosen, "bucket").select("bucket", "node", "n", "label", F.explode("pivots").alias("pivot")).where("label <> pivot.label")
         pairs = pairs.select("bucket", "node", F.col("pivot.node").alias("pivot"), F.least("node", "pivot.node").alias("a"), F.greatest("node", "pivot.node").alias("b"), (F.least("n", "pivot.n") / F.greatest("n", "pivot.n")).alias("most"))
         wanted = pairs.where(F.col("most") >= threshold - 1e-9).select("a", "b").distinct()
         with_b = wanted.join(sets.select(F.col("node").alias("b"), F.col("elements").alias("eb")), "b")
         with_a = with_b.join(sets.select(F.col("node").alias("a"), F.col("elements").alias("ea")), "a")
         common = F.size(F.array_intersect("ea", "eb"))
         verified = with_a.select("a", "b", (common / (F.size("ea") + F.size("eb") - common)).alias("similarity"))
-        verified = verified.groupBy("a", "b").agg(F.max("similarity").alias("similarity"))
-        verified = keep(verified, "verified")
+        verified = keep(verified.groupBy("a", "b").agg(F.max("similarity").alias("similarity")), "verified")
         found = verified.where(F.col("similarity") >= threshold - 1e-12)
         edges = found if edges is None else edges.union(found)
         # Pairs of too unequal size have a similarity of at most ``most``.
-        measured = keep(pairs.join(verified, ["a", "b"], "left").select("bucket", "node", "pivot", (1.0 - F.coalesce("similarity", "most")).alias("distance")), "measured")
+        measured = pairs.join(verified, ["a", "b"], "left").select("bucket", "node", "pivot", (1.0 - F.coalesce("similarity", "most")).alias("distance"))
+        # New labels: the least label among a node and those it was found near to.
+        old = left.select("node", "label").distinct()
+        touched = found.select(F.col("a").alias("node"), F.col("b").alias("other")).union(found.select("b", "a"))
+        best = touched.join(old.select(F.col("node").alias("other"), F.col("label").alias("l")), "other").groupBy("node").agg(F.min("l").alias("l"))
+        labels = keep(old.join(best, "node", "left").select("node", F.least("label", F.coalesce("l", "label")).alias("label")), "labels")
+        measured = measured.join(labels, "node").join(labels.select(F.col("node").alias("pivot"), F.col("label").alias("pivot_label")), "pivot")
+        measured = keep(measured, "measured")
         near = F.col("distance") <= limit + 1e-12
-        gap = measured.where(~near).groupBy("bucket", "pivot").agg(F.min("distance").alias("gap"))
+        gap = measured.where(~near & (F.col("label") != F.col("pivot_label"))).groupBy("bucket", "pivot").agg(F.min("distance").alias("gap"))
         done = measured.where(near).join(gap, ["bucket", "pivot"], "left").where(F.col("gap").isNull() | (F.col("distance") + limit + 1e-9 < F.col("gap"))).select("bucket", "node")
         gone = done.union(chosen.select("bucket", F.explode("pivots.node").alias("node"))).distinct()
-        rest = left.join(gone, ["bucket", "node"], "left_anti")
-        many = rest.groupBy("bucket").agg(F.count("*").alias("members")).where("members > 1").select("bucket")
-        left = keep(rest.join(many, "bucket").select("bucket", "node", "n"), "buckets")
-        pivots *= 2
+        rest = left.drop("label").join(gone, ["bucket", "node"], "left_anti").join(labels, "node")
+        mixed = rest.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("bucket")
+        left = keep(rest.join(mixed, "bucket").select("bucket", "node", "n", "label"), "buckets")
+        pivots *= 8
     if edges is None:
         edges = docs.sparkSession.createDataFrame([], "a bigint, b bigint, similarity double")
     return members, edges
