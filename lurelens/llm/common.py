@@ -16,9 +16,11 @@ ARROW_BATCH_BYTES = 16 << 20
 
 
 def tune(spark: SparkSession) -> None:
-    """Bound the Arrow batches by bytes: texts of very unequal length share a batch."""
+    """Bound the Arrow batches by bytes, as texts of very unequal length share a batch, and the printed plans that the driver
+    keeps, as some hold a vocabulary."""
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BATCH_BYTES))
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4096")
+    spark.conf.set("spark.sql.maxPlanStringLength", "100000")
 
 
 def shared_dir(spark: SparkSession) -> str:

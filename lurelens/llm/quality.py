@@ -144,23 +144,25 @@ def tree_rules(x: np.ndarray, y: np.ndarray, trees: int, depth: int, bins: int,
 def lasso(z: np.ndarray, y: np.ndarray, penalty: float, steps: int) -> tuple[float, np.ndarray]:
     """Bias and weights of the l1-penalised logistic regression, by FISTA; the bias is free."""
     n, m = z.shape
-    w, bias = np.zeros(m), float(np.log((y.mean() + 1e-9) / (1 - y.mean() + 1e-9)))
+    y = y.astype(np.float32)
+    w, bias = np.zeros(m, np.float32), float(np.log((y.mean() + 1e-9) / (1 - y.mean() + 1e-9)))
     v, c, t = w.copy(), bias, 1.0
-    norm = np.ones(m) / np.sqrt(m)
+    norm = np.ones(m, np.float32) / np.float32(np.sqrt(m))
     for _ in range(12):
         norm = z.T @ (z @ norm)
         size = np.linalg.norm(norm) or 1.0
         norm /= size
     step = 4.0 * n / (size + n)
     for _ in range(steps):
-        error = 1 / (1 + np.exp(-(z @ v + c))) - y
+        error = (1 / (1 + np.exp(-(z @ v + np.float32(c)))) - y).astype(np.float32)
         new = v - step * (z.T @ error) / n
         new = np.sign(new) * np.maximum(np.abs(new) - step * penalty, 0)
         fresh = c - step * error.mean()
         nt = (1 + np.sqrt(1 + 4 * t * t)) / 2
-        v, c = new + (t - 1) / nt * (new - w), fresh + (t - 1) / nt * (fresh - bias)
+        new = new.astype(np.float32)
+        v, c = new + np.float32((t - 1) / nt) * (new - w), fresh + (t - 1) / nt * (fresh - bias)
         w, bias, t = new, fresh, nt
-    return bias, w
+    return float(bias), w.astype(np.float64)
 
 
 def fit(x: np.ndarray, y: np.ndarray, trees: int = 30, depth: int = 3, bins: int = 48, rate: float = 0.3, penalty: float = 3e-4, steps: int = 300, seed: int = 7) -> RuleModel:
@@ -179,12 +181,12 @@ def fit(x: np.ndarray, y: np.ndarray, trees: int = 30, depth: int = 3, bins: int
     rules = list(distinct.values())
     if not rules:
         return RuleModel(float(np.log((y.sum() + 1) / (len(y) - y.sum() + 1))))
-    z = np.column_stack([holds(r, x) for r in rules]).astype(np.float64)
+    z = np.column_stack([holds(r, x) for r in rules]).astype(np.float32)
     bias, w = lasso(z, y, penalty, steps)
     return RuleModel(bias, [(r, float(v)) for r, v in zip(rules, w, strict=True) if v])
 
 
-def score_quality(docs: DataFrame, labels: DataFrame, label_col: str = "quality", threshold: float = 0.7, most_labelled: int = 20_000) -> DataFrame:
+def score_quality(docs: DataFrame, labels: DataFrame, label_col: str = "quality", threshold: float = 0.7, most_labelled: int = 8_000) -> DataFrame:
     """(doc_id, held_out, score, predicted) for each row of ``docs``.
 
     The model learns from at most ``most_labelled`` labelled rows outside the held-out fold (crc32 of the id mod 4
