@@ -37,11 +37,12 @@ def read_ranks(path: str) -> dict[bytes, int]:
 def rank_table(ranks: dict[bytes, int]) -> Column:
     """The ranks as a literal array of maps: the map at crc32(token) mod BUCKETS has the token, in byte letters."""
     letters = byte_letters()
-    maps: list[dict[str, int]] = [{} for _ in range(BUCKETS)]
+    maps: dict[int, list[str]] = {}
     for token, rank in ranks.items():
         name = "".join(map(letters.__getitem__, token))
-        maps[zlib.crc32(name.encode()) % BUCKETS][name] = rank
-    return F.from_json(F.lit(json.dumps(maps, ensure_ascii=False)), "array<map<string,int>>")
+        maps.setdefault(zlib.crc32(name.encode()) % BUCKETS, []).append(f"{json.dumps(name, ensure_ascii=False)}:{rank}")
+    text = ",".join("{" + ",".join(maps.get(k, ())) + "}" for k in range(BUCKETS))
+    return F.from_json(F.lit(f"[{text}]"), "array<map<string,int>>")
 
 
 def _let(value: Column, body) -> Column:
@@ -99,7 +100,7 @@ def fold_word(word: Column, ranks: Column) -> Column:
     return _let(rank(word), lambda whole: F.when(whole != NO_RANK, F.array(whole)).otherwise(merged()))
 
 
-def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, id_col: str = "doc_id", text_col: str = "text", block_chars: int = 16 << 20) -> DataFrame:
+def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, id_col: str = "doc_id", text_col: str = "text", block_chars: int = 8 << 20) -> DataFrame:
     """One row (``id_col``, ids array<int>) for each row of ``docs``, in no fixed order.
 
     A null text is empty, and an empty text has no ids; repeated rows and null ids come back as they are; other
