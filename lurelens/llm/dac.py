@@ -99,9 +99,7 @@ class DacFile:
 
     def ids(self, start: int = 0, stop: int | None = None) -> np.ndarray:
         """The ids from start to stop (all), as uint32."""
-        stop = self.n if stop is None else stop
-        chunks, bits, ranks = self.levels[0]
-        return self._level(0, start, stop)
+        return self._level(0, start, self.n if stop is None else stop)
 
     def _level(self, level: int, start: int, stop: int) -> np.ndarray:
         chunks, bits, ranks = self.levels[level]

@@ -133,7 +133,7 @@ def signatures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def _sets(docs: DataFrame, nodes: DataFrame, id_col: str, text_col: str, shingle: int, weighting: str) -> DataFrame:
-    """(node, elements, counts) of the documents that are candidates; counts is null where all are 1."""
+    """(node, elements) of the documents that are candidates: the distinct shingles of each."""
     source = docs.select(F.col(id_col).cast("long").alias("node"), F.col(text_col).alias("text")).where("text is not null")
     source = source.join(nodes.select("node"), "node", "left_semi")
 
