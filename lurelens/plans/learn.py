@@ -42,7 +42,6 @@ class Trained:
     def save(self, path: str) -> None:
         self.model.write().overwrite().save(f"{path}/model")
         meta = json.dumps({"threshold": self.threshold, "features": self.features, "summary": self.summary}, default=str)
-        self.model.stages[-1]._java_obj  # a model always has a Java side  # noqa: B018
         SparkSession.getActiveSession().createDataFrame([(meta,)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/meta")
 
     @staticmethod
