@@ -157,11 +157,13 @@ def _sets(docs: DataFrame, nodes: DataFrame, id_col: str, text_col: str, shingle
 def links(signed: DataFrame, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, threshold: float = 0.8, weighting: str = "unit") -> tuple[DataFrame, DataFrame]:
     """(membership, edges): the node of each document, which is the least id with its words, and verified links
     (a, b, similarity) of nodes that hold every candidate pair at or over the threshold together."""
-    reps = signed.groupBy("key").agg(F.min("doc_id").alias("node"))
-    members = signed.select("doc_id", "key").join(reps, "key").select("doc_id", "node")
-    alone = signed.join(reps, "key").where("doc_id = node").select("node", "n", F.explode("buckets").alias("bucket"))
-    # Buckets of the same nodes say the same; one of them stays.  They are told by count and two 64-bit fingerprints.
-    marks = [F.bit_xor(F.xxhash64("node", F.lit(k))).alias(f"mark{k}") for k in range(2)]
+    # The key is of the words, which decide n and the buckets: one row stands for all of its key, however often one repeats.
+    reps = signed.groupBy("key").agg(F.min("doc_id").alias("node"), F.first("n").alias("n"), F.first("buckets").alias("buckets"))
+    members = signed.select("doc_id", "key").join(reps.select("key", "node"), "key").select("doc_id", "node")
+    alone = reps.select("key", "node", "n", F.explode("buckets").alias("bucket"))
+    # Buckets of the same keys say the same; one of them stays.  They are told by count and two 64-bit fingerprints,
+    # in which nothing cancels, as a key stands in a bucket once.
+    marks = [F.bit_xor(F.xxhash64("key", F.lit(k))).alias(f"mark{k}") for k in range(2)]
     shared = alone.groupBy("bucket").agg(F.count("*").alias("members"), *marks).where("members > 1")
     shared = shared.groupBy("members", "mark0", "mark1").agg(F.min("bucket").alias("bucket")).select("bucket")
     left = keep(alone.join(shared, "bucket").groupBy("bucket", "node").agg(F.max("n").alias("n")).withColumn("label", F.col("node")), "buckets")

@@ -125,6 +125,20 @@ def test_near_duplicates(spark):
     assert neardup.near_duplicates(docs_of(spark, [])).count() == 0
 
 
+def test_near_duplicates_of_repeated_rows(spark):
+    rng = np.random.default_rng(4)
+    word = lambda: "".join(rng.choice(list("abcdefgh"), 5))
+    texts = []
+    for _ in range(8):
+        base = [word() for _ in range(60)]
+        texts += [" ".join(base), " ".join([*base[:-1], word()]), " ".join([word(), *base[1:]])]
+    table = docs_of(spark, texts)
+    for repeated in (table.union(table), table.union(table.where("doc_id % 3 = 0"))):  # {A, A, B, B}, {A, A, B}
+        rows = neardup.near_duplicates(repeated).collect()
+        assert len(rows) == repeated.count()
+        assert {(r["doc_id"], r["class_id"]) for r in rows} == set(enumerate(brute_classes(texts)))
+
+
 def test_dart_signature_estimates_weighted_similarity():
     rng = np.random.default_rng(5)
     with np.errstate(over="ignore"):
