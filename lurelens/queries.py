@@ -332,11 +332,18 @@ g AS (SELECT doc_id, ('0x' || substr(md5(f), 1, 16))::UBIGINT AS h, sum(n) AS n
 b AS (SELECT doc_id, i, sum(CASE WHEN (h >> i) & 1 = 1 THEN n ELSE -n END) AS s FROM g, (SELECT unnest(range(0, 64)) AS i) GROUP BY doc_id, i)
 SELECT doc_id, string_agg(CASE WHEN s >= 0 THEN '1' ELSE '0' END, '' ORDER BY i DESC) AS bits FROM b GROUP BY doc_id""")
 def simhash_md5(spark, d):
-    """Texts under 2,000 characters: here length is part of the question."""
+    """The part that its SQL compares, texts under 2,000 characters with words; simhash_md5_whole has every document."""
     rows = _t(spark, d, "documents").where(F.length("text") < 2000).select("doc_id", H.simhash_md5("text").alias("h")).where("h <> ''")
     return rows.select("doc_id", F.lpad(F.conv("h", 16, 2), 64, "0").alias("bits"))
 
 
+@query()
+def simhash_md5_whole(spark, d):
+    """Every document, of any length; bits are "" for a text without words."""
+    rows = _t(spark, d, "documents").select("doc_id", H.simhash_md5("text").alias("h"))
+    return rows.select("doc_id", F.when(F.col("h") == "", "").otherwise(F.lpad(F.conv("h", 16, 2), 64, "0")).alias("bits"))
+
+
 # 2.5 and 2.6 aggregates, windows and set operators.
 
 

@@ -135,3 +135,22 @@ def test_registry_answers(spark):
     assert str(v["c"]) == "2026-03-01 00:00:00" and str(v["e"]) == "2027-03-01 00:00:00"
     assert (v["r"], v["o"], v["n"]) == ("NameCheap, Inc.", "H1", ["ns1.x.com", "ns2.x.com"])
     assert one(spark, R.registrar(R.answer(F.col("j"))), j="broken") == ""
+
+
+def test_simhash_of_whole_table(spark, tmp_path):
+    import hashlib
+    import re
+
+    from lurelens.queries import QUERIES
+
+    texts = ["one two three", "Two words", "", None, "!!", "a b c d " * 600, " ".join(f"w{i % 700}" for i in range(3000)), "x" * 2000]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
+
+    def brute(text):
+        words = re.findall("[a-z0-9]+", (text or "").lower())
+        parts = [(w, 1) for w in words] + [(" ".join(words[i : i + 3]), 2) for i in range(len(words) - 2)]
+        hashed = [(int(hashlib.md5(p.encode()).hexdigest()[:16], 16), n) for p, n in parts]
+        return "".join("1" if sum(n if h >> i & 1 else -n for h, n in hashed) >= 0 else "0" for i in range(63, -1, -1)) if words else ""
+
+    found = QUERIES["simhash_md5_whole"](spark, str(tmp_path)).collect()
+    assert {r["doc_id"]: r["bits"] for r in found} == {i: brute(t) for i, t in enumerate(texts)} and len(found) == len(texts)
