@@ -536,5 +536,5 @@ def pu_train_score(spark, d):
         F.col("doc_id").alias("row_key"), F.expr("CASE WHEN quality = 0 AND doc_id % 4 <> 0 THEN 'phishing' ELSE 'unlabeled' END").alias("source_label"), F.length("text").alias("length"),
         *(F.regexp_count("text", F.lit(p)).alias(n) for n, p in (("uppers", "[A-Z]"), ("signs", "[#$%&*!|]"), ("spaces", " "), ("stops", r"\."))),
     )
-    trained = learn.train(rows, Settings(trees=10, min_unlabeled=20, min_reliable=20))
+    trained = learn.train(rows, Settings(), tries=10)
     return trained.scored.select(F.col("row_key").alias("doc_id"), "pu_training_role", F.round("pu_score", 6).alias("pu_score"), "pu_prediction")

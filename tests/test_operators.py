@@ -288,3 +288,20 @@ def test_command_line(spark, tmp_path):
     assert S.read_csv(spark, f"{p}/out").count() == 1
     main(["enrich", "--input", f"{p}/in", "--brands", f"{p}/brands.csv", "--output", f"{p}/rich"], spark)
     assert S.read_csv(spark, f"{p}/rich/features").first()["validation_status"] == "suspected_inactive"
+
+
+def test_training_query_runs_the_whole_procedure(spark, tmp_path, monkeypatch):
+    from lurelens import queries
+
+    spark.createDataFrame([(1, "text")], "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, 0)], "doc_id bigint, quality int").write.parquet(f"{tmp_path}/labels.parquet")
+    seen = {}
+
+    def train(rows, s, **options):
+        seen.update(options, settings=s)
+        scored = rows.selectExpr("row_key", "'' AS pu_training_role", "0D AS pu_score", "0 AS pu_prediction")
+        return queries.learn.Trained(None, 0.5, [], scored=scored)
+
+    monkeypatch.setattr(queries.learn, "train", train)
+    assert queries.QUERIES["pu_train_score"](spark, str(tmp_path)).count() == 1
+    assert seen == {"settings": queries.Settings(), "tries": 10}
