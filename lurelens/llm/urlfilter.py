@@ -12,7 +12,6 @@ from pyspark.sql import functions as F
 
 HOST = r"^[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)"
 PATH = r"^[^:]+://[^/?#]*(/[^?#]*)"
-MOST_PARTS = 32  #: labels and path segments that a pattern can have; longer patterns are refused, not cut
 
 
 def host(url: Column) -> Column:
@@ -25,12 +24,13 @@ def path(url: Column) -> Column:
 
 
 def match_keys(url: Column) -> Column:
-    """The patterns that match a URL: "host", its parents, and "host/a", "host/a/b" for each leading path segment."""
+    """The patterns that match a URL: "host", its parents, and "host/a", "host/a/b" for each leading path segment,
+    however many labels and segments there are."""
     h = host(url)
     labels = F.split(h, r"\.")
-    domains = F.transform(F.sequence(F.lit(1), F.least(F.size(labels), F.lit(MOST_PARTS))), lambda i: F.array_join(F.slice(labels, -i, i), "."))
+    domains = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, -i, i), "."))
     segments = F.filter(F.split(path(url), "/"), lambda x: x != "")
-    places = F.sequence(F.lit(0), F.least(F.size(segments), F.lit(MOST_PARTS)))
+    places = F.sequence(F.lit(0), F.size(segments))
     prefixes = F.transform(F.filter(places, lambda i: i > 0), lambda i: F.concat(h, F.lit("/"), F.array_join(F.slice(segments, F.lit(1), i), "/")))
     return F.when(h == "", F.array().cast("array<string>")).otherwise(F.array_distinct(F.concat(domains, prefixes)))
 

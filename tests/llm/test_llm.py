@@ -312,3 +312,12 @@ def test_url_filters(spark):
     found = Counter((r["page_id"], r["n_active"], r["categories"]) for r in urlfilter.evaluate(pages, entries).collect())
     assert found == Counter({(1, 1, "s"): 2, (2, 1, "m"): 1, (3, 0, ""): 1, (4, 0, ""): 1, (5, 1, "m"): 1, (6, 1, ""): 1, (7, 0, ""): 1, (8, 0, ""): 1, (9, 0, ""): 1, (10, 1, "t"): 1, (11, 0, ""): 1})
     assert urlfilter.evaluate(pages, entries.limit(0)).where("blocked").count() == 0 and urlfilter.evaluate(pages.limit(0), entries).count() == 0
+
+
+def test_url_filters_of_many_parts(spark):
+    deep, far = ".".join(["a"] * 40) + ".com", "ok.org/" + "/".join(["p"] * 40)
+    entries = spark.createDataFrame([(deep, "host"), (far, "path")], "pattern string, category string").selectExpr("*", "true AS listed", "timestamp '2024-01-01 00:00:00' AS effective")
+    urls = [(1, f"http://{deep}/"), (2, f"http://b.{deep}/"), (3, f"http://{deep[2:]}/"), (4, f"http://{far}/x"), (5, f"http://{far[:-2]}"), (6, f"http://{far}")]
+    pages = spark.createDataFrame(urls, "page_id bigint, url string").withColumn("fetched_at", F.expr("timestamp '2024-01-02 00:00:00'"))
+    found = {r["page_id"]: r["categories"] for r in urlfilter.evaluate(pages, entries).collect()}
+    assert found == {1: "host", 2: "host", 3: "", 4: "path", 5: "", 6: "path"}
