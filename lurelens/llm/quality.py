@@ -54,18 +54,20 @@ def statistics(text: str) -> list[float]:
     ]
 
 
-def with_statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id and the columns STATS for each row of ``docs``; a null text counts as empty."""
+def with_statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", row_col: str | None = None) -> DataFrame:
+    """doc_id and the columns STATS for each row of ``docs``, and ``row_col`` (a bigint) if it is given; a null text
+    counts as empty."""
     tune(docs.sparkSession)
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    own = [row_col] if row_col else []
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), *own)
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = np.array([statistics(x or "") for x in batch.column(1).to_pylist()], np.float64).reshape(-1, len(STATS))
-            yield pa.RecordBatch.from_arrays([batch.column(0), *map(pa.array, np.ascontiguousarray(found.T))], ["doc_id", *STATS])
+            yield pa.RecordBatch.from_arrays([batch.column(0), *map(pa.array, np.ascontiguousarray(found.T)), *batch.columns[2:]], ["doc_id", *STATS, *own])
 
     kind = rows.schema["doc_id"].dataType.simpleString()
-    return rows.mapInArrow(measure, f"doc_id {kind}, " + ", ".join(f"{x} double" for x in STATS))
+    return rows.mapInArrow(measure, f"doc_id {kind}, " + ", ".join([*(f"{x} double" for x in STATS), *(f"{x} bigint" for x in own)]))
 
 
 Rule = tuple[tuple[int, bool, float], ...]  #: (statistic, whether it is over the value, the value), all of which hold
@@ -186,19 +188,19 @@ def fit(x: np.ndarray, y: np.ndarray, trees: int = 30, depth: int = 3, bins: int
     return RuleModel(bias, [(r, float(v)) for r, v in zip(rules, w, strict=True) if v])
 
 
-def score_quality(docs: DataFrame, labels: DataFrame, label_col: str = "quality", threshold: float = 0.7, most_labelled: int = 8_000) -> DataFrame:
-    """(doc_id, held_out, score, predicted) for each row of ``docs``.
+def score_quality(docs: DataFrame, labels: DataFrame, label_col: str = "quality", threshold: float = 0.7, most_labelled: int = 8_000, row_col: str | None = None) -> DataFrame:
+    """(doc_id, held_out, score, predicted) for each row of ``docs``, and ``row_col`` if it is given.
 
     The model learns from at most ``most_labelled`` labelled rows outside the held-out fold (crc32 of the id mod 4
     is 2), chosen by a hash of the id, so the sample is the same however the rows lie.  Labels other than 0 and 1,
     labels without a document and null ids teach nothing.  A null text is scored as an empty one.  Repeated rows
     come back as they are; other columns are left out.
     """
-    measured = keep(with_statistics(docs), "statistics")
+    measured = keep(with_statistics(docs, row_col=row_col), "statistics")
     marks = labels.select(F.col("doc_id"), F.col(label_col).alias("label")).where("doc_id is not null and label in (0, 1)").where(~in_fold("doc_id", 4, 2))
     marks = marks.groupBy("doc_id").agg(F.max("label").alias("label"))
     known = measured.join(marks, "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id", *STATS).limit(most_labelled)
     rows = known.select("label", *STATS).toPandas().to_numpy(np.float64)
     model = fit(rows[:, 1:], rows[:, 0])
-    scored = measured.select("doc_id", in_fold("doc_id", 4, 2).alias("held_out"), model.column().alias("score"))
+    scored = measured.select("doc_id", in_fold("doc_id", 4, 2).alias("held_out"), model.column().alias("score"), *([row_col] if row_col else []))
     return scored.withColumn("predicted", (F.col("score") >= threshold).cast("int"))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import ann, bpe, dac, decontam, lm, neardup, quality, tokcount, urlfilter, warc
-from .common import new_path, table
+from .common import keep, new_path, table
 
 
 def tokenizer_file(name: str) -> str:
@@ -91,26 +91,45 @@ ORACLE: dict[str, str] = {
 # Stages of the corpus pipeline.  Each takes the documents that the stage before it kept; the query's rows decide.
 
 
-def _kept(docs: DataFrame, decided: DataFrame) -> DataFrame:
-    """The documents without the rejected ids of ``decided`` (doc_id); documents with a null id stay."""
-    return docs.join(decided.where("doc_id is not null").distinct(), "doc_id", "left_anti")
+ROW = "_stage_row"
+
+
+def _keyed(docs: DataFrame) -> DataFrame:
+    """``docs`` with a key of each row, ROW: the id, where ids are whole numbers, none null and none twice; else a number
+    that is written out once with the rows."""
+    if dict(docs.dtypes)["doc_id"] in ("int", "bigint"):
+        if not docs.groupBy("doc_id").count().where("count > 1 or doc_id is null").limit(1).count():
+            return docs.withColumn(ROW, F.col("doc_id").cast("long"))
+    return keep(docs.withColumn(ROW, F.monotonically_increasing_id()), "rows")
+
+
+def _kept(keyed: DataFrame, rejected: DataFrame) -> DataFrame:
+    """The documents without the rows whose keys are in the first column of ``rejected``."""
+    return keyed.join(rejected.toDF(ROW), ROW, "left_anti").drop(ROW)
 
 
 def stage_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents without those that the quality rules reject."""
-    scored = quality.score_quality(docs, table(spark, sf_dir, "labels"))
-    return _kept(docs, scored.where("predicted = 0").select("doc_id"))
+    keyed = _keyed(docs)
+    scored = quality.score_quality(keyed, table(spark, sf_dir, "labels"), row_col=ROW)
+    return _kept(keyed, scored.where("predicted = 0").select(ROW))
 
 
 def stage_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, the one of the least id, of each group of near duplicates."""
-    return _kept(docs, neardup.near_duplicates(docs).where("not is_kept").select("doc_id"))
+    """One row, one of the least id, of each group of near duplicates; null ids come last.  Rows whose texts have no
+    words are in no group and stay."""
+    keyed = _keyed(docs)
+    classes = neardup.near_duplicates(keyed, id_col=ROW).select(F.col("doc_id").alias(ROW), "class_id")
+    classes = keep(classes.join(keyed.select(ROW, "doc_id"), ROW), "classes")
+    least = classes.groupBy("class_id").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", ROW)).alias("least"))
+    return _kept(keyed, classes.select(ROW).join(least.select(F.col(f"least.{ROW}").alias(ROW)), ROW, "left_anti"))
 
 
 def stage_decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents without those in which a window of a benchmark item occurs."""
-    found = decontam.contamination(docs, table(spark, sf_dir, "benchmark"))
-    return _kept(docs, found.where("contaminated").select("doc_id"))
+    keyed = _keyed(docs)
+    found = decontam.contamination(keyed.select(F.col(ROW).alias("doc_id"), "text"), table(spark, sf_dir, "benchmark"))
+    return _kept(keyed, found.where("contaminated").select("doc_id"))
 
 
 def stage_encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

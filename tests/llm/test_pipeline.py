@@ -33,3 +33,27 @@ def test_pipeline(spark, tmp_path):
     docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
     for _, stage in corpus_pipeline.STAGES[:-1]:
         assert stage(spark, docs, str(tmp_path)).columns == docs.columns
+
+
+def test_stages_decide_by_row(spark, tmp_path):
+    rng = np.random.default_rng(9)
+    word = lambda: "".join(rng.choice(list("abcdefghij"), 6))
+    item = " ".join(word() for _ in range(14))
+    good = [" ".join(word() for _ in range(60)) + "." for _ in range(46)]
+    bad = ["!! ".join(word().upper() for _ in range(60)) for _ in range(46)]
+    spark.createDataFrame([(i, int(i < 40)) for i in range(80)], "doc_id bigint, quality int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([(0, item)], "item_id bigint, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    (_, judge), (_, dedup), (_, decontaminate) = corpus_pipeline.STAGES[:3]
+
+    def left(stage, rows):
+        docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+        return sorted((tuple(r) for r in stage(spark, docs, str(tmp_path)).collect()), key=str)
+
+    trained = list(enumerate(good[:40] + bad[:40]))
+    odd = [(None, good[40]), (None, bad[40]), (90, good[41]), (90, bad[41]), (None, good[40])]
+    assert left(judge, trained + odd) == sorted(trained[:40] + [odd[0], odd[2], odd[4]], key=str)
+    near = good[0].replace(good[0].split()[5], "changed")
+    rows = [(5, good[0]), (5, good[0]), (None, good[0]), (3, near), (None, good[1]), (None, good[1]), (7, good[2]), (7, good[3]), (8, None)]
+    assert left(dedup, rows) == sorted([(3, near), (None, good[1]), (7, good[2]), (7, good[3]), (8, None)], key=str)
+    rows = [(1, good[0] + " " + item), (1, good[0]), (None, item), (None, good[1]), (2, good[2]), (2, good[2])]
+    assert left(decontaminate, rows) == sorted([rows[1], rows[3], rows[4], rows[5]], key=str)
