@@ -133,8 +133,9 @@ def stage_decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def stage_encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id and ids of every document left."""
+    """doc_id, ids and decoded_sha256, the digest of the bytes that the ids decode to, of every document left."""
     import public_tokenizers
 
     ranks = bpe.read_ranks(tokenizer_file("byte_bpe_multi_50k.tiktoken"))
-    return bpe.encode(docs, ranks, public_tokenizers.PATTERN)
+    decoded = bpe.decode(bpe.encode(docs, ranks, public_tokenizers.PATTERN), ranks)
+    return decoded.select("doc_id", "ids", F.sha2("bytes", 256).alias("decoded_sha256"))

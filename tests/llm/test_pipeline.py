@@ -1,5 +1,7 @@
 """The corpus pipeline against what brute force says of a small corpus."""
 
+import hashlib
+
 import numpy as np
 import public_tokenizers
 import tiktoken
@@ -57,3 +59,10 @@ def test_stages_decide_by_row(spark, tmp_path):
     assert left(dedup, rows) == sorted([(3, near), (None, good[1]), (7, good[2]), (7, good[3]), (8, None)], key=str)
     rows = [(1, good[0] + " " + item), (1, good[0]), (None, item), (None, good[1]), (2, good[2]), (2, good[2])]
     assert left(decontaminate, rows) == sorted([rows[1], rows[3], rows[4], rows[5]], key=str)
+
+
+def test_last_stage_decodes(spark, tmp_path):
+    texts = ["Hello world", "zażółć 日本 ½\n", "", None]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    found = {r["doc_id"]: r["decoded_sha256"] for r in corpus_pipeline.STAGES[-1][1](spark, docs, str(tmp_path)).collect()}
+    assert found == {i: hashlib.sha256((t or "").encode()).hexdigest() for i, t in enumerate(texts)}
