@@ -24,10 +24,13 @@ def tune(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``; where that is unset, as in tests, a local one."""
+    """The folder all executors share: ``spark.checkpoint.dir``; where that is unset, a local one, if the master is local
+    too, as in tests.  On a cluster a machine's own folder would lose files, so there it must be set."""
     given = spark.conf.get("spark.checkpoint.dir", None)
     if given:
         return given.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     own = "/tmp/checkpoints/lurelens"
     os.makedirs(own, exist_ok=True)
     spark.sparkContext.setCheckpointDir(own)
@@ -42,7 +45,31 @@ def keep(df: DataFrame, what: str) -> DataFrame:
     """Write a table in the shared folder and read it again: lineage ends there, and lost executors cost nothing."""
     path = new_path(df.sparkSession, what)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    kept = df.sparkSession.read.schema(df.schema).parquet(path)
+    kept.kept_path = path
+    return kept
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables that ``keep`` wrote, when nothing that is still to run reads them."""
+    for kept in tables:
+        spark = kept.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(kept.kept_path)
+        path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+
+
+def grouped(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[tuple[tuple, list[tuple]]]:
+    """(key, rows) for each run of rows that are equal in the first ``keys`` columns; a run may span batches."""
+    now, held = None, []
+    for batch in batches:
+        for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if row[:keys] != now:
+                if held:
+                    yield now, held
+                now, held = row[:keys], []
+            held.append(row[keys:])
+    if held:
+        yield now, held
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -5,14 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import keep
+from .common import discard, keep
 
 
 def _star(arcs: DataFrame, large: bool) -> DataFrame:
     """arcs (u, v): for each u the least m of itself and its neighbours; the neighbours that lie beyond u (large)
     or not beyond u (small) are linked to m."""
     least = arcs.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("m", "u"))
-    linked = arcs.join(least, "u")
+    linked = arcs.join(least.hint("merge"), "u")  # a hot u is split by the join; the driver gathers nothing
     if large:
         out = linked.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
     else:
@@ -37,8 +37,10 @@ def components(edges: DataFrame) -> DataFrame:
     was = mark(arcs)
     while was[0]:
         both = arcs.union(arcs.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        large = _star(both, True)
+        large = keep(_star(both, True), "arcs")
+        discard(arcs)
         arcs = keep(_star(large, False), "arcs")
+        discard(large)
         now = mark(arcs)
         if now == was:
             break
