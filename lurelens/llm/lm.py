@@ -14,6 +14,7 @@ hashes.
 
 from __future__ import annotations
 
+import math
 import zlib
 from collections.abc import Iterator
 
@@ -185,13 +186,16 @@ def _counts(answers: pa.Table, gram: int, field: str) -> np.ndarray:
     return np.concatenate([_unpack(x, "<u8") for _, x in found]) if found else np.zeros(0, np.uint64)
 
 
+def _bucket(contexts: list[np.ndarray]) -> np.ndarray:
+    return np.minimum(np.floor(np.log2(contexts[-1] + 1)).astype(np.int8), BUCKETS - 1)
+
+
 def _estimates(counts: list[np.ndarray], contexts: list[np.ndarray], distinct: float) -> tuple[np.ndarray, np.ndarray]:
     """The uniform and the maximum-likelihood probabilities (a row for each), and the bucket of each token."""
     p = [np.full(len(counts[0]), 1.0 / (distinct + 1))]
     for c, h in zip(counts, contexts, strict=True):
         p.append(np.divide(c, h, out=np.zeros(len(c)), where=h > 0))
-    bucket = np.minimum(np.floor(np.log2(contexts[-1] + 1)).astype(np.int64), BUCKETS - 1)
-    return np.stack(p), bucket
+    return np.stack(p), _bucket(contexts)
 
 
 def expectation_maximisation(bucket: np.ndarray, ratios: np.ndarray, times: np.ndarray, rounds: int = 60, prior: float = 20.0) -> np.ndarray:
@@ -218,15 +222,20 @@ def expectation_maximisation(bucket: np.ndarray, ratios: np.ndarray, times: np.n
     return np.array(out)
 
 
-def _mixture(weights: np.ndarray, p: np.ndarray, contexts: list[np.ndarray], bucket: np.ndarray) -> np.ndarray:
-    """The probability of each token.  Orders whose context was never seen are left out of the mixture."""
-    w = weights[bucket].T.copy()
-    for k, h in enumerate(contexts, 1):
-        w[k][h <= 0] = 0.0
-    return (w * p).sum(0) / w.sum(0)
+def _mixture(weights: np.ndarray, counts: list[np.ndarray], contexts: list[np.ndarray], distinct: float) -> np.ndarray:
+    """The probability of each token.  Orders whose context was never seen are left out of the mixture.  One order at a
+    time, so that few arrays of a chunk's length live together."""
+    bucket = _bucket(contexts)
+    share = weights[bucket, 0]
+    mixed = share / (distinct + 1)
+    for k, (c, h) in enumerate(zip(counts, contexts, strict=True), 1):
+        w = np.where(h > 0, weights[bucket, k], 0.0)
+        share += w
+        mixed += w * np.divide(c, h, out=np.zeros(len(c)), where=h > 0)
+    return mixed / share
 
 
-def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", order: int = 2, chunk_bytes: int = 24 << 20) -> DataFrame:
+def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", order: int = 2, chunk_bytes: int = 10 << 20, part_bytes: int = 12 << 20) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) for each row of ``docs``.
 
     It learns from the rows whose crc32(id as text) mod 7 is not 2; of these, remainder 3 is deleted from the counts
@@ -243,7 +252,9 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     documents = float(sum(n for f, n in per_fold.items() if f != TEST_FOLD))
     left_documents = documents - per_fold.get(DELETED_FOLD, 0)
 
-    answers = _answers(chunks, order, max(32, 2 * n_chunks))
+    # A part answers for as many n-grams as ``part_bytes`` of text have, whatever the chunks are.
+    sizes = chunks.agg(F.sum(F.octet_length("blob"))).first()[0] or 0
+    answers = _answers(chunks, order, max(32, math.ceil(3 * sizes / part_bytes)))
     sums = np.zeros(4)
     totals = answers.where("chunk = -1 and gram = 1").select(F.explode(F.sequence(F.lit(0), F.lit(3))).alias("k"), "every")
     little = F.reverse(F.substring(F.hex("every"), F.col("k") * 16 + 1, F.lit(16)))  # reversed nibbles of a little-endian number
@@ -289,8 +300,7 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             found, starts = _chunk_tokens(blob, np.frombuffer(lengths, np.int64), tokens)
             counts = [_counts(got, k, "every").astype(np.float64)[np.unique(keys, return_inverse=True)[1]] for k, keys in enumerate(_grams(found, starts, order), 1)]
             contexts = _contexts(counts, starts, documents, n_all)
-            p, bucket = _estimates(counts, contexts, v_all)
-            logs = np.log10(_mixture(weights, p, contexts, bucket))
+            logs = np.log10(_mixture(weights, counts, contexts, v_all))
             base = np.log10((counts[0] + 1) / (n_all + v_all + 1))
             first = starts[:-1]
             parts.append(

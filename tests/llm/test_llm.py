@@ -321,3 +321,78 @@ def test_url_filters_of_many_parts(spark):
     pages = spark.createDataFrame(urls, "page_id bigint, url string").withColumn("fetched_at", F.expr("timestamp '2024-01-02 00:00:00'"))
     found = {r["page_id"]: r["categories"] for r in urlfilter.evaluate(pages, entries).collect()}
     assert found == {1: "host", 2: "host", 3: "", 4: "path", 5: "", 6: "path"}
+
+
+def test_mixture_against_plain_python(spark):
+    """The score of each text by counters, the same EM on exact tokens, and one token at a time."""
+    rng = np.random.default_rng(5)
+    texts = [" ".join(rng.choice(["the", "Cat", "sat", "on", "a", "mat", f"w{i % 17}"], int(rng.integers(0, 40)))) for i in range(150)] + [None, "", "new words only"]
+    found = {r["doc_id"]: r for r in lm.score_texts(docs_of(spark, texts)).collect()}
+    tokens = [["<s>"] + [w.translate({c: c + 32 for c in range(65, 91)}) for w in (t or "").split()] + ["</s>"] for t in texts]
+    fold = [zlib.crc32(str(i).encode()) % 7 for i in range(len(texts))]
+
+    def counted(rows):
+        one, two = Counter(), Counter()
+        for t in rows:
+            one.update(t[1:])
+            two.update(zip(t[:-1], t[1:], strict=True))
+        return one, two, len(rows)
+
+    def parts(t, i, one, two, documents):
+        h = documents if i == 1 else one[t[i - 1]]
+        return [1 / (len(one) + 1), one[t[i]] / sum(one.values()), two[t[i - 1], t[i]] / h if h else 0.0], h
+
+    left = counted([t for t, f in zip(tokens, fold, strict=True) if f not in (lm.TEST_FOLD, lm.DELETED_FOLD)])
+    seen = Counter()
+    for t, f in zip(tokens, fold, strict=True):
+        if f == lm.DELETED_FOLD:
+            for i in range(1, len(t)):
+                p, h = parts(t, i, *left)
+                seen[min(int(math.log2(h + 1)), lm.BUCKETS - 1), *(round(math.log2(x / p[0]) * lm.BIN) if x else -999 for x in p[1:])] += 1
+    kinds = np.array(list(seen), float)
+    ratios = np.column_stack((np.ones(len(kinds)), np.where(kinds[:, 1:] <= -999, 0.0, 2.0 ** (kinds[:, 1:] / lm.BIN))))
+    weights = lm.expectation_maximisation(kinds[:, 0].astype(int), ratios, np.array(list(seen.values()), float))
+    every = counted([t for t, f in zip(tokens, fold, strict=True) if f != lm.TEST_FOLD])
+    for n, t in enumerate(tokens):
+        total = 0.0
+        for i in range(1, len(t)):
+            p, h = parts(t, i, *every)
+            w = weights[min(int(math.log2(h + 1)), lm.BUCKETS - 1)]
+            known = [0, 1, 2] if h else [0, 1]
+            total += math.log10(sum(w[k] * p[k] for k in known) / sum(w[k] for k in known))
+        assert math.isclose(found[n]["score"], total, rel_tol=1e-6), n
+
+
+def test_near_duplicates_in_blocks(spark):
+    """A group of many blocks has the classes of one block, and those of all pairs within the group."""
+    rng = np.random.default_rng(9)
+    base = [f"w{i}" for i in range(120)]
+    texts = []
+    for i in range(160):
+        own = list(base)
+        for at in rng.choice(120, int(rng.integers(0, 9)), replace=False):
+            own[at] = f"x{int(rng.integers(0, 30))}"
+        texts.append(" ".join(own))
+    signed = neardup.signatures(docs_of(spark, texts)).cache()
+    shingler = Shingler(5)
+    sets = [set(shingler(t).tolist()) for t in texts]
+    classes = {}
+    for rows in (8192, 10):
+        members, edges = neardup.links(signed, docs_of(spark, texts), block_rows=rows)
+        for r in edges.collect():
+            assert math.isclose(r["similarity"], len(sets[r["a"]] & sets[r["b"]]) / len(sets[r["a"]] | sets[r["b"]])) and r["similarity"] >= 0.8
+        joined = {r["node"]: r["component"] for r in components(edges).collect()}
+        classes[rows] = {r["doc_id"]: joined.get(r["node"], r["node"]) for r in members.collect()}
+    linked = neardup.Linked()
+    for i in range(160):
+        for j in range(i):
+            if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+                linked.join(i, j)
+    # All of these texts share buckets with text 0 or with one another often enough that no link is missed.
+    assert classes[8192] == {i: linked.root(i) for i in range(160)} == classes[10]
+
+
+def test_long_words_are_merged_like_others(ranks):
+    encoding = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    for word in ("a", "Anblewh" * 300, "x" * 1500, "zażółć" * 200, "éü" * 77):
+        assert bpe.merge_word(word.encode(), ranks) == encoding.encode_ordinary(word)
