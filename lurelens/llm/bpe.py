@@ -4,28 +4,37 @@ Distinct words are encoded by Spark's higher-order functions: each word of a blo
 by merge, over the array of its byte pieces, with the ranks in a literal map.  The map is an array of small maps
 indexed by CRC-32, as a look-up in one Spark map takes time in proportion to its size.
 
-A block is a run of consecutive documents of one input partition with at most ``block_chars`` characters (one
-document at least), so memory is bounded, no row is shuffled, and a lost task is simply run again.  Python splits
-the texts into words before the fold and lays the words' ids out per document after it.
+Texts are read twice.  The first pass sends the distinct words of each input partition, cut into parts by their hashes;
+a part's words are folded once for all documents of a block, which is a run of input partitions with about
+``block_chars`` characters, and their ids are written in the shared folder as sorted arrays, so that memory is bounded
+whatever the corpus is.  The second pass splits the texts again and lays out the ids of their words.  No text is
+shuffled.  Words of over LONG_WORD bytes, which a fold would copy at every step, and any that the block's arrays lack, as
+when a task that runs again meets its rows in another order, are merged in the second pass.
 """
 
 from __future__ import annotations
 
 import base64
+import heapq
 import json
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
+import zstandard
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import texts, tune
+from .common import discard, filesystem, grouped, keep, new_path, put_file, tune
 from .pretokens import byte_letters, make_split
 
-BUCKETS = 1 << 16
+BUCKETS = 1 << 14
 NO_RANK = 2**31 - 1
+PARTS = 64  #: into which the words of a block are cut, by the leading bits of their hashes
+LONG_WORD = 512
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -100,101 +109,263 @@ def fold_word(word: Column, ranks: Column) -> Column:
     return _let(rank(word), lambda whole: F.when(whole != NO_RANK, F.array(whole)).otherwise(merged()))
 
 
-def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, id_col: str = "doc_id", text_col: str = "text", block_chars: int = 8 << 20) -> DataFrame:
+def merge_word(word: bytes, ranks: dict[bytes, int]) -> list[int]:
+    """The ids of one word of any length: a heap of the ranked pairs, the leftmost of the least rank first."""
+    if word in ranks:
+        return [ranks[word]]
+    end = [i + 1 for i in range(len(word))]  # where the piece that begins at i ends; 0: it is part of another
+    before = list(range(-1, len(word) - 1))
+    heap: list[tuple[int, int, int]] = []
+
+    def push(i: int) -> None:
+        j = end[i]
+        if j < len(word) and (rank := ranks.get(word[i : end[j]])) is not None:
+            heapq.heappush(heap, (rank, i, end[j]))
+
+    for i in range(len(word)):
+        push(i)
+    while heap:
+        _, i, stop = heapq.heappop(heap)
+        j = end[i]
+        if not j or j >= len(word) or end[j] != stop:
+            continue
+        end[i], end[j] = stop, 0
+        if stop < len(word):
+            before[stop] = i
+        push(i)
+        if before[i] >= 0:
+            push(before[i])
+    out, i = [], 0
+    while i < len(word):
+        out.append(ranks[word[i : end[i]]])
+        i = end[i]
+    return out
+
+
+class Units:
+    """Numbers the stretches of about ``chars`` characters of the texts of this task: (partition << 20) + place."""
+
+    def __init__(self, chars: int):
+        self.chars, self.seen, self.first = chars, 0, TaskContext.get().partitionId() << 20
+
+    def take(self, text: str) -> int:
+        unit = self.first + self.seen // self.chars
+        self.seen += len(text)
+        return unit
+
+
+def _hashes(words: list[bytes]) -> np.ndarray:
+    return np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
+
+
+def _asked(rows: DataFrame, pattern: str, block_chars: int, most_words: int = 300_000) -> DataFrame:
+    """(unit, part, words, chars): the distinct words of each unit, in parts; a word may be sent more than once."""
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        split, units, zip_ = make_split(pattern), Units(block_chars), zstandard.ZstdCompressor(level=3)
+        unit, chars, words = None, 0, set()
+
+        def flush() -> pa.RecordBatch:
+            found = [w for w in (w.encode() for w in words) if len(w) <= LONG_WORD]
+            hashes = _hashes(found)
+            order = np.argsort(hashes, kind="stable")
+            cuts = np.searchsorted(hashes[order] >> np.uint64(58), np.arange(PARTS + 1))
+            blobs = []
+            for p in range(PARTS):
+                mine = [found[k] for k in order[cuts[p] : cuts[p + 1]].tolist()]
+                sizes = np.array([len(w) for w in mine], np.uint16).tobytes()
+                blobs.append(zip_.compress(len(mine).to_bytes(4, "little") + sizes + b"".join(mine)))
+            kinds = [pa.array([unit] * PARTS, pa.int64()), pa.array(range(PARTS), pa.int32()), pa.array(blobs, pa.binary()), pa.array([chars] + [0] * (PARTS - 1), pa.int64())]
+            return pa.RecordBatch.from_arrays(kinds, ["unit", "part", "words", "chars"])
+
+        for batch in batches:
+            for text in batch.column(1).to_pylist():
+                text = text or ""
+                here = units.take(text)
+                if words and (here != unit or len(words) > most_words):
+                    yield flush()
+                    chars, words = 0, set()
+                unit, chars = here, chars + len(text)
+                words.update(split(text))
+        if words:
+            yield flush()
+
+    return keep(rows.mapInArrow(ask, "unit bigint, part int, words binary, chars bigint"), "bpe-words")
+
+
+def _blocks(asked: DataFrame, block_chars: int) -> dict[int, int]:
+    """The block of each unit: runs of units of about ``block_chars`` characters.  One number for each input partition (or
+    stretch of ``block_chars`` characters of one) comes to the driver."""
+    blocks, chars = {}, 0
+    for unit, n in sorted(map(tuple, asked.where("chars > 0").groupBy("unit").agg(F.sum("chars")).collect())):
+        blocks[unit] = chars // block_chars
+        chars += n
+    return blocks
+
+
+def _fold_blocks(asked: DataFrame, blocks: dict[int, int], ranks: dict[bytes, int], folder: str) -> None:
+    """Fold the distinct words of each (block, part) and write their hashes, numbers of ids and ids, in the order of the
+    hashes, as a file in ``folder``.  What it holds depends on the words alone, so a task may run twice."""
+    spark = asked.sparkSession
+    letters = byte_letters()
+    placed = asked.join(spark.createDataFrame(list(blocks.items()), "unit bigint, block bigint"), "unit")
+    n = max(1, len(set(blocks.values())))
+    placed = placed.select("block", "part", "words").repartition(PARTS * min(n, 1000), "block", "part").sortWithinPartitions("block", "part")
+
+    def distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for (block, part), rows in grouped(batches, 2):
+            words: set[bytes] = set()
+            for (blob,) in rows:
+                raw = zstandard.ZstdDecompressor().decompress(blob)
+                count = int.from_bytes(raw[:4], "little")
+                at = 4 + 2 * count
+                for size in np.frombuffer(raw, "<u2", count, 4).tolist():
+                    words.add(raw[at : at + size])
+                    at += size
+            found = sorted(words)
+            hashes = _hashes(found)
+            alone = np.unique(hashes, return_counts=True)[1] == 1
+            order = np.argsort(hashes, kind="stable")
+            if not alone.all():  # words of equal hashes are left to the second pass
+                order = order[np.repeat(alone, np.unique(hashes, return_counts=True)[1])]
+            names = ["".join(map(letters.__getitem__, found[i])) for i in order.tolist()]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([block], pa.int64()), pa.array([part], pa.int32()), pa.array([hashes[order].tobytes()], pa.binary()), pa.array([names], pa.list_(pa.string()))],
+                ["block", "part", "hashes", "names"],
+            )
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in range(batch.num_rows):
+                block, part, hashes = (batch.column(k)[row].as_py() for k in range(3))
+                codes = batch.column(3)[row].values
+                at = codes.offsets.to_numpy()
+                ids = codes.values.to_numpy(zero_copy_only=False)[at[0] : at[-1]]
+                put_file(f"{folder}/{block}/{part}", [(len(hashes) // 8).to_bytes(8, "little"), hashes, np.diff(at).astype("<u2").tobytes(), ids.astype("<u4").tobytes()])
+            yield pa.RecordBatch.from_arrays(batch.columns[:2], ["block", "part"])
+
+    table = rank_table(ranks)
+    # Written, so that a task never has the workers of both steps at once.
+    words = keep(placed.mapInArrow(distinct, "block bigint, part int, hashes binary, names array<string>"), "bpe-distinct")
+    coded = words.select("block", "part", "hashes", _let(table, lambda t: F.transform("names", lambda w: fold_word(w, t))).alias("codes"))
+    coded.mapInArrow(write, "block bigint, part int").write.format("noop").mode("overwrite").save()
+    discard(words)
+
+
+class BlockCodes:
+    """The hashes of a block's words, and where their ids are in ``ids``."""
+
+    def __init__(self, folder: str, block: int):
+        store, local = filesystem(f"{folder}/{block}")
+        found: list[list[np.ndarray]] = [[], [], []]
+        for part in range(PARTS):
+            with store.open_input_stream(f"{local}/{part}") as file:
+                data = file.read()
+            n = int.from_bytes(data[:8], "little")
+            found[0].append(np.frombuffer(data, "<u8", n, 8))
+            found[1].append(np.frombuffer(data, "<u2", n, 8 + 8 * n))
+            found[2].append(np.frombuffer(data, "<u4", -1, 8 + 10 * n))
+        self.hashes, self.sizes, ids = map(np.concatenate, found)
+        self.ids = ids.astype(np.uint16) if not len(ids) or ids.max() < 1 << 16 else ids
+        self.first = np.cumsum(self.sizes, dtype=np.uint32) - self.sizes
+
+    def find(self, words: list[bytes]) -> np.ndarray:
+        """The place of each word; -1 where it is not."""
+        if not len(self.hashes):
+            return np.full(len(words), -1)
+        hashes = _hashes(words)
+        at = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
+        at[(self.hashes[at] != hashes) | (np.fromiter(map(len, words), np.int64, len(words)) > LONG_WORD)] = -1
+        return at
+
+
+def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, id_col: str = "doc_id", text_col: str = "text", block_chars: int = 1 << 30) -> DataFrame:
     """One row (``id_col``, ids array<int>) for each row of ``docs``, in no fixed order.
 
     A null text is empty, and an empty text has no ids; repeated rows and null ids come back as they are; other
     columns are left out, so their names cannot clash.  Every byte must have a rank.
     """
-    tune(docs.sparkSession)
-    letters = byte_letters()
+    spark = docs.sparkSession
+    tune(spark)
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     id_type = rows.schema["id"].dataType.simpleString()
-
-    def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        split = make_split(pattern)
-        ids: list = []
-        ends: list[int] = []
-        places: list[np.ndarray] = []
-        known: dict[str, int] = {}
-        held = total = 0
-        id_arrow = None
-
-        def block() -> pa.RecordBatch:
-            words = pa.array(["".join(map(letters.__getitem__, w.encode())) for w in known], pa.string())
-            flat = np.concatenate(places) if places else np.zeros(0, np.int32)
-            one = [
-                pa.ListArray.from_arrays([0, len(ids)], pa.array(ids, id_arrow)),
-                pa.array([np.asarray(ends, np.int64).tobytes()], pa.binary()),
-                pa.array([flat.tobytes()], pa.binary()),
-                pa.ListArray.from_arrays([0, len(words)], words),
-            ]
-            return pa.RecordBatch.from_arrays(one, ["ids", "ends", "places", "words"])
-
-        for batch in batches:
-            id_arrow = batch.column(0).type
-            for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                text = text or ""
-                if ids and held + len(text) > block_chars:
-                    yield block()
-                    ids, ends, places, known, held, total = [], [], [], {}, 0, 0
-                found = split(text)
-                for w in found:
-                    if w not in known:
-                        known[w] = len(known)
-                places.append(np.fromiter(map(known.__getitem__, found), np.int32, len(found)))
-                total += len(found)
-                held += len(text)
-                ids.append(key)
-                ends.append(total)
-        if ids:
-            yield block()
+    folder = new_path(spark, "bpe-codes")
+    asked = _asked(rows, pattern, block_chars)
+    blocks = _blocks(asked, block_chars)
+    if blocks:
+        _fold_blocks(asked, blocks, ranks, folder)
+    discard(asked)
+    shared = spark.sparkContext.broadcast((ranks, blocks))
 
     def lay_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        split, units, (ranks, blocks) = make_split(pattern), Units(block_chars), shared.value
+        block, codes, known, own, own_at = None, None, {}, [], np.zeros(1, np.int64)
+
+        def learn(fresh: list[str]) -> None:
+            nonlocal own_at
+            words = [w.encode() for w in fresh]
+            at = codes.find(words) if codes else np.full(len(words), -1)
+            for k in np.flatnonzero(at < 0).tolist():
+                at[k] = -len(own) - 1
+                own.append(merge_word(words[k], ranks))
+            own_at = np.cumsum([0, *map(len, own)])
+            known.update(zip(fresh, at.tolist(), strict=True))
+
+        def ids_of(found: list[list[str]]) -> tuple[np.ndarray, np.ndarray]:
+            """The ids of some documents, one after another, and how many each has."""
+            places = np.fromiter((known[w] for words in found for w in words), np.int64, sum(map(len, found)))
+            mine = places < 0
+            there = np.where(mine, 0, places)
+            if codes is None or not len(codes.ids):
+                sizes, first, ids = np.zeros(len(places), np.int64), np.zeros(len(places), np.int64), np.zeros(1, np.int32)
+            else:
+                sizes, first, ids = codes.sizes[there].astype(np.int64), codes.first[there].astype(np.int64), codes.ids
+            if mine.any():
+                k = -places[mine] - 1
+                sizes[mine], first[mine] = own_at[k + 1] - own_at[k], own_at[k] + len(ids)
+            ends = np.concatenate(([0], np.cumsum(sizes)))
+            at = np.repeat(first - ends[:-1], sizes) + np.arange(ends[-1])
+            flat = ids[np.minimum(at, len(ids) - 1)].astype(np.int32)
+            if mine.any():
+                merged = at >= len(ids)
+                flat[merged] = np.array([i for x in own for i in x], np.int32)[at[merged] - len(ids)]
+            return flat, ends[np.cumsum([0, *map(len, found)])]
+
         for batch in batches:
-            for row in range(batch.num_rows):
-                keys = batch.column(0)[row].values
-                ends = np.frombuffer(batch.column(1)[row].as_py(), np.int64)
-                places = np.frombuffer(batch.column(2)[row].as_py(), np.int32)
-                codes = batch.column(3)[row].values
-                at = codes.offsets.to_numpy().astype(np.int64)
-                values, first, size = codes.values.to_numpy(), at[:-1], np.diff(at)
-                begin = 0
-                while begin < len(ends):  # so many documents at a time that their ids are few
-                    stop, done = begin, int(ends[begin - 1]) if begin else 0
-                    while stop < len(ends) and (stop == begin or ends[stop] - done <= 1 << 20):
-                        stop += 1
-                    here = places[done : ends[stop - 1]]
-                    n = size[here]
-                    out = np.concatenate(([0], np.cumsum(n)))
-                    flat = values[np.repeat(first[here] - out[:-1], n) + np.arange(out[-1])]
-                    offsets = out[np.concatenate(([0], ends[begin:stop] - done))].astype(np.int32)
-                    listed = pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat.astype(np.int32)))
-                    yield pa.RecordBatch.from_arrays([keys.slice(begin, stop - begin), listed], ["id", "ids"])
-                    begin = stop
-
-    blocked = rows.mapInArrow(blocks, f"ids array<{id_type}>, ends binary, places binary, words array<string>")
-    table = rank_table(ranks)
-    coded = blocked.select("ids", "ends", "places", _let(table, lambda t: F.transform("words", lambda w: fold_word(w, t))).alias("codes"))
-    return coded.mapInArrow(lay_out, f"id {id_type}, ids array<int>").withColumnRenamed("id", id_col)
+            keys, texts = batch.column(0), [x or "" for x in batch.column(1).to_pylist()]
+            begin = 0
+            while begin < len(texts):
+                unit, stop, held = units.take(texts[begin]), begin + 1, len(texts[begin])
+                while stop < len(texts) and held < 1 << 20 and (units.first + units.seen // units.chars) == unit:
+                    units.take(texts[stop])
+                    held, stop = held + len(texts[stop]), stop + 1
+                now = blocks.get(unit)
+                if now != block or len(known) > 400_000:
+                    known, own = {}, []
+                if now != block:
+                    block, codes = now, None
+                    codes = None if now is None else BlockCodes(folder, now)
+                found = [split(x) for x in texts[begin:stop]]
+                fresh = {w for words in found for w in words if w not in known}
+                if fresh:
+                    learn(list(fresh))
+                flat, ends = ids_of(found)
+                listed = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(flat))
+                yield pa.RecordBatch.from_arrays([keys.slice(begin, stop - begin), listed], ["id", "ids"])
+                begin = stop
+
+    return rows.mapInArrow(lay_out, f"id {id_type}, ids array<int>").withColumnRenamed("id", id_col)
 
 
 def decode(coded: DataFrame, ranks: dict[bytes, int], id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
     """One row (``id_col``, ``ids_col``, bytes binary) for each row of ``coded``: the pieces of the ids, concatenated.
-    Null or no ids give no bytes; an id without a piece fails."""
-    tune(coded.sparkSession)
-    pieces = {rank: token for token, rank in ranks.items()}
-    shared = coded.sparkSession.sparkContext.broadcast([pieces.get(i) for i in range(max(pieces, default=-1) + 1)])
-    rows = coded.select(F.col(id_col).alias("id"), F.col(ids_col).alias("ids"))
-
-    def pieced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        piece = shared.value
-        for batch in batches:
-            found = [b"".join(map(piece.__getitem__, x)) if x else b"" for x in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.binary())], ["id", "ids", "bytes"])
-
-    kind = rows.schema["id"].dataType.simpleString()
-    return rows.mapInArrow(pieced, f"id {kind}, ids array<int>, bytes binary").withColumnsRenamed({"id": id_col, "ids": ids_col})
+    Null or no ids give no bytes; an id without a piece fails.  The pieces are a literal array of strings in which each
+    character stands for one byte (ISO 8859-1)."""
+    pieces = {rank: token.decode("latin-1") for token, rank in ranks.items()}
+    table = F.from_json(F.lit(json.dumps([pieces.get(i) for i in range(max(pieces, default=-1) + 1)])), "array<string>")
+    piece = lambda t: lambda i: F.coalesce(F.get(t, i), F.raise_error(F.concat(F.lit("no piece has the id "), i.cast("string"))))
+    joined = _let(table, lambda t: F.array_join(F.transform(ids_col, piece(t)), ""))
+    return coded.select(id_col, ids_col, F.encode(F.coalesce(joined, F.lit("")), "ISO-8859-1").alias("bytes"))
 
 
 def digests(decoded: DataFrame) -> DataFrame:

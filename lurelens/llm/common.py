@@ -51,9 +51,11 @@ def keep(df: DataFrame, what: str) -> DataFrame:
 
 
 def discard(*tables: DataFrame) -> None:
-    """Delete tables that ``keep`` wrote, when nothing that is still to run reads them."""
+    """Delete tables that ``keep`` wrote, when nothing that is still to run reads them.  The driver lets go of finished
+    plans then too: only after a collection of its garbage does Spark delete their shuffle files and broadcasts."""
     for kept in tables:
         spark = kept.sparkSession
+        spark._jvm.System.gc()
         path = spark._jvm.org.apache.hadoop.fs.Path(kept.kept_path)
         path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
 

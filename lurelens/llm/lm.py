@@ -222,16 +222,15 @@ def expectation_maximisation(bucket: np.ndarray, ratios: np.ndarray, times: np.n
     return np.array(out)
 
 
-def _mixture(weights: np.ndarray, counts: list[np.ndarray], contexts: list[np.ndarray], distinct: float) -> np.ndarray:
+def _mixture(weights: np.ndarray, p: np.ndarray, contexts: list[np.ndarray], bucket: np.ndarray) -> np.ndarray:
     """The probability of each token.  Orders whose context was never seen are left out of the mixture.  One order at a
     time, so that few arrays of a chunk's length live together."""
-    bucket = _bucket(contexts)
     share = weights[bucket, 0]
-    mixed = share / (distinct + 1)
-    for k, (c, h) in enumerate(zip(counts, contexts, strict=True), 1):
+    mixed = share * p[0]
+    for k, h in enumerate(contexts, 1):
         w = np.where(h > 0, weights[bucket, k], 0.0)
         share += w
-        mixed += w * np.divide(c, h, out=np.zeros(len(c)), where=h > 0)
+        mixed += w * p[k]
     return mixed / share
 
 
@@ -300,7 +299,8 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             found, starts = _chunk_tokens(blob, np.frombuffer(lengths, np.int64), tokens)
             counts = [_counts(got, k, "every").astype(np.float64)[np.unique(keys, return_inverse=True)[1]] for k, keys in enumerate(_grams(found, starts, order), 1)]
             contexts = _contexts(counts, starts, documents, n_all)
-            logs = np.log10(_mixture(weights, counts, contexts, v_all))
+            p, bucket = _estimates(counts, contexts, v_all)
+            logs = np.log10(_mixture(weights, p, contexts, bucket))
             base = np.log10((counts[0] + 1) / (n_all + v_all + 1))
             first = starts[:-1]
             parts.append(
