@@ -91,14 +91,15 @@ def image_hashes(images: Iterator[pd.Series]) -> Iterator[pd.Series]:
         yield part.map(image_hash)
 
 
-def _number(x: Column) -> Column:
+def hash_number(x: Column) -> Column:
+    """The 64 bits of a lower-case hex hash; null for any other text."""
     return F.when(x.rlike("^[0-9a-f]{1,16}$"), F.conv(x, 16, -10).cast("bigint"))
 
 
 def hamming(a: Column, b: Column) -> Column:
     """Bits in which two hex hashes differ; of texts that are no hex, 0 if they are equal; else null."""
     a, b = F.lower(clean(a)), F.lower(clean(b))
-    apart = F.bit_count(_number(a).bitwiseXOR(_number(b)))
+    apart = F.bit_count(hash_number(a).bitwiseXOR(hash_number(b)))
     return F.when((a == "") | (b == ""), F.lit(None).cast("int")).otherwise(F.coalesce(apart, F.when(a == b, 0)))
 
 

@@ -15,7 +15,7 @@ from ..functions import dates as D
 from ..functions import html as H
 from ..functions import registry as R
 from ..functions import text as T
-from ..functions.hashing import hash_similarity, image_hashes
+from ..functions.hashing import hash_number, hash_similarity, image_hashes
 
 DNS = "host string, dns_check_pass int, dns_resolves_to_ip int, resolved_ips string, cname_exists int, cname_chain_length int, dns_error string, status string"
 TLS = "host string, https_enabled int, ssl_valid int, cert_age_days int, ct_log_first_seen_days int, tls_error string, status string"
@@ -72,10 +72,14 @@ def hash_references(references: DataFrame, hash_col: str, suffixes: tuple[str, .
 
 
 def _hash_score(rows: DataFrame, value: str, keys: Column, references: DataFrame, out: str) -> DataFrame:
-    """The best similarity of the hash to the references under any of the row's keys."""
-    wanted = rows.select("_row", F.col(value).alias("_h"), F.explode(F.array_distinct(keys)).alias("key")).where("_h <> '' and key <> ''")
-    best = wanted.join(references, "key").groupBy("_row").agg(F.max(hash_similarity(F.col("_h"), F.col("hash"))).alias(out))
-    return rows.join(best, "_row", "left").withColumn(out, F.round(F.coalesce(out, F.lit(0.0)), 6))
+    """The best similarity of the hash to the references under any of the row's keys.  It is found for each distinct hash
+    and keys and comes back by them, so it does not matter in which order rows arrive when a task runs again."""
+    rows = rows.withColumn("_keys", F.array_distinct(keys))
+    asked = rows.select(F.col(value).alias("_h"), F.col("_keys").alias("_k")).distinct()
+    wanted = asked.withColumn("key", F.explode("_k")).where("_h <> '' and key <> ''")
+    best = wanted.join(references, "key").groupBy("_h", "_k").agg(F.max(hash_similarity(F.col("_h"), F.col("hash"))).alias(out))
+    joined = rows.join(best, (F.col(value) == F.col("_h")) & (F.col("_keys") == F.col("_k")), "left").drop("_h", "_k", "_keys")
+    return joined.withColumn(out, F.round(F.coalesce(out, F.lit(0.0)), 6))
 
 
 def nearest_hash(rows: DataFrame, key: str, hash_col: str, references: DataFrame, limit: int, out: str) -> DataFrame:
@@ -86,9 +90,14 @@ def nearest_hash(rows: DataFrame, key: str, hash_col: str, references: DataFrame
     if n == 0:
         return rows.withColumn(out, F.lit(0.0))
     blocks = max(1, -(-n // limit))
-    grouped = listed.groupBy(F.pmod(F.xxhash64("hash"), F.lit(blocks)).alias("block")).agg(F.collect_list("hash").alias("hashes"))
+    # Hex hashes are compared as numbers, read once on either side; any other text can only be equal.
+    number = hash_number(F.col("hash"))
+    grouped = listed.groupBy(F.pmod(F.xxhash64("hash"), F.lit(blocks)).alias("block")).agg(F.collect_list(number).alias("numbers"), F.collect_list(F.when(number.isNull(), F.col("hash"))).alias("texts"))
     keyed = rows.select(F.lower(T.clean(hash_col)).alias("_h")).where("_h <> ''").distinct().withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    found = keyed.join(grouped, "block").select("_h", F.array_max(F.transform("hashes", lambda r: hash_similarity(F.col("_h"), r))).alias("_s"))
+    keyed = keyed.withColumn("_n", hash_number(F.col("_h")))
+    apart = F.array_min(F.transform("numbers", lambda r: F.bit_count(F.col("_n").bitwiseXOR(r))))
+    near = F.when(F.col("_n").isNull(), F.array_contains("texts", F.col("_h")).cast("double")).otherwise(1.0 - apart / 64.0)
+    found = keyed.join(grouped, "block").select("_h", F.coalesce(near, F.lit(0.0)).alias("_s"))
     best = found.groupBy("_h").agg(F.max("_s").alias(out))
     joined = rows.join(best, F.lower(T.clean(hash_col)) == F.col("_h"), "left").drop("_h")
     return joined.withColumn(out, F.round(F.coalesce(out, F.lit(0.0)), 6))
@@ -150,7 +159,7 @@ def feature_rows(rows: DataFrame, brands: DataFrame, s: Settings, given: dict[st
     references = references or {}
     today = F.to_date(F.lit(s.observation_date))
     base = rows.withColumn("url", T.ensure_url("url")).drop("host", "target", "brand_token_list", *LEXICAL)  # of the match before
-    base = lexical_features(base, brands, s).withColumn("_row", F.monotonically_increasing_id())
+    base = lexical_features(base, brands, s)
     base = lookup(base, tables["dns"], "host", F.col("host"), "d_")
     base = lookup(base, tables["registration"], "registered_domain", F.col("registered_domain"), "r_")
     base = lookup(base, tables["tls"], "host", F.col("host"), "t_")

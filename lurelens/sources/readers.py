@@ -42,11 +42,14 @@ def read_lines(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_csv(spark: SparkSession, path: str, encoding: str | None = None) -> DataFrame:
-    """All columns as text.  UTF-8 with or without a mark; a file that is no UTF-8 is read as Latin-1."""
-    if encoding is None:
-        broken = spark.read.text(path).where(F.expr("is_valid_utf8(value)") == F.lit(False)).limit(1).count()
-        encoding = "ISO-8859-1" if broken else "UTF-8"
-    df = spark.read.csv(path, header=True, encoding=encoding, multiLine=True, escape='"', enforceSchema=False)
+    """All columns as text.  UTF-8 with or without a mark; a file that is no UTF-8 is read as Latin-1.
+
+    A first pass over the lines finds the encoding and whether any line has an odd number of quotes: only then can a
+    value go over lines, and the file is read as a whole; any other file is read in splits."""
+    odd = F.col("value").isNotNull() & (F.length(F.regexp_replace("value", '[^"]', "")) % 2 == 1)
+    seen = spark.read.text(path).agg(F.count_if(~F.expr("is_valid_utf8(value)")).alias("broken"), F.count_if(odd).alias("odd")).first()
+    encoding = encoding or ("ISO-8859-1" if seen["broken"] else "UTF-8")
+    df = spark.read.csv(path, header=True, encoding=encoding, multiLine=seen["odd"] > 0, escape='"', enforceSchema=False)
     return df.toDF(*(c.lstrip("﻿") for c in df.columns))
 
 
@@ -70,10 +73,24 @@ def aliased(df: DataFrame, headers: tuple[str, ...]) -> Column:
     return T.first_filled(*there) if there else F.lit("")
 
 
+def row_number_in_file(df: DataFrame) -> Column:
+    """The place, from 0, of each row of a table that is read from one file.  The rows of a split count on from those of
+    the splits before it; one count for each split comes to the driver, where there are several."""
+    within = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+    if df.rdd.getNumPartitions() < 2:
+        return within
+    counts = sorted(map(tuple, df.groupBy(F.spark_partition_id().alias("p")).count().collect()))
+    starts, before = [], 0
+    for part, n in counts:
+        starts += [F.lit(part), F.lit(before)]
+        before += n
+    return within + F.coalesce(F.create_map(*starts)[F.spark_partition_id()], F.lit(0)) if starts else within
+
+
 def to_contexts(df: DataFrame, file: str) -> DataFrame:
     """Candidate rows of a raw table; rows without a host are left out.  source_row counts the header line as 1."""
     host = T.hostname(aliased(df, HEADERS["detected"]))
-    numbered = df.withColumn("_n", F.monotonically_increasing_id())
+    numbered = df.withColumn("_n", row_number_in_file(df))
     one = lambda k: aliased(df, HEADERS[k]).alias(k)
     out = numbered.select(
         T.ensure_url(aliased(df, HEADERS["detected"])).alias("url"), host.alias("detected_domain"), one("target_domain"), one("cse_name"),
