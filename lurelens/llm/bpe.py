@@ -264,9 +264,9 @@ class BlockCodes:
             n = int.from_bytes(data[:8], "little")
             found[0].append(np.frombuffer(data, "<u8", n, 8))
             found[1].append(np.frombuffer(data, "<u2", n, 8 + 8 * n))
-            found[2].append(np.frombuffer(data, "<u4", -1, 8 + 10 * n))
-        self.hashes, self.sizes, ids = map(np.concatenate, found)
-        self.ids = ids.astype(np.uint16) if not len(ids) or ids.max() < 1 << 16 else ids
+            ids = np.frombuffer(data, "<u4", -1, 8 + 10 * n)
+            found[2].append(ids.astype(np.uint16 if not len(ids) or ids.max() < 1 << 16 else np.uint32))
+        self.hashes, self.sizes, self.ids = map(np.concatenate, found)
         self.first = np.cumsum(self.sizes, dtype=np.uint32) - self.sizes
 
     def find(self, words: list[bytes]) -> np.ndarray:
@@ -340,7 +340,7 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, id_col: str =
                     units.take(texts[stop])
                     held, stop = held + len(texts[stop]), stop + 1
                 now = blocks.get(unit)
-                if now != block or len(known) > 400_000:
+                if now != block or len(known) > 200_000:
                     known, own = {}, []
                 if now != block:
                     block, codes = now, None

@@ -28,6 +28,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -136,10 +137,11 @@ def write_ids(docs: DataFrame, tokenizer_path: str, folder: str, id_col: str = "
         keys: list[int] = []
         runs: list[np.ndarray] = []
         held, part, seq = 0, 0, 0
+        attempt = TaskContext.get().taskAttemptId()  # one that runs again leaves the files of another alone
 
         def flush() -> pa.RecordBatch:
             offsets = np.concatenate(([0], np.cumsum([len(x) for x in runs])))
-            path = f"{folder}/ids-{part:06d}-{seq:06d}.dac"
+            path = f"{folder}/ids-{part:06d}-{seq:06d}-{attempt}.dac"
             put_file(path, pack(np.array(keys, np.int64), offsets, np.concatenate(runs)))
             return pa.RecordBatch.from_pydict({"part": [part], "seq": [seq], "path": [path], "n_docs": [len(keys)], "n_ids": [held]})
 
@@ -172,9 +174,9 @@ def read_checks(files: DataFrame) -> DataFrame:
 
 def _read(files: DataFrame, field: str, value, kind: pa.DataType) -> DataFrame:
     # One total for each partition comes to the driver; the places of the files within it are summed in a window.
-    totals = sorted((r["part"], r["n"]) for r in files.groupBy("part").agg(F.sum("n_ids").alias("n")).collect())
+    totals = sorted((r["part"], r["n"], r["files"]) for r in files.groupBy("part").agg(F.sum("n_ids").alias("n"), F.count("*").alias("files")).collect())
     starts, done = [], 0
-    for part, n in totals:
+    for part, n, _ in totals:
         starts.append((part, done))
         done += n
     spark = files.sparkSession
@@ -183,7 +185,7 @@ def _read(files: DataFrame, field: str, value, kind: pa.DataType) -> DataFrame:
 
     within = Window.partitionBy("part").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
     placed = files.withColumn("file_start", F.coalesce(F.sum("n_ids").over(within), F.lit(0))).join(before, "part")
-    placed = placed.select("path", (F.col("part_start") + F.col("file_start")).alias("start")).repartition("path")
+    placed = placed.select("path", (F.col("part_start") + F.col("file_start")).alias("start")).repartition(min(max(sum(f for _, _, f in totals), 1), 20_000), "path")
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

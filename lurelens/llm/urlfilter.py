@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import keep
+
 HOST = r"^[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)"
 PATH = r"^[^:]+://[^/?#]*(/[^?#]*)"
 
@@ -56,12 +58,13 @@ def evaluate(captures: DataFrame, entries: DataFrame, id_col: str = "page_id", u
     n_active counts the listed (pattern, category) that match the URL and are active at fetch time (from valid_from
     on, before valid_to); categories are theirs, sorted and joined by commas.  A null or malformed URL matches
     nothing, and neither does a capture without a time.  Repeated rows come back as they are; other columns are left
-    out.  Spark splits a hot pattern's captures, as the join is on plain shuffles and the list is never broadcast
-    unless Spark finds it small.
+    out.  The captures are written once with a number of each, so that it stays the same if a task runs again.  Only keys
+    that are listed at all go on to the join with the intervals, in which Spark splits a hot pattern's captures.
     """
-    rows = captures.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"), F.col(url_col).alias("url"), F.col(time_col).alias("at"))
+    rows = keep(captures.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"), F.col(url_col).alias("url"), F.col(time_col).alias("at")), "captures")
     keyed = rows.select("row", "at", F.explode(match_keys(F.col("url"))).alias("pattern")).where("at is not null")
     listed = intervals(entries)
+    keyed = keyed.join(listed.select("pattern").distinct(), "pattern", "left_semi")
     active = keyed.join(listed, "pattern").where("valid_from <= at and (valid_to is null or at < valid_to)")
     summed = active.groupBy("row").agg(F.count("*").alias("n"), F.array_join(F.array_sort(F.collect_set("category")), ",").alias("categories"))
     out = rows.select("row", "id", host(F.col("url")).alias("host"), "at").join(summed, "row", "left")

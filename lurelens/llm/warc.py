@@ -133,10 +133,12 @@ def write_archives(captures: DataFrame, folder: str, least_bytes: int = 1000, fi
     chosen = captures.select(F.col("page_id").cast("long").alias("page_id"), "url", F.coalesce("captured_at", F.lit("1970-01-01T00:00:00Z")).alias("captured_at"), "html")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # The attempt is in the names: one that runs again leaves the files alone to which the index may point.
         part, seq, out, run = TaskContext.get().partitionId(), 0, None, []
+        attempt = TaskContext.get().taskAttemptId()
 
         def open_file():
-            path = f"{folder}/captures-{part:06d}-{seq:06d}.warc.gz"
+            path = f"{folder}/captures-{part:06d}-{seq:06d}-{attempt}.warc.gz"
             store, local = filesystem(path)
             store.create_dir(posixpath.dirname(local), recursive=True)
             own = f"{local}.{uuid.uuid4().hex}.part"
@@ -207,7 +209,9 @@ def read_archives(index: DataFrame) -> DataFrame:
     """One row for each capture of the index, read from its archive: page_id, url, captured_at, record_type,
     payload_bytes and payload_digest (both of the full payload), refers_to, payload (null for a revisit).  A record
     whose payload does not have the digest it states fails."""
-    places = index.select("file", "offset", "length").repartition("file").sortWithinPartitions("file", "offset")
+    # As many tasks as archives: the index is small, the archives are not.
+    files = index.agg(F.count_distinct("file")).first()[0]
+    places = index.select("file", "offset", "length").repartition(min(max(files, 1), 20_000), "file").sortWithinPartitions("file", "offset")
 
     def number(name: str) -> int | None:
         found = re.fullmatch(r"<urn:page:(-?\d*)>", name)
