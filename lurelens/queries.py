@@ -326,19 +326,16 @@ def dom_simhash(spark, d):
     return _t(spark, d, "pages").select("page_id", P.dom_hash("html").alias("dom_hash"))
 
 
-@query("""WITH w AS (SELECT doc_id, regexp_extract_all(lower(text), '[a-z0-9]+') AS w FROM documents WHERE length(text) < 2000),
+_SUMS = ", ".join(f"sum(CASE WHEN (h >> {i}) & 1 = 1 THEN n ELSE -n END) AS b{i}" for i in range(64))
+_BITS = " || ".join(f"CASE WHEN b{i} >= 0 THEN '1' ELSE '0' END" for i in reversed(range(64)))
+
+
+@query(f"""WITH w AS (SELECT doc_id, regexp_extract_all(lower(text), '[a-z0-9]+') AS w FROM documents),
 f AS (SELECT doc_id, unnest(w) AS f, 1 AS n FROM w UNION ALL SELECT doc_id, unnest(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])), 2 FROM w),
 g AS (SELECT doc_id, ('0x' || substr(md5(f), 1, 16))::UBIGINT AS h, sum(n) AS n FROM f GROUP BY doc_id, f),
-b AS (SELECT doc_id, i, sum(CASE WHEN (h >> i) & 1 = 1 THEN n ELSE -n END) AS s FROM g, (SELECT unnest(range(0, 64)) AS i) GROUP BY doc_id, i)
-SELECT doc_id, string_agg(CASE WHEN s >= 0 THEN '1' ELSE '0' END, '' ORDER BY i DESC) AS bits FROM b GROUP BY doc_id""")
+s AS (SELECT doc_id, {_SUMS} FROM g GROUP BY doc_id)
+SELECT doc_id, CASE WHEN b0 IS NULL THEN '' ELSE {_BITS} END AS bits FROM documents LEFT JOIN s USING (doc_id)""")
 def simhash_md5(spark, d):
-    """The part that its SQL compares, texts under 2,000 characters with words; simhash_md5_whole has every document."""
-    rows = _t(spark, d, "documents").where(F.length("text") < 2000).select("doc_id", H.simhash_md5("text").alias("h")).where("h <> ''")
-    return rows.select("doc_id", F.lpad(F.conv("h", 16, 2), 64, "0").alias("bits"))
-
-
-@query()
-def simhash_md5_whole(spark, d):
     """Every document, of any length; bits are "" for a text without words."""
     rows = _t(spark, d, "documents").select("doc_id", H.simhash_md5("text").alias("h"))
     return rows.select("doc_id", F.when(F.col("h") == "", "").otherwise(F.lpad(F.conv("h", 16, 2), 64, "0")).alias("bits"))

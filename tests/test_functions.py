@@ -152,5 +152,5 @@ def test_simhash_of_whole_table(spark, tmp_path):
         hashed = [(int(hashlib.md5(p.encode()).hexdigest()[:16], 16), n) for p, n in parts]
         return "".join("1" if sum(n if h >> i & 1 else -n for h, n in hashed) >= 0 else "0" for i in range(63, -1, -1)) if words else ""
 
-    found = QUERIES["simhash_md5_whole"](spark, str(tmp_path)).collect()
+    found = QUERIES["simhash_md5"](spark, str(tmp_path)).collect()
     assert {r["doc_id"]: r["bits"] for r in found} == {i: brute(t) for i, t in enumerate(texts)} and len(found) == len(texts)
