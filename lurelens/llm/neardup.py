@@ -186,9 +186,12 @@ def set_join(left: list[tuple], right: list[tuple], threshold: float, linked: Li
     sets = [x for _, x in right]
     sizes = np.array([len(x) for x in sets])
     flat = np.concatenate(sets)
-    known, inverse, often = np.unique(flat, return_inverse=True, return_counts=True)
-    owners = np.repeat(np.arange(len(sets)), sizes)[np.argsort(inverse, kind="stable")]
-    first = np.cumsum(often) - often
+    order = np.argsort(flat, kind="stable")
+    owners, flat = np.repeat(np.arange(len(sets), dtype=np.int32), sizes)[order], flat[order]
+    del order
+    first = np.flatnonzero(np.concatenate([[True], flat[1:] != flat[:-1]]))
+    known, often = flat[first], np.diff(first, append=len(flat))
+    del flat
     for node, x in left:
         at = np.minimum(np.searchsorted(known, x), len(known) - 1)
         at = at[known[at] == x]
@@ -246,7 +249,7 @@ def _block_of(blocks: str, *salt) -> Column:
     return F.pmod(F.xxhash64("node", *map(F.lit, salt)), F.col(blocks)).cast("int")
 
 
-def links(signed: DataFrame, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, threshold: float = 0.8, weighting: str = "unit", block_rows: int = 8192, block_elements: int = 2 << 20) -> tuple[DataFrame, DataFrame]:
+def links(signed: DataFrame, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, threshold: float = 0.8, weighting: str = "unit", block_rows: int = 8192, block_elements: int = 1 << 20) -> tuple[DataFrame, DataFrame]:
     """(membership, edges): the node of each document, which is the least id with its words, and verified links
     (a, b, similarity) of nodes that hold every candidate pair at or over the threshold together."""
     # The key is of the words, which decide n and the buckets: one row stands for all of its key, however often one repeats.

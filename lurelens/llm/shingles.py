@@ -31,7 +31,7 @@ class Shingler:
 
     def __init__(self, size: int = 5):
         self.size = size
-        self.known = Memo(xxhash.xxh3_64_intdigest)
+        self.known = Memo(xxhash.xxh3_64_intdigest, 100_000)
 
     def hashes(self, found: list[bytes]) -> np.ndarray:
         return np.fromiter(map(self.known.__getitem__, found), np.uint64, len(found))
