@@ -14,6 +14,7 @@ from .config import HOMOGLYPHS, REPUTATION, STOPWORDS, SUFFIXES, Settings, thres
 from .functions import dates as D
 from .functions import hashing as H
 from .functions import html as P
+from .functions import registry as G
 from .functions import similarity as S
 from .functions import text as T
 from .operators import contexts as C
@@ -22,7 +23,7 @@ from .operators import evidence as E
 from .operators import metrics as M
 from .operators import rules as R
 from .operators.match import best_brands, brand_blocks, match_brands, split_by_match
-from .plans import learn
+from .plans import learn, reports
 from .plans.enrich import imitation_report
 
 #: With these as suffixes, the label before them varies; all test hosts lie below them.
@@ -535,3 +536,54 @@ def pu_train_score(spark, d):
     )
     trained = learn.train(rows, Settings(), tries=10)
     return trained.scored.select(F.col("row_key").alias("doc_id"), "pu_training_role", F.round("pu_score", 6).alias("pu_score"), "pu_prediction")
+
+
+# Functions on texts made of the tables' columns.
+
+
+@query(r"SELECT page_id, regexp_extract(lower(url), '^([^:]*://[^/?#]*)', 1) || ':8080' AS origin, regexp_replace(regexp_extract(url, '^[^:]*://([^/?#]*[^?#]*)', 1).lower(), '[^a-z0-9]+', '', 'g') AS url_alnum FROM pages")
+def url_origins(spark, d):
+    """The origin of each URL with a port put in, and the letters and digits of its host and path."""
+    ported = F.regexp_replace("url", "^([^:]*://[^/?#]*)", "$1:8080")
+    return _t(spark, d, "pages").select("page_id", T.origin(ported).alias("origin"), T.url_alnum("url").alias("url_alnum"))
+
+
+@query(f"SELECT page_id, CASE page_id % 3 WHEN 0 THEN '10.0.0.' || page_id % 256 WHEN 1 THEN '' ELSE ' 10.1.1.1 ' END AS first_ip, [{_host('url')}, 'b.example.org', 'c.example.org'] AS hosts FROM pages")
+def cell_lists(spark, d):
+    """The first address of a list and the hosts of a cell with several separators."""
+    ips = F.expr("CASE page_id % 3 WHEN 0 THEN concat(' ;10.0.0.', page_id % 256, ';10.9.9.9') WHEN 1 THEN NULL ELSE ' 10.1.1.1 ;' END")
+    cell = F.concat("url", F.lit(" ; (b.example.org)|WWW.C.example.org, "))
+    return _t(spark, d, "pages").select("page_id", T.first_ip(ips).alias("first_ip"), T.split_hosts(cell).alias("hosts"))
+
+
+@query("SELECT doc_id, CASE WHEN doc_id % 4 = 0 THEN 'Suspected' WHEN contains(source, '1') THEN 'Phishing' WHEN contains(source, '2') THEN 'Unlabeled' ELSE '' END AS label, CASE doc_id % 7 WHEN 0 THEN 1 WHEN 1 THEN 0 WHEN 3 THEN 1 WHEN 4 THEN 0 END AS truth FROM documents")
+def label_inference(spark, d):
+    """Labels from file names where none is given, and truths from texts."""
+    rows = _t(spark, d, "documents")
+    file = F.when(F.col("source").contains("1"), "PhishTank.csv").when(F.col("source").contains("2"), "dnstwist_out.csv").otherwise(F.col("source"))
+    said = F.expr("CASE doc_id % 7 WHEN 0 THEN ' Phishing ' WHEN 1 THEN 'legitimate' WHEN 2 THEN 'Suspected' WHEN 3 THEN 'TRUE' WHEN 4 THEN 'no' WHEN 5 THEN '' END")
+    return rows.select("doc_id", T.inferred_label(F.expr("CASE WHEN doc_id % 4 = 0 THEN ' Suspected' ELSE 'nan' END"), file).alias("label"), T.truth(said).alias("truth"))
+
+
+@query("""SELECT doc_id, strftime(TIMESTAMP '2020-01-01' + to_days(CAST(doc_id % 900 AS INTEGER)), '%Y-%m-%d') AS created, 'reg' || doc_id % 5 AS registrar,
+  CAST(greatest(datediff('day', TIMESTAMP '2020-01-01' + to_days(CAST(doc_id % 900 AS INTEGER)), TIMESTAMP '2022-01-01'), 0) AS INTEGER) AS age, CAST(CASE WHEN doc_id % 2 = 0 THEN doc_id % 900 - 731 ELSE -1 END AS INTEGER) AS expires_in FROM documents""")
+def registry_answers(spark, d):
+    """Registration answers, as JSON texts made of ids, and their exact ages."""
+    day = F.expr("date_format(date_add(DATE'2020-01-01', cast(doc_id % 900 AS int)), 'yyyy-MM-dd')")
+    end = F.when(F.col("doc_id") % 2 == 0, F.concat(day, F.lit("T00:00:00Z"))).otherwise("soon")
+    text = F.concat(F.lit('{"events":[{"eventAction":"expiration","eventDate":"'), end, F.lit('"},{"eventAction":"registration","eventDate":"'), day, F.lit('T00:00:00Z"}],"registrarName":"reg'), F.col("doc_id") % 5, F.lit('"}'))
+    rows = _t(spark, d, "documents").select("doc_id", G.answer(text).alias("a")).select("doc_id", G.created(F.col("a")).alias("created"), G.expires(F.col("a")).alias("end"), G.registrar(F.col("a")).alias("registrar"))
+    now = F.lit("2022-01-01 00:00:00").cast("timestamp")
+    created = F.date_format("created", "yyyy-MM-dd").alias("created")
+    return rows.select("doc_id", created, "registrar", D.age_exact(F.col("created"), now).alias("age"), D.expiry_exact(F.col("end"), now).alias("expires_in"))
+
+
+@query(f"WITH s AS ({_SCORED}) SELECT count(*) FILTER (WHERE y = 1 AND s >= 0.4) AS tp, count(*) FILTER (WHERE y = 0 AND s < 0.4) AS tn, min(s) FILTER (WHERE y = 1) AS positive_score_min, max(s) FILTER (WHERE y = 0) AS negative_score_max FROM s")
+def metric_summaries(spark, d):
+    return M.metric_summary(_scored(spark, d), "y", "s", 0.4).select("tp", "tn", "positive_score_min", "negative_score_max")
+
+
+@query(f"SELECT page_id FROM pages WHERE {_host('url')} IN (SELECT {_host('url')} FROM pages WHERE page_id % 10 = 3)")
+def listed_hosts(spark, d):
+    rows = _t(spark, d, "pages").select("page_id", "url")
+    return reports.hosts_in(rows, rows.where("page_id % 10 = 3").select(F.col("url").alias("host"))).select("page_id")
