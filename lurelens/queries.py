@@ -587,3 +587,47 @@ def metric_summaries(spark, d):
 def listed_hosts(spark, d):
     rows = _t(spark, d, "pages").select("page_id", "url")
     return reports.hosts_in(rows, rows.where("page_id % 10 = 3").select(F.col("url").alias("host"))).select("page_id")
+
+
+@query("""SELECT page_id, 'in-' || page_id AS form, page_id % 2 = 0 AS has_password, 'hello brand ' || page_id AS meta, CASE WHEN page_id % 3 = 0 THEN '/fav.ico' END AS icon, 'logo' || page_id || '.png' AS image FROM pages""")
+def html_form_parts(spark, d):
+    """Forms, password fields, meta texts, icons and images, in pages with such a head put before them."""
+    head = F.concat(F.lit('<form action="in-'), F.col("page_id"), F.lit('"><input type="'), F.expr("CASE WHEN page_id % 2 = 0 THEN 'Password' ELSE 'text' END"), F.lit('"></form><meta name="description" content="Hello Brand '), F.col("page_id"), F.lit('"><img src="logo'), F.col("page_id"), F.lit('.png" alt="x">'), F.expr("""CASE WHEN page_id % 3 = 0 THEN '<link rel="shortcut ICON" href="/fav.ico">' ELSE '' END"""))
+    parts = _t(spark, d, "pages").select("page_id", P.page_parts(head).alias("p"))
+    return parts.select("page_id", F.get("p.forms", F.lit(0)).alias("form"), "p.has_password", "p.meta", "p.icon", F.get("p.images", F.lit(0))["src"].alias("image"))
+
+
+@query(f"SELECT page_id, CASE WHEN page_id % 3 = 0 THEN 'active' ELSE 'failed' END AS side, CASE page_id % 3 WHEN 0 THEN '' WHEN 1 THEN 'NXDOMAIN' ELSE 'error' END AS dns_status FROM pages")
+def dns_split_rows(spark, d):
+    """DNS evidence for two rows of three by host and page: one resolves, one fails, one is not there."""
+    rows = _candidates(spark, d).withColumn("detected_domain", F.concat(F.lit("p"), F.col("ord"), F.lit("."), F.col("detected_domain")))
+    known = rows.where("ord % 3 <> 2").select(F.col("detected_domain").alias("host"), F.expr("CASE WHEN ord % 3 = 0 THEN 'ok' ELSE 'NXDOMAIN' END").alias("status"), F.expr("CASE WHEN ord % 3 = 0 THEN 1 ELSE 0 END").alias("dns_check_pass"), F.lit(0).alias("dns_resolves_to_ip"), F.lit("").alias("resolved_ips"), F.lit(0).alias("cname_exists"), F.lit(0).alias("cname_chain_length"), F.lit("").alias("dns_error"))
+    active, failed = C.dns_split(rows, known)
+    both = active.select("source_row", F.lit("active").alias("side"), F.lit("").alias("dns_status")).union(failed.select("source_row", F.lit("failed"), "dns_status"))
+    return both.select(F.col("source_row").cast("long").alias("page_id"), "side", "dns_status")
+
+
+@query(f"WITH s AS ({_SCORED}) SELECT doc_id, CASE WHEN s >= 0.9 THEN 'urgent' WHEN s >= 0.7 THEN 'high' WHEN s >= 0.4 THEN 'medium' ELSE 'low' END AS band FROM s")
+def review_bands(spark, d):
+    rows = _scored(spark, d).select("doc_id", F.col("s").alias("pu_score"), F.col("doc_id").cast("string").alias("url"))
+    return reports.for_review(rows).select("doc_id", "band")
+
+
+@query(f"WITH s AS ({_SCORED}), n AS (SELECT *, row_number() OVER (ORDER BY s, doc_id) AS k, count(*) OVER () AS c FROM s WHERE y = 0) SELECT doc_id FROM n WHERE k <= 30")
+def reliable_negative_fallback(spark, d):
+    """A cutoff that no score is under, so that the lowest 30 are taken."""
+    marked = M.reliable_negatives(_scored(spark, d).where("y = 0"), "s", "doc_id", 0.3, -1.0, 30)
+    return marked.where("is_reliable").select("doc_id")
+
+
+@query("SELECT 'both' AS agreement, page_id FROM pages WHERE page_id % 6 = 0 UNION ALL SELECT 'hardened', page_id FROM pages WHERE page_id % 6 IN (2, 4)")
+def model_agreement(spark, d):
+    """Rows that both models accept, and those that only the hardened one accepts."""
+    rows = _t(spark, d, "pages").select(F.col("page_id").cast("string").alias("url"), F.lit("").alias("target_brand_domain"), F.lit(0.5).alias("standard_score"), F.lit(0.5).alias("hardened_score"), F.lit("").alias("validation_status"), F.expr("int(page_id % 3 = 0)").alias("standard_prediction"), F.expr("int(page_id % 2 = 0)").alias("hardened_prediction"))
+    out = reports.both_models(rows).select(F.lit("both").alias("agreement"), "url").union(reports.hardened_only(rows).select(F.lit("hardened"), "url"))
+    return out.select("agreement", F.col("url").cast("long").alias("page_id"))
+
+
+@query(f"SELECT page_id, CASE WHEN page_id % 3 = 0 THEN regexp_extract(url, '^([^:]*://[^/?#]*)', 1) || '/fav.ico' ELSE regexp_extract(url, '^([^:]*://[^/?#]*)', 1) || '/favicon.ico' END AS icon FROM pages")
+def favicon_urls(spark, d):
+    return _t(spark, d, "pages").select("page_id", P.favicon_url(F.col("url"), F.expr("CASE WHEN page_id % 3 = 0 THEN '/fav.ico' END")).alias("icon"))
