@@ -1,15 +1,17 @@
 """Byte-level BPE encoding and decoding.
 
 Distinct words are encoded by Spark's higher-order functions: each word of a block of documents is folded, merge
-by merge, over the array of its byte pieces, with the ranks in a literal map.  The map is an array of small maps
-indexed by CRC-32, as a look-up in one Spark map takes time in proportion to its size.
+by merge, over the array of its bytes, with the ranks in a literal map.  Pieces are held by their ids, and the map has
+the rank of each pair of pieces that is one too.  It is an array of small maps indexed by a hash, as a look-up in one
+Spark map takes time in proportion to its size.
 
 Texts are read twice.  The first pass sends the distinct words of each input partition, cut into parts by their hashes;
 a part's words are folded once for all documents of a block, which is a run of input partitions with about
 ``block_chars`` characters, and their ids are written in the shared folder as sorted arrays, so that memory is bounded
 whatever the corpus is.  The second pass splits the texts again and lays out the ids of their words.  No text is
-shuffled.  Words of over LONG_WORD bytes, which a fold would copy at every step, and any that the block's arrays lack, as
-when a task that runs again meets its rows in another order, are merged in the second pass.
+shuffled.  Words of over LONG_WORD bytes, which a fold would copy at every step, tokens that the merges alone do not give,
+and any words that the block's arrays lack, as when a task that runs again meets its rows in another order, are merged in
+the second pass.
 """
 
 from __future__ import annotations
@@ -17,7 +19,6 @@ from __future__ import annotations
 import base64
 import heapq
 import json
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,9 +30,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import discard, filesystem, grouped, keep, new_path, put_file, tune
-from .pretokens import byte_letters, make_split
+from .pretokens import make_split
 
-BUCKETS = 1 << 14
+BUCKETS = 1 << 16
+SPREAD = 40503  #: odd, so that the pairs of one piece with others fall into different buckets
 NO_RANK = 2**31 - 1
 PARTS = 64  #: into which the words of a block are cut, by the leading bits of their hashes
 LONG_WORD = 512
@@ -43,55 +45,47 @@ def read_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(x[0]): int(x[1]) for x in map(bytes.split, lines) if x}
 
 
-def rank_table(ranks: dict[bytes, int]) -> Column:
-    """The ranks as a literal array of maps: the map at crc32(token) mod BUCKETS has the token, in byte letters."""
-    letters = byte_letters()
+def pair_table(ranks: dict[bytes, int]) -> Column:
+    """The ranks of pairs as a literal array of maps: the map at (left * SPREAD + right) mod BUCKETS has the pair of ids, as
+    left * 2^32 + right, of each two tokens which make a third."""
     maps: dict[int, list[str]] = {}
     for token, rank in ranks.items():
-        name = "".join(map(letters.__getitem__, token))
-        maps.setdefault(zlib.crc32(name.encode()) % BUCKETS, []).append(f"{json.dumps(name, ensure_ascii=False)}:{rank}")
+        for i in range(1, len(token)):
+            left, right = ranks.get(token[:i]), ranks.get(token[i:])
+            if left is not None and right is not None:
+                maps.setdefault((left * SPREAD + right) % BUCKETS, []).append(f'"{left << 32 | right}":{rank}')
     text = ",".join("{" + ",".join(maps.get(k, ())) + "}" for k in range(BUCKETS))
-    return F.from_json(F.lit(f"[{text}]"), "array<map<string,int>>")
+    return F.from_json(F.lit(f"[{text}]"), "array<map<string,int>>").cast("array<map<bigint,int>>")
 
 
 def _let(value: Column, body) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
-def fold_word(word: Column, ranks: Column) -> Column:
-    """The ids of one word, which is a string of byte letters.
+def fold_word(word: Column, pairs: Column) -> Column:
+    """The ids that the merges give one word, which is an array of the ids of its bytes.
 
-    A word that has a rank is that token.  Else the state of the fold is the array of pieces and the array of the
-    ranks of neighbouring pairs; a step joins the leftmost pair of least rank and looks up its two new pairs.
+    The state of the fold is the array of pieces and the array of the ranks of neighbouring pairs; a step joins the
+    leftmost pair of least rank, whose id is that rank, and looks up its two new pairs.  Behind the last pair the ranks
+    may end in some that stand for none.
     """
 
-    def rank(piece: Column) -> Column:
-        bucket = F.get(ranks, F.crc32(piece.cast("binary")).bitwiseAND(BUCKETS - 1).cast("int"))
-        return F.coalesce(F.element_at(bucket, piece), F.lit(NO_RANK))
-
-    def start() -> Column:
-        pieces = F.split(word, "")
-        return _let(
-            pieces,
-            lambda p: F.struct(
-                p.alias("p"),
-                F.transform(F.sequence(F.lit(1), F.size(p) - 1), lambda i: rank(F.concat(F.get(p, i - 1), F.get(p, i)))).alias("r"),
-            ),
-        )
+    def rank(left: Column, right: Column) -> Column:
+        left, right = left.cast("long"), right.cast("long")
+        bucket = F.get(pairs, (left * SPREAD + right).bitwiseAND(F.lit(BUCKETS - 1).cast("long")).cast("int"))
+        return F.coalesce(F.element_at(bucket, F.shiftleft(left, 32).bitwiseOR(right)), F.lit(NO_RANK))
 
     def join(state: Column, best: Column) -> Column:
         p, r = state["p"], state["r"]
 
-        def at(k: Column) -> Column:  # k: 1-based place of the pair
-            def new(piece: Column) -> Column:
-                left = F.when(k > 1, F.array(rank(F.concat(F.get(p, k - 2), piece)))).otherwise(F.array().cast("array<int>"))
-                right = F.when(k < F.size(r), F.array(rank(F.concat(piece, F.get(p, k + 1))))).otherwise(F.array().cast("array<int>"))
-                return F.struct(
-                    F.concat(F.slice(p, F.lit(1), k - 1), F.array(piece), F.slice(p, k + 2, F.size(p))).alias("p"),
-                    F.concat(F.slice(r, F.lit(1), F.greatest(k - 2, F.lit(0))), left, right, F.slice(r, k + 2, F.size(r))).alias("r"),
-                )
+        def at(k: Column) -> Column:  # k: 1-based place of the pair; a look-up beyond either end finds no rank
+            def renewed(x: Column, i: Column) -> Column:
+                return F.when(i == k - 2, rank(F.get(p, k - 2), best)).when(i == k - 1, rank(best, F.get(p, k + 1))).otherwise(x)
 
-            return _let(F.concat(F.get(p, k - 1), F.get(p, k)), new)
+            return F.struct(
+                F.filter(F.transform(p, lambda x, i: F.when(i == k - 1, best).otherwise(x)), lambda x, i: i != k).alias("p"),
+                F.filter(F.transform(r, renewed), lambda x, i: i != k).alias("r"),
+            )
 
         return _let(F.array_position(r, best).cast("int"), at)
 
@@ -101,18 +95,18 @@ def fold_word(word: Column, ranks: Column) -> Column:
             lambda best: F.when(best == NO_RANK, state).otherwise(join(state, best)),
         )
 
-    def merged() -> Column:
-        return F.aggregate(
-            F.sequence(F.lit(1), F.length(word) - 1), start(), step, lambda state: F.transform(state["p"], rank)
-        )
-
-    return _let(rank(word), lambda whole: F.when(whole != NO_RANK, F.array(whole)).otherwise(merged()))
+    ranked = F.zip_with(F.slice(word, F.lit(1), F.size(word) - 1), F.slice(word, 2, F.size(word)), rank)
+    start = F.struct(word.alias("p"), ranked.alias("r"))
+    return F.aggregate(F.sequence(F.lit(1), F.size(word) - 1), start, step, lambda state: state["p"])
 
 
 def merge_word(word: bytes, ranks: dict[bytes, int]) -> list[int]:
-    """The ids of one word of any length: a heap of the ranked pairs, the leftmost of the least rank first."""
-    if word in ranks:
-        return [ranks[word]]
+    """The ids of one word of any length."""
+    return [ranks[word]] if word in ranks else _merges(word, ranks)
+
+
+def _merges(word: bytes, ranks: dict[bytes, int]) -> list[int]:
+    """What the merges give a word: a heap of the ranked pairs, the leftmost of the least rank first."""
     end = [i + 1 for i in range(len(word))]  # where the piece that begins at i ends; 0: it is part of another
     before = list(range(-1, len(word) - 1))
     heap: list[tuple[int, int, int]] = []
@@ -207,7 +201,8 @@ def _fold_blocks(asked: DataFrame, blocks: dict[int, int], ranks: dict[bytes, in
     """Fold the distinct words of each (block, part) and write their hashes, numbers of ids and ids, in the order of the
     hashes, as a file in ``folder``.  What it holds depends on the words alone, so a task may run twice."""
     spark = asked.sparkSession
-    letters = byte_letters()
+    bytes_ = np.array([ranks[bytes([b])] for b in range(256)], np.int32)
+    unmerged = {word for word, rank in ranks.items() if _merges(word, ranks) != [rank]}
     placed = asked.join(spark.createDataFrame(list(blocks.items()), "unit bigint, block bigint"), "unit")
     n = max(1, len(set(blocks.values())))
     placed = placed.select("block", "part", "words").repartition(PARTS * min(n, 1000), "block", "part").sortWithinPartitions("block", "part")
@@ -222,16 +217,18 @@ def _fold_blocks(asked: DataFrame, blocks: dict[int, int], ranks: dict[bytes, in
                 for size in np.frombuffer(raw, "<u2", count, 4).tolist():
                     words.add(raw[at : at + size])
                     at += size
-            found = sorted(words)
+            found = sorted(words - unmerged)
             hashes = _hashes(found)
             alone = np.unique(hashes, return_counts=True)[1] == 1
             order = np.argsort(hashes, kind="stable")
             if not alone.all():  # words of equal hashes are left to the second pass
                 order = order[np.repeat(alone, np.unique(hashes, return_counts=True)[1])]
-            names = ["".join(map(letters.__getitem__, found[i])) for i in order.tolist()]
+            mine = [found[i] for i in order.tolist()]
+            ends = np.cumsum([0, *map(len, mine)]).astype(np.int32)
+            spelled = pa.ListArray.from_arrays(pa.array(ends), pa.array(bytes_[np.frombuffer(b"".join(mine), np.uint8)]))
             yield pa.RecordBatch.from_arrays(
-                [pa.array([block], pa.int64()), pa.array([part], pa.int32()), pa.array([hashes[order].tobytes()], pa.binary()), pa.array([names], pa.list_(pa.string()))],
-                ["block", "part", "hashes", "names"],
+                [pa.array([block], pa.int64()), pa.array([part], pa.int32()), pa.array([hashes[order].tobytes()], pa.binary()), pa.ListArray.from_arrays(pa.array([0, len(mine)], pa.int32()), spelled)],
+                ["block", "part", "hashes", "spelled"],
             )
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -244,10 +241,10 @@ def _fold_blocks(asked: DataFrame, blocks: dict[int, int], ranks: dict[bytes, in
                 put_file(f"{folder}/{block}/{part}", [(len(hashes) // 8).to_bytes(8, "little"), hashes, np.diff(at).astype("<u2").tobytes(), ids.astype("<u4").tobytes()])
             yield pa.RecordBatch.from_arrays(batch.columns[:2], ["block", "part"])
 
-    table = rank_table(ranks)
+    table = pair_table(ranks)
     # Written, so that a task never has the workers of both steps at once.
-    words = keep(placed.mapInArrow(distinct, "block bigint, part int, hashes binary, names array<string>"), "bpe-distinct")
-    coded = words.select("block", "part", "hashes", _let(table, lambda t: F.transform("names", lambda w: fold_word(w, t))).alias("codes"))
+    words = keep(placed.mapInArrow(distinct, "block bigint, part int, hashes binary, spelled array<array<int>>"), "bpe-distinct")
+    coded = words.select("block", "part", "hashes", _let(table, lambda t: F.transform("spelled", lambda w: fold_word(w, t))).alias("codes"))
     coded.mapInArrow(write, "block bigint, part int").write.format("noop").mode("overwrite").save()
     discard(words)
 
