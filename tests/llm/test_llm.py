@@ -48,6 +48,21 @@ def test_bpe_round_trip(spark, ranks):
     assert bpe.encode(docs_of(spark, []), ranks, public_tokenizers.PATTERN).count() == 0
 
 
+def test_fold_gives_the_ids_of_the_library(spark, ranks):
+    encoding = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    words = ["a", "aa", " the", " sttible", "zażółć", "!!!!!!!", "aaaaaaaaaaaaaaaaa", "xqzjkvw", "\u3042\u3044", "Anblewh" * 30]
+    rows = [(w, [ranks[bytes([b])] for b in w.encode()]) for w in words]
+    spelled = spark.createDataFrame(rows, "word string, spelled array<int>")
+    coded = spelled.select("word", bpe._let(bpe.pair_table(ranks), lambda t: bpe.fold_word(F.col("spelled"), t)).alias("ids"))
+    assert {r["word"]: r["ids"] for r in coded.collect()} == {w: encoding.encode_ordinary(w) for w in words}
+
+
+def test_words_that_no_merges_give(spark):
+    ranks = {bytes([b]): b for b in range(256)} | {b"ab": 256, b"wxyz": 257}  # no pair of tokens makes the last
+    coded = bpe.encode(docs_of(spark, ["wxyz", "wxyzab", "abab", None]), ranks, r"\w+")
+    assert {r["doc_id"]: r["ids"] for r in coded.collect()} == {0: [257], 1: [*b"wxyz", 256], 2: [256, 256], 3: []}
+
+
 def test_token_counts(spark):
     path = public_tokenizers.path("byte_bpe_50k.json")
     library = Tokenizer.from_file(path)
