@@ -1,11 +1,11 @@
-"""The queries of the ten operators over the test tables, and their SQL where SQL can express them."""
+"""The queries of the operators over the test tables, and their SQL where SQL can express them."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, dac, decontam, lm, neardup, quality, tokcount, urlfilter, warc
+from . import ann, bpe, dac, decontam, lm, neardup, phrases, quality, tokcount, urlfilter, warc
 from .common import keep, new_path, table
 
 
@@ -67,6 +67,10 @@ def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urlfilter.evaluate(urlfilter.page_times(pages), urlfilter.host_list(pages))
 
 
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
     "op2_dart_minhash": op2_dart_minhash,
@@ -78,12 +82,14 @@ QUERIES = {
     "op8_token_counts": op8_token_counts,
     "op9_token_ids": op9_token_ids,
     "op10_url_filters": op10_url_filters,
+    "op13_collocations": op13_collocations,
 }
 
 ORACLE: dict[str, str] = {
     "op4_warc_index": warc.ORACLE,
     "op6_decontamination": decontam.ORACLE,
     "op10_url_filters": urlfilter.ORACLE,
+    "op13_collocations": phrases.ORACLE,
 }
 
 
