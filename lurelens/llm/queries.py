@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, dac, decontam, lm, neardup, phrases, quality, tokcount, urlfilter, warc
+from . import ann, bpe, dac, decontam, lm, neardup, negatives, outliers, phrases, quality, tokcount, urlfilter, warc
 from .common import keep, new_path, table
 
 
@@ -67,6 +67,16 @@ def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urlfilter.evaluate(urlfilter.page_times(pages), urlfilter.host_list(pages))
 
 
+def op11_quality_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return outliers.quality_rules(table(spark, sf_dir, "documents"))
+
+
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    vectors = table(spark, sf_dir, "embeddings").withColumn("label", label)
+    return negatives.hard_negatives(vectors, vectors.where("vec_id % 100 = 0"))
+
+
 def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return phrases.collocations(table(spark, sf_dir, "documents"))
 
@@ -82,6 +92,8 @@ QUERIES = {
     "op8_token_counts": op8_token_counts,
     "op9_token_ids": op9_token_ids,
     "op10_url_filters": op10_url_filters,
+    "op11_quality_outliers": op11_quality_outliers,
+    "op12_hard_negatives": op12_hard_negatives,
     "op13_collocations": op13_collocations,
 }
 
@@ -89,6 +101,7 @@ ORACLE: dict[str, str] = {
     "op4_warc_index": warc.ORACLE,
     "op6_decontamination": decontam.ORACLE,
     "op10_url_filters": urlfilter.ORACLE,
+    "op12_hard_negatives": negatives.ORACLE,
     "op13_collocations": phrases.ORACLE,
 }
 
