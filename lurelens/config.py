@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass
+
+from pyspark.sql import DataFrame
 
 # Results are only right with exactly these.
 
@@ -127,7 +129,9 @@ BRAND_DOMAIN_HEADERS = ("domains", "domain", "Legitimate Domains", "Public URL",
 BRAND_NAME_HEADERS = ("cse", "CSE", "Cooresponding CSE", "Application Name", "Critical Sector Entity Name", "Corresponding CSE")
 ASN_HEADERS = ("asn_org", "organization", "org", "network_name", "name")
 
-#: Public suffixes that the brands and test data use; more are a parameter.
+# End of the fixed values.
+
+#: A short choice of suffixes, for small work without a rule table; with it a host's suffix is found by a pattern.
 SUFFIXES = (
     "com", "net", "org", "in", "co.in", "gov.in", "bank.in", "nic.in", "ac.in", "net.in", "org.in", "res.in", "gen.in", "firm.in",
     "edu.in", "mil.in", "ind.in", "io", "co", "co.uk", "org.uk", "ac.uk", "gov.uk", "uk", "us", "info", "biz", "online", "site",
@@ -135,14 +139,13 @@ SUFFIXES = (
     "tk", "ml", "ga", "cf", "gq", "ru", "cn", "com.cn", "de", "fr", "eu", "ca", "au", "com.au", "jp", "co.jp", "br", "com.br",
 )
 
-# End of the fixed values.
-
 
 @dataclass(frozen=True)
 class Settings:
     """Parameters of the plans; nothing is read from the environment."""
 
-    suffixes: tuple[str, ...] = SUFFIXES
+    #: Known suffixes, or a rule table (sources.readers.read_suffix_rules).
+    suffixes: tuple[str, ...] | DataFrame = SUFFIXES
     match_threshold: float = 0.75
     feed_threshold: float = 0.82
     permutation_threshold: float = 0.75
@@ -160,7 +163,6 @@ class Settings:
     folds: int = 5
     #: A dimension of more rows than this is not broadcast.
     broadcast_rows: int = 20_000
-    extra: dict = field(default_factory=dict)
 
 
 #: Grid of decision thresholds: 181 points from 0.05 to 0.95, as a linear space gives them.

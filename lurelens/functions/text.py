@@ -81,27 +81,42 @@ def suffix_pattern(suffixes: tuple[str, ...] = SUFFIXES) -> str:
 _ADDRESS = r"\d+(?:\.\d+){3}"
 
 
-def registered_domain(host: Column, suffixes: tuple[str, ...] = SUFFIXES) -> Column:
+#: What tells a host's public suffix: known suffixes, or a column with the number of its labels (operators.hosts).
+Suffixes = tuple[str, ...] | Column
+
+
+def registered_domain(host: Column, suffixes: Suffixes = SUFFIXES) -> Column:
     """Label and suffix of a host; the host itself if it has no known suffix or nothing before it."""
+    if isinstance(suffixes, Column):
+        labels = F.split(host, r"\.")
+        own = F.array_join(F.slice(labels, -(suffixes + 1), suffixes + 1), ".")
+        return F.when((suffixes > 0) & (F.size(labels) > suffixes), own).otherwise(host)
     return F.regexp_replace(host, rf"^(?:.*?\.)??([^.]+\.(?:{_suffixes(suffixes)}))$", "$1")
 
 
-def domain_label(host: Column, suffixes: tuple[str, ...] = SUFFIXES) -> Column:
+def domain_label(host: Column, suffixes: Suffixes = SUFFIXES) -> Column:
     """The label before the suffix; without a known suffix the last label; "" if the host is a suffix; an address whole."""
+    if isinstance(suffixes, Column):
+        labels = F.split(host, r"\.")
+        return F.when(host.rlike(f"^{_ADDRESS}$"), host).when(F.size(labels) > suffixes, F.element_at(labels, -(suffixes + 1))).otherwise("")
     known = _suffixes(suffixes)
     return F.regexp_replace(host, rf"^(?:(?:{known})|(?:.*?\.)??([^.]+)\.(?:{known})|({_ADDRESS})|(?:.*\.)?([^.]*))$", "$1$2$3")
 
 
-def subdomain(host: Column, suffixes: tuple[str, ...] = SUFFIXES) -> Column:
+def subdomain(host: Column, suffixes: Suffixes = SUFFIXES) -> Column:
+    if isinstance(suffixes, Column):
+        labels = F.split(host, r"\.")
+        before = F.array_join(F.slice(labels, F.lit(1), F.size(labels) - suffixes - 1), ".")
+        return F.when((F.size(labels) > suffixes + 1) & ~host.rlike(f"^{_ADDRESS}$"), before).otherwise("")
     known = _suffixes(suffixes)
     return F.regexp_replace(host, rf"^(?:(?:{known})|(?:(.*?)\.)??[^.]+\.(?:{known})|{_ADDRESS}|(.*)\.[^.]*|.*)$", "$1$2")
 
 
-def subdomain_depth(host: Column, suffixes: tuple[str, ...] = SUFFIXES) -> Column:
+def subdomain_depth(host: Column, suffixes: Suffixes = SUFFIXES) -> Column:
     return F.size(F.filter(F.split(subdomain(host, suffixes), r"\."), lambda x: x != ""))
 
 
-def domain_stem(host: Column, suffixes: tuple[str, ...] = SUFFIXES) -> Column:
+def domain_stem(host: Column, suffixes: Suffixes = SUFFIXES) -> Column:
     return F.regexp_replace(F.lower(domain_label(host, suffixes)), "[^a-z0-9]+", "")
 
 
@@ -110,11 +125,11 @@ def tokens(text: Column) -> Column:
     return F.array_distinct(F.filter(F.split(F.lower(text), "[^a-z0-9]+"), lambda t: (F.length(t) >= 3) & ~t.isin(*STOPWORDS)))
 
 
-def domain_tokens(host: Column, suffixes: tuple[str, ...] = SUFFIXES) -> Column:
+def domain_tokens(host: Column, suffixes: Suffixes = SUFFIXES) -> Column:
     return tokens(F.concat_ws(" ", subdomain(host, suffixes), domain_label(host, suffixes)))
 
 
-def brand_tokens(host: Column, name: Column, suffixes: tuple[str, ...] = SUFFIXES) -> Column:
+def brand_tokens(host: Column, name: Column, suffixes: Suffixes = SUFFIXES) -> Column:
     return F.array_union(domain_tokens(host, suffixes), tokens(clean(name)))
 
 

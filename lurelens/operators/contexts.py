@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..config import COMPACT_BOOLEAN, COMPACT_COLUMNS, COMPACT_TEXT, DNS_FAILED_COLUMNS, UNKNOWN
 from ..functions import text as T
+from .hosts import resolve
 
 MERGED = ("target_domain", "cse_name", "registrar_name", "registrant_name", "registrant_country", "nameservers", "hosting_ip", "hosting_isp", "hosting_country", "dns_records", "remarks", "source_file", "source_row")
 
@@ -129,8 +130,9 @@ def union_all(*parts: DataFrame) -> DataFrame:
     return out
 
 
-def registered_changes(chain: DataFrame, key: str, order: str, url: str, suffixes: tuple[str, ...]) -> DataFrame:
+def registered_changes(chain: DataFrame, key: str, order: str, url: str, suffixes: T.Suffixes | DataFrame) -> DataFrame:
     """(key, changes): how often the registered domain differs from that of the URL before it in the chain."""
     w = Window.partitionBy(key).orderBy(order)
-    seen = chain.withColumn("_d", T.registered_domain(T.hostname(url), suffixes)).withColumn("_p", F.lag("_d").over(w))
+    chain, known = resolve(chain.withColumn("_h", T.hostname(url)), F.col("_h"), suffixes, "_sh")
+    seen = chain.withColumn("_d", T.registered_domain(F.col("_h"), known)).withColumn("_p", F.lag("_d").over(w))
     return seen.groupBy(key).agg(F.sum(((F.coalesce("_p", F.lit("")) != "") & (F.col("_d") != "") & (F.col("_d") != F.col("_p"))).cast("int")).alias("changes"))

@@ -16,6 +16,7 @@ from ..functions import html as H
 from ..functions import registry as R
 from ..functions import text as T
 from ..functions.hashing import hash_number, hash_similarity, image_hashes
+from .hosts import registered_domains, resolve
 
 DNS = "host string, dns_check_pass int, dns_resolves_to_ip int, resolved_ips string, cname_exists int, cname_chain_length int, dns_error string, status string"
 TLS = "host string, https_enabled int, ssl_valid int, cert_age_days int, ct_log_first_seen_days int, tls_error string, status string"
@@ -37,10 +38,12 @@ def evidence(spark, given: dict[str, DataFrame] | None) -> dict[str, DataFrame]:
 
 
 def lookup(rows: DataFrame, table: DataFrame, key: str, on: Column, prefix: str) -> DataFrame:
-    """``rows`` with the table's columns under a prefix, by one row for each key of the table (the least by its columns).
-    The memo of a prober is this: an equi-join on the key, each key once."""
+    """``rows`` with the table's columns under a prefix, by one row for each key of the table (the least by its columns, of
+    which maps and variants are ordered by their JSON text).  The memo of a prober is this: an equi-join on the key,
+    each key once."""
     rest = [c for c in table.columns if c != key]
-    one = table.groupBy(key).agg(F.min(F.struct(*rest)).alias("_v")) if not any(t.startswith(("map", "variant")) for _, t in table.dtypes) else table
+    ordered = [F.to_json(F.struct(c)) if "map<" in kind or "variant" in kind else F.col(c) for c, kind in table.dtypes if c != key]
+    one = table.groupBy(key).agg(F.min_by(F.struct(*rest), F.struct(*ordered)).alias("_v"))
     named = one.select(F.col(key).alias(f"_{prefix}key"), *(F.col(f"_v.{c}").alias(f"{prefix}{c}") for c in rest))
     return rows.join(named, on == F.col(f"_{prefix}key"), "left").drop(f"_{prefix}key")
 
@@ -64,10 +67,11 @@ def registration_from_answers(answers: DataFrame) -> DataFrame:
     )
 
 
-def hash_references(references: DataFrame, hash_col: str, suffixes: tuple[str, ...]) -> DataFrame:
+def hash_references(references: DataFrame, hash_col: str, suffixes: T.Suffixes | DataFrame) -> DataFrame:
     """(key, hash) of brand references: under the host and under its registered domain."""
-    host = T.hostname("domain")
-    keyed = references.where(F.coalesce(F.col(hash_col), F.lit("")) != "").select(F.explode(F.array_distinct(F.array(host, T.registered_domain(host, suffixes)))).alias("key"), F.lower(T.clean(hash_col)).alias("hash"))
+    host = F.col("_host")
+    references, known = resolve(references.withColumn("_host", T.hostname("domain")), host, suffixes, "_sh")
+    keyed = references.where(F.coalesce(F.col(hash_col), F.lit("")) != "").select(F.explode(F.array_distinct(F.array(host, T.registered_domain(host, known)))).alias("key"), F.lower(T.clean(hash_col)).alias("hash"))
     return keyed.where("key <> '' and hash <> ''").distinct()
 
 
@@ -82,7 +86,7 @@ def _hash_score(rows: DataFrame, value: str, keys: Column, references: DataFrame
     return joined.withColumn(out, F.round(F.coalesce(out, F.lit(0.0)), 6))
 
 
-def nearest_hash(rows: DataFrame, key: str, hash_col: str, references: DataFrame, limit: int, out: str) -> DataFrame:
+def nearest_hash(rows: DataFrame, hash_col: str, references: DataFrame, limit: int, out: str) -> DataFrame:
     """``rows`` with the best similarity of a hash to a set of hashes.  A set of up to ``limit`` is one array in each task;
     a larger one is met block by block."""
     listed = references.select(F.lower(T.clean("hash")).alias("hash")).where("hash <> ''").distinct()
@@ -97,6 +101,9 @@ def nearest_hash(rows: DataFrame, key: str, hash_col: str, references: DataFrame
     keyed = keyed.withColumn("_n", hash_number(F.col("_h")))
     apart = F.array_min(F.transform("numbers", lambda r: F.bit_count(F.col("_n").bitwiseXOR(r))))
     near = F.when(F.col("_n").isNull(), F.array_contains("texts", F.col("_h")).cast("double")).otherwise(1.0 - apart / 64.0)
+    # A block is one row of at most about ``limit`` numbers; few blocks are sent to all tasks, many are met by the join.
+    if n <= 4 * limit:
+        grouped = F.broadcast(grouped)
     found = keyed.join(grouped, "block").select("_h", F.coalesce(near, F.lit(0.0)).alias("_s"))
     best = found.groupBy("_h").agg(F.max("_s").alias(out))
     joined = rows.join(best, F.lower(T.clean(hash_col)) == F.col("_h"), "left").drop("_h")
@@ -120,16 +127,18 @@ def hamming_semi(rows: DataFrame, hash_col: str, references: DataFrame, most: in
 def page_evidence(rows: DataFrame, s: Settings) -> DataFrame:
     """The page columns of rows with html, fetch_success, final_url, url, host, matched_brand_domain, target_domain and
     cse_name.  Where a brand is claimed but the target or the page has no domain, all of it is the default of an error."""
-    suffixes = s.suffixes
-    named = F.coalesce(F.nullif("matched_brand_domain", F.lit("")), T.hostname("target_domain"))
-    tokens = T.brand_tokens(T.hostname(named), F.col("cse_name"), suffixes)
+    columns = rows.columns
+    named = T.hostname(F.coalesce(F.nullif("matched_brand_domain", F.lit("")), T.hostname("target_domain")))
+    rows, of_named = resolve(rows.withColumn("_named", named), F.col("_named"), s.suffixes, "_sn")
+    rows, of_host = resolve(rows, F.col("host"), s.suffixes, "_sh")
+    tokens = T.brand_tokens(F.col("_named"), F.col("cse_name"), of_named)
     rows = rows.withColumn("_page", F.when(F.coalesce("html", F.lit("")) != "", H.page_parts("html"))).withColumn("_tokens", tokens)
     p, tok = F.col("_page"), F.col("_tokens")
-    target = T.registered_domain(T.hostname(named), suffixes)
-    own = T.registered_domain(F.col("host"), suffixes)
+    target, own = T.registered_domain(F.col("_named"), of_named), T.registered_domain(F.col("host"), of_host)
     actions = F.filter(F.transform(p["forms"], lambda a: T.clean(a)), lambda a: (a != "") & ~a.startswith("#") & ~a.startswith("javascript:"))
     rows = rows.withColumn("_actions", H.join_urls(F.coalesce(F.nullif("final_url", F.lit("")), F.col("url")), actions))
-    external = F.exists("_actions", lambda a: (T.registered_domain(T.hostname(a), suffixes) != "") & (T.registered_domain(T.hostname(a), suffixes) != own))
+    rows = registered_domains(rows, "_actions", "_domains", s.suffixes)
+    external = F.exists("_domains", lambda d: (d != "") & (d != own))
     login = p["has_password"] | T.contains_any(p["text"], LOGIN) | (F.size(p["forms"]) > 0)
     logo_brand = F.exists(p["images"], lambda i: F.exists(tok, lambda t: i["attrs"].contains(t)))
     logo = logo_brand | F.exists(p["images"], lambda i: i["attrs"].contains("logo"))
@@ -144,7 +153,7 @@ def page_evidence(rows: DataFrame, s: Settings) -> DataFrame:
         "logo_brand_domain_mismatch": flag(mismatch), "visual_brand_domain_mismatch": flag(mismatch), "_there": there,
         "page_status": F.when(p.isNull(), "empty").when(there, "success").otherwise("error"),
     }
-    return rows.select("*", *(v.alias(k) for k, v in out.items())).withColumn("html_dom_hash", F.when(F.col("_there"), H.dom_hash("html")).otherwise("")).drop("_page", "_tokens", "_actions")
+    return rows.select(*columns, *(v.alias(k) for k, v in out.items())).withColumn("html_dom_hash", F.when(F.col("_there"), H.dom_hash("html")).otherwise(""))
 
 
 def feature_rows(rows: DataFrame, brands: DataFrame, s: Settings, given: dict[str, DataFrame] | None = None, references: dict[str, DataFrame] | None = None) -> DataFrame:
@@ -173,14 +182,16 @@ def feature_rows(rows: DataFrame, brands: DataFrame, s: Settings, given: dict[st
     })
     base = page_evidence(base, s)
     named = F.coalesce(F.nullif("matched_brand_domain", text), F.col("target"))
-    keys = F.array(*(k for h in (T.hostname(named), F.col("target")) for k in (h, T.registered_domain(h, s.suffixes))))
+    base, of_named = resolve(base.withColumn("_named", T.hostname(named)), F.col("_named"), s.suffixes, "_sn")
+    base, of_target = resolve(base, F.col("target"), s.suffixes, "_st")
+    keys = F.array(*(k for h, n in ((F.col("_named"), of_named), (F.col("target"), of_target)) for k in (h, T.registered_domain(h, n))))
     for kind in ("favicon", "logo"):
         if kind in references:
             base = _hash_score(base, f"{kind}_hash", keys, hash_references(references[kind], "hash", s.suffixes), f"{kind}_similarity_score")
         else:
             base = base.withColumn(f"{kind}_similarity_score", F.lit(0.0))
     if "phish_dom" in references:
-        base = nearest_hash(base, "_row", "html_dom_hash", references["phish_dom"], s.broadcast_rows, "html_dom_similarity_score")
+        base = nearest_hash(base, "html_dom_hash", references["phish_dom"], s.broadcast_rows, "html_dom_similarity_score")
     else:
         base = base.withColumn("html_dom_similarity_score", F.lit(0.0))
     names = F.coalesce(F.nullif(F.array_join(F.coalesce("r_nameservers", F.array().cast("array<string>")), ";"), text), F.col("nameservers"))

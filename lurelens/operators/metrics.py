@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import math
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..config import threshold_grid
 from ..functions import text as T
+from ..storage import keep
+from .ranking import lowest, nth_value, positions, quantile
 
 COUNTS = ("tp", "fp", "tn", "fn")
 AVERAGED = ("accuracy", "precision", "recall", "specificity", "balanced_accuracy", "f1")
@@ -89,8 +93,8 @@ def fold_order(key: Column, seed: int) -> Column:
 
 def assign_folds(rows: DataFrame, role: str, key: str, folds: int, seed: int) -> DataFrame:
     """``fold``: rows of each role are shuffled and dealt to the folds in turn."""
-    w = Window.partitionBy(role).orderBy(fold_order(F.col(key), seed), key)
-    return rows.withColumn("fold", F.pmod(F.row_number().over(w) - 1, F.lit(folds)))
+    placed = positions(rows, [fold_order(F.col(key), seed), F.col(key)], [role], "_place")
+    return placed.select(*rows.columns, (F.col("_place") % folds).cast("int").alias("fold"))
 
 
 def test_size(n: Column) -> Column:
@@ -100,28 +104,29 @@ def test_size(n: Column) -> Column:
 
 def group_holdout(rows: DataFrame, group: str, split: int, seed: int, share: float = 0.25) -> DataFrame:
     """``is_test``: a quarter of the distinct groups, rounded up, drawn by hash; whole groups stay together."""
-    groups = rows.select(F.coalesce(F.col(group).cast("string"), F.lit("")).alias("_g")).distinct()
-    w = Window.orderBy(fold_order(F.col("_g"), seed + split), "_g")
-    n = Window.partitionBy()
-    drawn = groups.withColumn("is_test", F.row_number().over(w) <= F.ceil(F.count("*").over(n) * share))
+    groups = keep(rows.select(F.coalesce(F.col(group).cast("string"), F.lit("")).alias("_g")).distinct(), "groups")
+    size = math.ceil(groups.count() * share)
+    drawn = positions(groups, [fold_order(F.col("_g"), seed + split), F.col("_g")], out="_place").select("_g", (F.col("_place") < size).alias("is_test"))
     return rows.join(drawn, F.coalesce(F.col(group).cast("string"), F.lit("")) == F.col("_g")).drop("_g")
 
 
-def reliable_negatives(scored: DataFrame, score: str, key: str, quantile: float, most: float, least_rows: int) -> DataFrame:
+def reliable_negatives(scored: DataFrame, score: str, key: str, quantile_share: float, most: float, least_rows: int) -> DataFrame:
     """``scored`` with cutoff and is_reliable: scores up to the quantile, but no more than ``most``; if those are fewer
     than ``least_rows``, the lowest ``least_rows`` instead.
 
-    Scores are counted first; only where too few fall under the cutoff are the lowest taken, by a bounded top-k.
+    Quantile and lowest rows are exact and found by counting, so no task holds all rows.  Without a score nothing is
+    reliable and the cutoff is null.
     """
-    cut = scored.agg(F.least(F.percentile(score, F.lit(quantile)), F.lit(most)).alias("cutoff"), F.count("*").alias("_n"))
-    under = scored.crossJoin(F.broadcast(cut)).agg(F.count_if(F.col(score) <= F.col("cutoff")).alias("_under"))  # one row each
-    plan = F.broadcast(cut.crossJoin(under))
-    lowest = scored.orderBy(score, key).limit(least_rows).select(F.col(key).alias("_key"), F.col(score).alias("_s"))
-    last = F.broadcast(lowest.agg(F.max("_s").alias("_last")))
-    marked = scored.join(lowest.select("_key").withColumn("_low", F.lit(True)), F.col(key) == F.col("_key"), "left").crossJoin(plan).crossJoin(last)
-    few = F.col("_under") < F.least(F.lit(least_rows), F.col("_n"))
-    reliable = F.when(few, F.coalesce("_low", F.lit(False))).otherwise(F.col(score) <= F.col("cutoff"))
-    return marked.withColumn("is_reliable", reliable).withColumn("cutoff", F.when(few, F.col("_last")).otherwise(F.col("cutoff"))).drop("_key", "_low", "_n", "_under", "_last")
+    found = quantile(scored, score, quantile_share)
+    cutoff = None if found is None else min(found, most)
+    n, under = scored.agg(F.count("*"), F.count_if(F.col(score) <= F.lit(cutoff))).first()
+    if cutoff is not None and under < min(least_rows, n):
+        low = lowest(scored, score, key, least_rows).select(F.col(key).alias("_key")).withColumn("_low", F.lit(True))
+        cutoff = nth_value(scored, score, min(least_rows, n) - 1).value
+        marked = scored.join(low, F.col(key) == F.col("_key"), "left").drop("_key")
+        return marked.withColumn("cutoff", F.lit(cutoff)).withColumn("is_reliable", F.coalesce("_low", F.lit(False))).drop("_low")
+    reliable = F.coalesce(F.col(score) <= F.lit(cutoff), F.lit(False))
+    return scored.withColumn("cutoff", F.lit(cutoff).cast("double")).withColumn("is_reliable", reliable)
 
 
 def numeric_features(rows: DataFrame, excluded: tuple[str, ...]) -> tuple[DataFrame, list[str]]:

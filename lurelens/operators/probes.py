@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from ..functions import text as T
+from .hosts import registered_domains
 
 
 def probe(keys: DataFrame, key: str, schema: str, ask: Callable[[str], dict], error_col: str, partitions: int = 32, threads: int = 8, tries: int = 1, wait: float = 0.2) -> DataFrame:
@@ -95,10 +96,10 @@ def merged_dns(rows: DataFrame, answers: DataFrame) -> DataFrame:
     )
 
 
-def http_answers(fetched: DataFrame, suffixes: tuple[str, ...]) -> DataFrame:
+def http_answers(fetched: DataFrame, suffixes: T.Suffixes | DataFrame) -> DataFrame:
     """HTTP evidence from fetches (url, html, chain array of URLs, status_code, content_type, error): a fetch succeeds with a
     2xx or 3xx status and a body that is not blank; redirects across registered domains are counted along the chain."""
-    domains = F.transform("chain", lambda u: T.registered_domain(T.hostname(u), suffixes))
+    fetched, domains = registered_domains(fetched, "chain", "_domains", suffixes), F.col("_domains")
     changes = F.size(F.filter(F.sequence(F.lit(1), F.size("chain")), lambda i: (i > 1) & (F.get(domains, i - 2) != "") & (F.get(domains, i - 1) != "") & (F.get(domains, i - 1) != F.get(domains, i - 2))))
     fine = F.col("status_code").between(200, 399) & (T.strip(F.coalesce("html", F.lit(""))) != "")
     return fetched.select(

@@ -1,26 +1,33 @@
 """Two-step positive-unlabeled training of random forests, and scoring with two models.
 
-Forests are Spark's: the procedure is the point, not equal scores.  Rows carry a key; folds and splits are by hash of
-it, so they do not depend on how the rows lie.
+Forests are Spark's: the procedure is the point, not equal scores.  Features are binned once into a table of packed
+vectors, which all forests are fitted on, those of independent folds and draws side by side.  Rows carry a key; folds
+and splits are by hash of it, so they do not depend on how the rows lie.
 """
 
 from __future__ import annotations
 
+import itertools
 import json
+import random
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 from functools import reduce
 
-from pyspark.ml import Pipeline, PipelineModel
+from pyspark import inheritable_thread_target
+from pyspark.ml import PipelineModel
 from pyspark.ml.classification import RandomForestClassifier
-from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.feature import Bucketizer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import HARDENED_COLUMNS, LEAK_COLUMNS, TRUTH_COLUMNS, Settings
 from ..functions import text as T
 from ..operators import metrics as M
+from ..operators.ranking import positions
 from ..operators.rules import final_decision, pu_roles, training_role
+from ..storage import delete, keep
 
 MODEL_COLUMNS = {"standard": ("standard_score", "standard_threshold", "standard_prediction"), "hardened": ("hardened_score", "hardened_threshold", "hardened_prediction")}
 DECISION_COLUMNS = ("final_classification", "classification_confidence", "recommended_action", "classification_reason")
@@ -50,164 +57,230 @@ class Trained:
         return Trained(PipelineModel.load(f"{path}/model"), meta["threshold"], meta["features"], meta["summary"])
 
 
-def fit_forest(rows: DataFrame, features: list[str], s: Settings, seed: int, label: str = "y", **options) -> PipelineModel:
-    """A forest with leaves of two rows at least and both classes of equal weight."""
-    n = {r[label]: r["count"] for r in rows.groupBy(label).count().collect()}
-    total = sum(n.values())
-    weights = reduce(lambda w, k: w.when(F.col(label) == k, total / (len(n) * n[k])), n, F.when(F.lit(False), 1.0)).otherwise(1.0)
-    forest = RandomForestClassifier(labelCol=label, featuresCol="_x", weightCol="_w", numTrees=options.pop("trees", s.trees), minInstancesPerNode=options.pop("leaf", 2), maxDepth=options.pop("depth", 12), seed=seed, **options)
-    return Pipeline(stages=[VectorAssembler(inputCols=features, outputCol="_x"), forest]).fit(rows.withColumn("_w", weights.cast("double")))
+#: What options are drawn from: 72 combinations.  Depth 0 is no bound of one's own; Spark's trees end at 30 levels.
+GRID = {"trees": (100, 200, 300), "depth": (0, 10, 20), "split": (2, 5), "leaf": (1, 2), "weights": ("balanced_subsample", "balanced")}
+DEEPEST, BINS = 30, 64
+#: Forests that are fitted at the same time; Spark deals their tasks.
+SIDE_BY_SIDE = 8
+
+
+def binning(table: DataFrame, features: list[str], bins: int = BINS) -> Bucketizer:
+    """The bins of each feature, found once for all forests: between all values where they are few, else at quantiles, which
+    are closer together at both ends."""
+    distinct = table.agg(*(F.approx_count_distinct(c).alias(c) for c in features)).first()
+    few = [c for c in features if distinct[c] <= bins * 3 // 4]
+    shares = sorted({k / bins for k in range(1, bins)} | {e for k in (8, 10, 12) for e in (2.0**-k, 1 - 2.0**-k)})
+    found = table.agg(*(F.sort_array(F.collect_set(c)).alias(c) if c in few else F.array_distinct(F.percentile_approx(c, shares, 10_000)).alias(c) for c in features)).first()
+    splits = [[-float("inf"), *(found[c][1:] if c in few else found[c]), float("inf")] for c in features]
+    return Bucketizer(inputCols=features, outputCols=[f"{c}_bin" for c in features], splitsArray=[x if len(x) > 2 else [-float("inf"), 0.0, float("inf")] for x in splits])
+
+
+@dataclass
+class Forests:
+    """Fits forests of one packed table: ``rows`` have the bins of all features as one vector, and whatever marks the fold
+    or the draw a row takes part in."""
+
+    stages: list  #: what makes the vector ``x`` of the features
+    s: Settings
+
+    def fit(self, rows: DataFrame, seed: int, label: str = "y", trees: int = 0, depth: int = 0, split: int = 2, leaf: int = 2, weights: str = "balanced") -> PipelineModel:
+        """A forest in which both classes weigh the same; ``weights`` is only named: Spark weighs a class in all bootstraps
+        alike.  A node of fewer than ``split`` rows is not split where no child may have less than half of that."""
+        n = {r[label]: r["count"] for r in rows.groupBy(label).count().collect()}
+        total = sum(n.values())
+        weight = reduce(lambda w, k: w.when(F.col(label) == k, total / (len(n) * n[k])), n, F.when(F.lit(False), 1.0)).otherwise(1.0)
+        forest = RandomForestClassifier(
+            labelCol=label, featuresCol="x", weightCol="_w", numTrees=trees or self.s.trees, minInstancesPerNode=max(leaf, split // 2), maxDepth=min(depth or DEEPEST, DEEPEST),
+            maxBins=BINS + 8, seed=seed, maxMemoryInMB=64,
+        )
+        return PipelineModel([*self.stages, forest.fit(rows.select("x", label, weight.cast("double").alias("_w")))])
+
+    def predict(self, model: PipelineModel, rows: DataFrame, out: str = "score") -> DataFrame:
+        """``rows`` of the packed table with a model's score."""
+        return model.stages[-1].transform(rows).withColumn(out, F.get(vector_to_array("probability"), F.lit(1))).drop("rawPrediction", "probability", "prediction")
+
+
+def side_by_side(spark: SparkSession, jobs: list) -> list:
+    """The results of independent functions, run in threads of the session, in order."""
+    with ThreadPoolExecutor(max(1, min(SIDE_BY_SIDE, len(jobs)))) as pool:
+        return list(pool.map(lambda job: inheritable_thread_target(spark)(job)(), jobs))
 
 
 def predict(model: PipelineModel, rows: DataFrame, out: str = "score") -> DataFrame:
-    return model.transform(rows).withColumn(out, F.get(vector_to_array("probability"), F.lit(1))).drop("_x", "rawPrediction", "probability", "prediction")
+    """``rows`` (f0, f1, ...) with the score of a whole model, bins included."""
+    kept = rows.columns
+    return model.transform(rows).withColumn(out, F.get(vector_to_array("probability"), F.lit(1))).select(*(c for c in kept if c != out), out)
 
 
-def out_of_fold(rows: DataFrame, features: list[str], s: Settings, key: str, folds: int, label: str = "y") -> DataFrame:
-    """``rows`` with the score of a model that has not seen them."""
-    dealt = M.assign_folds(rows, label, key, folds, s.seed).persist()
-    parts = [predict(fit_forest(dealt.where(F.col("fold") != k), features, s, s.seed + k, label), dealt.where(F.col("fold") == k)) for k in range(folds)]
-    return reduce(DataFrame.unionByName, parts)
+def out_of_fold(rows: DataFrame, forests: Forests, key: str, folds: int, seed: int) -> DataFrame:
+    """``rows`` with the score of a model that has not seen them, written out: the models end with it."""
+    dealt = keep(M.assign_folds(rows, "y", key, folds, seed), "folds")
+    models = side_by_side(rows.sparkSession, [lambda k=k: forests.fit(dealt.where(F.col("fold") != k), seed) for k in range(folds)])
+    scored = keep(reduce(DataFrame.unionByName, (forests.predict(m, dealt.where(F.col("fold") == k)) for k, m in enumerate(models))).drop("fold"), "out-of-fold")
+    delete(dealt)
+    return scored
 
 
-def _hold_out(rows: DataFrame, key: str, seed: int) -> DataFrame:
+def hold_out(rows: DataFrame, key: str, seed: int) -> DataFrame:
     """``held``: a quarter of the rows, one at least, by hash."""
-    w = Window.orderBy(M.fold_order(F.col(key), seed), key)
     n = rows.count()
     size = max(1, round(n * 0.25)) if n else 0
-    first = rows.select(key, F.row_number().over(w).alias("_i")).where(F.col("_i") <= size).select(key).withColumn("held", F.lit(True))
-    return rows.join(first, key, "left").withColumn("held", F.coalesce("held", F.lit(False)))
+    placed = positions(rows, [M.fold_order(F.col(key), seed), F.col(key)], out="_place")
+    return placed.withColumn("held", F.col("_place") < size).drop("_place")
 
 
-def search_forest(rows: DataFrame, features: list[str], s: Settings, key: str, tries: int = 10, folds: int = 3) -> dict:
-    """The options of the best F1 over folds, of ``tries`` drawn from a grid; the defaults if a class is too small."""
-    import itertools
-    import random
-
-    smallest = min((r["count"] for r in rows.groupBy("y").count().collect()), default=0)
-    folds = min(folds, smallest)
+def search_forest(rows: DataFrame, forests: Forests, key: str, tries: int = 10, most_folds: int = 3) -> dict:
+    """The options of the best mean F1 over folds, of ``tries`` drawn from GRID; the first of equals; none if there is nothing
+    to draw from.  All draws and folds are fitted side by side on one table."""
+    s, smallest = forests.s, min((r["count"] for r in rows.groupBy("y").count().collect()), default=0)
+    folds = min(most_folds, smallest)
     if folds < 2 or tries < 1:
         return {}
-    grid = [dict(zip(("depth", "leaf", "featureSubsetStrategy", "trees"), x, strict=True)) for x in itertools.product((6, 10, 12), (1, 2, 4), ("sqrt", "log2"), (s.trees, max(1, s.trees // 2)))]
-    best = ({}, -1.0)
-    for options in random.Random(s.seed).sample(grid, min(tries, len(grid))):
-        dealt = M.assign_folds(rows, "y", key, folds, s.seed)
-        parts = [predict(fit_forest(dealt.where(F.col("fold") != k), features, s, s.seed, **dict(options)), dealt.where(F.col("fold") == k)) for k in range(folds)]
-        f1 = M.metric_summary(reduce(DataFrame.unionByName, parts), "y", "score", 0.5).first()["f1"]
-        if f1 > best[1]:
-            best = (options, f1)
-    return best[0]
+    grid = [dict(zip(GRID, x, strict=True)) for x in itertools.product(*GRID.values())]
+    drawn = random.Random(s.seed + 12).sample(grid, min(tries, len(grid)))
+    dealt = keep(M.assign_folds(rows, "y", key, folds, s.seed), "search-folds")
+
+    def f1(options: dict, k: int) -> float:
+        model = forests.fit(dealt.where(F.col("fold") != k), s.seed + 11, **options)
+        return M.metric_summary(forests.predict(model, dealt.where(F.col("fold") == k)), "y", "score", 0.5).first()["f1"]
+
+    found = side_by_side(rows.sparkSession, [lambda o=o, k=k: f1(o, k) for o in drawn for k in range(folds)])
+    delete(dealt)
+    means = [sum(found[i : i + folds]) / folds for i in range(0, len(found), folds)]
+    return drawn[means.index(max(means))]
 
 
 def train(rows: DataFrame, s: Settings, key: str = "row_key", hardened: bool = False, tries: int = 0, cv_folds: int = 0, group_columns: list[str] | None = None, group_splits: int = 5) -> Trained:
-    """Positives against unlabeled rows first; unlabeled rows that score low out of fold become reliable negatives;
-    positives against those then, with a quarter of both held out for the threshold.
+    """A quarter of the positives is set aside.  The others against the unlabeled rows first, out of fold; unlabeled rows that
+    score low become reliable negatives, of which a quarter is set aside too; positives against those then, and what
+    was set aside chooses the threshold.
 
     Too few positives or unlabeled rows, or no varying numeric column, is an error.
     """
     excluded = (key, *LEAK_COLUMNS, *(HARDENED_COLUMNS if hardened else ()))
     roled = pu_roles(rows)
-    n = roled.agg(F.count_if("is_positive").alias("p"), F.count_if("is_unlabeled").alias("u")).first()
+    n = roled.agg(F.count("*").alias("all"), F.count_if("is_positive").alias("p"), F.count_if("is_unlabeled").alias("u")).first()
     if n["p"] < s.min_positives or n["u"] < s.min_unlabeled:
         raise ValueError(f"need {s.min_positives} positives and {s.min_unlabeled} unlabeled rows, got {n['p']} and {n['u']}")
     table, features = M.numeric_features(roled, (*excluded, "is_positive", "is_unlabeled"))
     if not features:
         raise ValueError("no numeric training feature varies")
     # Column names with dots or spaces would not do as inputs of the assembler.
-    names = {c: f"f{i}" for i, c in enumerate(features)}
-    table = table.select(key, "is_positive", "is_unlabeled", *(F.col(f"`{c}`").alias(names[c]) for c in features)).persist()
-    inputs = list(names.values())
-
-    used = table.where("is_positive or is_unlabeled").withColumn("y", F.col("is_positive").cast("int"))
-    folds = max(2, min(5, n["p"], n["u"]))
-    first = out_of_fold(used, inputs, s, key, folds).persist()
-    negatives = M.reliable_negatives(first.where("y = 0"), "score", key, s.reliable_quantile, s.reliable_max_score, s.min_reliable).where("is_reliable").drop("is_reliable")
+    inputs = [f"f{i}" for i in range(len(features))]
+    table = keep(table.select(key, "is_positive", "is_unlabeled", *(F.col(f"`{c}`").alias(i) for c, i in zip(features, inputs, strict=True))), "features")
+    bins = binning(table, inputs)
+    forests = Forests([bins, VectorAssembler(inputCols=bins.getOutputCols(), outputCol="x")], s)
+    packed = PipelineModel(forests.stages).transform(table).select(key, "is_positive", "is_unlabeled", "x")
+    packed = keep(packed.repartition(max(1, n["all"] // 50_000)), "packed")  # few tasks for few rows: the fits run side by side
+    delete(table)
+
+    positives = keep(hold_out(packed.where("is_positive").withColumn("y", F.lit(1)), key, s.seed), "positives")
+    fitted = positives.where("not held").drop("held")
+    unlabeled = packed.where("is_unlabeled").withColumn("y", F.lit(0))
+    folds = max(2, min(5, fitted.count(), n["u"]))
+    first = out_of_fold(fitted.unionByName(unlabeled), forests, key, folds, s.seed)
+    negatives = M.reliable_negatives(first.where("y = 0"), "score", key, s.reliable_quantile, s.reliable_max_score, s.min_reliable).where("is_reliable")
+    negatives = keep(negatives.drop("is_reliable", "score"), "negatives")
     cutoff = negatives.select("cutoff").first()["cutoff"]
-    held = _hold_out(first.where("y = 1").drop("score"), key, s.seed).unionByName(_hold_out(negatives.drop("score", "cutoff"), key, s.seed)).persist()
-    fitting, validation = held.where(~F.col("held")), held.where("held")
-    options = search_forest(fitting, inputs, s, key, tries) if tries else {}
-    model = fit_forest(fitting, inputs, s, s.seed, **dict(options))
-    validated = predict(model, validation).persist()
+    held = keep(positives.unionByName(hold_out(negatives.drop("cutoff"), key, s.seed)), "held")
+    fitting, validation = held.where("not held"), held.where("held")
+    options = search_forest(fitting, forests, key, tries) if tries else {}
+    model = forests.fit(fitting, s.seed + 11, **options)
+    validated = keep(forests.predict(model, validation).select("y", "score"), "validated")
     chosen = M.choose_threshold(M.threshold_sweep(validated, "y", "score"), s.target_recall).first()
     summary = {
         "positives": n["p"], "unlabeled": n["u"], "reliable_negatives": negatives.count(), "cutoff": cutoff, "threshold": chosen["threshold"], "options": options,
         "validation": M.metric_summary(validated, "y", "score", chosen["threshold"]).first().asDict(), "features": features,
     }
-    marks = held.select(key, "y", "held").withColumnsRenamed({"y": "_y", "held": "_held"})
-    scored = predict(model, table, "pu_score").join(marks, key, "left")
+    marks = held.select(key, F.col("y").alias("_y"), F.col("held").alias("_held"))
+    scored = forests.predict(model, packed, "pu_score").join(marks, key, "left")
     flags = {"in_positive_validation": F.coalesce((F.col("_y") == 1) & F.col("_held"), F.lit(False)), "in_negative_validation": F.coalesce((F.col("_y") == 0) & F.col("_held"), F.lit(False)), "in_reliable_negative": F.coalesce(F.col("_y") == 0, F.lit(False))}
     scored = scored.withColumns(flags)
-    scored = scored.select(key, training_role(scored).alias("pu_training_role"), "pu_score", (F.col("pu_score") >= chosen["threshold"]).cast("int").alias("pu_prediction"))
+    scored = keep(scored.select(key, training_role(scored).alias("pu_training_role"), "pu_score", (F.col("pu_score") >= chosen["threshold"]).cast("int").alias("pu_prediction")), "scored")
     trained = Trained(model, chosen["threshold"], features, summary, rows.join(scored, key))
     if cv_folds >= 2:
-        trained.cross_validated, summary["cross_validation"] = cross_validate(table, inputs, s, key, cv_folds, trained.threshold)
+        trained.cross_validated, summary["cross_validation"] = cross_validate(packed, forests, key, cv_folds, trained.threshold)
     if group_columns:
-        summary["group_holdout"] = group_holdouts(rows, held, inputs, s, key, group_columns, group_splits, trained.threshold)
+        summary["group_holdout"] = group_holdouts(rows, held, forests, key, group_columns, group_splits, trained.threshold)
+    delete(positives, first, negatives, held, validated, packed)
     return trained
 
 
-def calibrate(rows: DataFrame, inputs: list[str], s: Settings, key: str, seed: int, fallback: float) -> tuple[float, str]:
+def calibrate(rows: DataFrame, forests: Forests, key: str, seed: int, fallback: float) -> tuple[float, str]:
     """A threshold from a quarter of the rows that a model does not see; the fallback if a class has fewer than two."""
     n = [r["count"] for r in rows.groupBy("y").count().collect()]
     if len(n) < 2 or min(n) < 2:
         return fallback, "fallback_main_validation"
-    held = _hold_out(rows.where("y = 1"), key, seed).unionByName(_hold_out(rows.where("y = 0"), key, seed)).persist()
-    model = fit_forest(held.where(~F.col("held")), inputs, s, seed)
-    scored = predict(model, held.where("held"))
-    return M.choose_threshold(M.threshold_sweep(scored, "y", "score"), s.target_recall).first()["threshold"], "inner_calibration"
-
-
-def cross_validate(table: DataFrame, inputs: list[str], s: Settings, key: str, folds: int, fallback: float) -> tuple[DataFrame, dict]:
-    """Each fold mines its own negatives among the rows it trains on, sets its own threshold, and judges the fold."""
-    used = table.where("is_positive or is_unlabeled").withColumn("y", F.col("is_positive").cast("int"))
-    dealt = M.assign_folds(used, "y", key, folds, s.seed).persist()
-    parts, reports = [], []
-    for k in range(folds):
-        inside, outside = dealt.where(F.col("fold") != k).drop("fold"), dealt.where(F.col("fold") == k)
-        first = out_of_fold(inside, inputs, s, key, 2).persist()
-        negatives = M.reliable_negatives(first.where("y = 0"), "score", key, s.reliable_quantile, s.reliable_max_score, s.min_reliable).where("is_reliable").persist()
+    held = keep(hold_out(rows.where("y = 1"), key, seed).unionByName(hold_out(rows.where("y = 0"), key, seed)), "calibration")
+    scored = forests.predict(forests.fit(held.where("not held"), seed), held.where("held"))
+    return M.choose_threshold(M.threshold_sweep(scored, "y", "score"), forests.s.target_recall).first()["threshold"], "inner_calibration"
+
+
+def cross_validate(packed: DataFrame, forests: Forests, key: str, folds: int, fallback: float) -> tuple[DataFrame | None, dict]:
+    """Each fold mines its own negatives among the rows it trains on, with a model of its own, sets its own threshold, and
+    judges the fold's positives and those of its unlabeled rows that the same model finds as low.  Folds run side by side."""
+    s, spark = forests.s, packed.sparkSession
+    used = packed.where("is_positive or is_unlabeled").withColumn("y", F.col("is_positive").cast("int"))
+    smallest = min((r["count"] for r in used.groupBy("y").count().collect()), default=0)
+    folds = min(folds, smallest)
+    if folds < 2:
+        return None, {"skipped": "Need at least two positive rows and two unlabeled rows for k-fold CV."}
+    dealt = keep(M.assign_folds(used, "y", key, folds, s.seed), "cv-folds")
+
+    def one(k: int) -> tuple[DataFrame, dict]:
+        inside = F.col("fold") != k
+        mined = keep(forests.predict(forests.fit(dealt.where(inside), s.seed + 2000 + k), dealt.where("y = 0")), "cv-mined")
+        negatives = keep(M.reliable_negatives(mined.where(inside), "score", key, s.reliable_quantile, s.reliable_max_score, s.min_reliable).where("is_reliable"), "cv-negatives")
         cutoff = negatives.select("cutoff").first()["cutoff"]
-        fitting = inside.where("y = 1").unionByName(negatives.select(*inside.columns))
-        threshold, how = calibrate(fitting, inputs, s, key, s.seed + 100 + k, fallback)
-        mining = predict(fit_forest(inside, inputs, s, s.seed + 200 + k), outside.where("y = 0"))
-        least_rows = max(1, round(outside.where("y = 0").count() * s.reliable_quantile))
-        judged = M.reliable_negatives(mining.withColumn("_c", F.lit(cutoff)), "score", key, 1.0, cutoff, least_rows).where("is_reliable")
-        tested = predict(fit_forest(fitting, inputs, s, s.seed + 300 + k), outside.where("y = 1").unionByName(judged.select(*outside.columns)), "pu_cv_score")
-        tested = tested.withColumn("pu_cv_prediction", (F.col("pu_cv_score") >= threshold).cast("int")).persist()
+        outside = mined.where(~inside)
+        judged = M.reliable_negatives(outside, "score", key, 1.0, cutoff, max(1, round(outside.count() * s.reliable_quantile))).where("is_reliable")
+        fitting = keep(dealt.where(inside & (F.col("y") == 1)).unionByName(negatives.select(*dealt.columns)), "cv-fitting")
+        threshold, how = calibrate(fitting, forests, key, s.seed + 3000 + k, fallback)
+        tested = forests.predict(forests.fit(fitting, s.seed + 4000 + k), dealt.where(~inside & (F.col("y") == 1)).unionByName(judged.select(*dealt.columns)), "pu_cv_score")
+        tested = keep(tested.withColumn("pu_cv_prediction", (F.col("pu_cv_score") >= threshold).cast("int")), "cv-tested")
         row = M.confusion(tested, "y", "pu_cv_prediction").first().asDict()
-        reports.append(row | {"fold": k + 1, "threshold": threshold, "threshold_source": how})
         role = F.when(F.col("y") == 1, "positive_test").otherwise("reliable_negative_test")
-        parts.append(tested.select(key, role.alias("pu_cv_role"), F.lit(k + 1).alias("pu_cv_fold"), "pu_cv_score", "pu_cv_prediction"))
-    spark = table.sparkSession
-    averaged = M.fold_summary(spark.createDataFrame([{m: float(r[m]) for m in M.AVERAGED} for r in reports])).first().asDict()
-    return reduce(DataFrame.unionByName, parts), {"folds": reports, "aggregate": averaged}
+        part = tested.select(key, role.alias("pu_cv_role"), F.lit(k + 1).alias("pu_cv_fold"), "pu_cv_score", "pu_cv_prediction")
+        sizes = {r["y"]: r["count"] for r in fitting.groupBy("y").count().collect()}
+        delete(mined, negatives, fitting)
+        return part, row | {"fold": k + 1, "threshold": threshold, "threshold_source": how, "train_positives": sizes.get(1, 0), "train_reliable_negatives": sizes.get(0, 0), "train_reliable_negative_cutoff": cutoff}
+
+    found = side_by_side(spark, [lambda k=k: one(k) for k in range(folds)])
+    averaged = M.fold_summary(spark.createDataFrame([{m: float(r[m]) for m in M.AVERAGED} for _, r in found])).first().asDict()
+    delete(dealt)
+    return reduce(DataFrame.unionByName, (part for part, _ in found)), {"folds": [r for _, r in found], "aggregate": averaged}
 
 
-def group_holdouts(rows: DataFrame, held: DataFrame, inputs: list[str], s: Settings, key: str, columns: list[str], splits: int, threshold: float) -> dict:
+def group_holdouts(rows: DataFrame, held: DataFrame, forests: Forests, key: str, columns: list[str], splits: int, threshold: float) -> dict:
     """For each column: models that have not seen a quarter of its groups, or why there are none."""
     reports: dict = {}
     for column in columns:
         if column not in rows.columns:
             reports[column] = {"skipped": f"Column not found: {column}"}
             continue
-        named = held.join(rows.select(key, F.coalesce(F.col(f"`{column}`").cast("string"), F.lit("")).alias("_group")), key)
+        named = keep(held.join(rows.select(key, F.coalesce(F.col(f"`{column}`").cast("string"), F.lit("")).alias("_group")), key), "groups")
         if named.select("_group").distinct().limit(2).count() < 2:
             reports[column] = {"skipped": "Need at least two distinct groups."}
             continue
-        found = []
-        for k in range(splits):
-            parts = M.group_holdout(named, "_group", k, s.seed).persist()
+
+        def one(k: int, named: DataFrame = named) -> dict | None:
+            parts = keep(M.group_holdout(named, "_group", k, forests.s.seed), "group-split")
             fit, test = parts.where(~F.col("is_test")), parts.where("is_test")
-            if fit.select("y").distinct().count() < 2 or test.select("y").distinct().count() < 2:
-                continue
-            scored = predict(fit_forest(fit, inputs, s, s.seed + 1000 + k), test)
+            sizes = fit.agg(F.count_distinct("y").alias("kinds"), F.count("*").alias("n")).first(), test.agg(F.count_distinct("y").alias("kinds"), F.count_distinct("_group").alias("groups")).first()
+            if min(x["kinds"] for x in sizes) < 2:
+                return None
+            scored = forests.predict(forests.fit(fit, forests.s.seed + 1001 + k), test)
             row = M.metric_summary(scored, "y", "score", threshold).first().asDict()
-            found.append(row | {"fold": k + 1, "train_rows": fit.count(), "test_groups": test.select("_group").distinct().count()})
+            delete(parts)
+            return row | {"fold": k + 1, "train_rows": sizes[0]["n"], "test_groups": sizes[1]["groups"]}
+
+        found = [r for r in side_by_side(rows.sparkSession, [lambda k=k: one(k) for k in range(splits)]) if r]
         if not found:
             reports[column] = {"skipped": "No fold contained both classes in train and test."}
             continue
         table = rows.sparkSession.createDataFrame([{m: float(r[m]) for m in M.AVERAGED} for r in found])
         reports[column] = {"splits": found, "aggregate": M.fold_summary(table).first().asDict()}
+        delete(named)
     return reports
 
 

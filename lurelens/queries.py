@@ -22,7 +22,7 @@ from .operators import counts as N
 from .operators import evidence as E
 from .operators import metrics as M
 from .operators import rules as R
-from .operators.match import best_brands, brand_blocks, match_brands, split_by_match
+from .operators.match import best_brands, brand_set, match_brands, split_by_match
 from .plans import learn, reports
 from .plans.enrich import imitation_report
 
@@ -152,7 +152,7 @@ def brand_imitation(spark, d):
 @query(_BEST + "SELECT host, brand, score, CAST(distance AS INTEGER) AS distance, homoglyph FROM fin")
 def lexical_match(spark, d):
     hosts = _t(spark, d, "pages").select(T.hostname("url").alias("host"), F.lit("").alias("target"), F.lit("").alias("cse_name")).where("host <> ''").distinct()
-    best = best_brands(hosts, brand_blocks(_brands(spark), SETTINGS), SETTINGS)
+    best = best_brands(hosts, brand_set(_brands(spark), SETTINGS), SETTINGS)
     return best.select("host", "brand", F.round("score", 6).alias("score"), "distance", F.round("homoglyph", 6).alias("homoglyph"))
 
 
@@ -203,7 +203,7 @@ def hamming_similarity(spark, d):
     first = lambda df: F.substring(F.md5(F.col("text").cast("binary")), 1, 16)
     rows = _t(spark, d, "documents").select("doc_id", first(None).alias("h"))
     refs = _t(spark, d, "benchmark").select(first(None).alias("hash"))
-    return E.nearest_hash(rows, "doc_id", "h", refs, 1000, "similarity").select("doc_id", "similarity")
+    return E.nearest_hash(rows, "h", refs, 1000, "similarity").select("doc_id", "similarity")
 
 
 @query("""WITH h AS (SELECT doc_id, ('0x' || substr(md5(text), 1, 4))::UBIGINT AS a FROM documents), r AS (SELECT DISTINCT ('0x' || substr(md5(text), 1, 4))::UBIGINT AS b FROM benchmark)

@@ -6,11 +6,15 @@ read.  ``ord`` numbers rows by file name and place in the file.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..config import ASN_HEADERS, BRAND_DOMAIN_HEADERS, BRAND_NAME_HEADERS, HEADERS
+from ..config import ASN_HEADERS, BRAND_DOMAIN_HEADERS, BRAND_NAME_HEADERS, HEADERS, SUFFIXES
 from ..functions import text as T
+from ..functions.udf import vectorized
 
 CONTEXT = ("url", "detected_domain", "target_domain", "cse_name", "source_label", "registrar_name", "registrant_name", "registrant_country", "nameservers", "hosting_ip", "hosting_isp", "hosting_country", "dns_records", "remarks", "source_file", "source_row")
 SKIPPED_NAMES = ("audit", "dns_failed", "failed_urls")
@@ -143,6 +147,48 @@ def read_brands(spark: SparkSession, path: str) -> DataFrame:
     return brands_from(read_table(spark, path))
 
 
+@vectorized("string")
+def idna(names: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    """The ASCII form of host names; a name that has none stays as it is."""
+
+    def one(name: str) -> str:
+        try:
+            return name.encode("idna").decode()
+        except UnicodeError:
+            return name
+
+    for part in names:
+        yield part.map(one)
+
+
+def suffix_rules(texts: DataFrame, column: str = "value", private: bool = False) -> DataFrame:
+    """The rule table (name, more) of texts in the format of public suffix lists: a rule a line, up to the first white space;
+    lines that begin with // are comments; rules after the line that begins the private domains only if they are
+    wanted.  ``more`` is 1 for a wildcard, -1 for an exception, else 0; names come in Unicode and in their ASCII form."""
+    mark = "===BEGIN PRIVATE DOMAINS==="
+    public = F.col(column) if private else F.substring_index(F.col(column), mark, 1)
+    lines = texts.select(F.explode(F.split(public, r"\r?\n")).alias("line")).select(F.lower(F.regexp_extract("line", r"^\s*(\S+)", 1)).alias("rule"))
+    rules = lines.where("rule <> '' and not startswith(rule, '//')")
+    more = F.when(F.col("rule").startswith("*."), 1).when(F.col("rule").startswith("!"), -1).otherwise(0)
+    named = rules.select(F.regexp_replace("rule", r"^(?:\*\.|!)", "").alias("name"), more.alias("more"))
+    return named.select(F.explode(F.array("name", idna("name"))).alias("name"), "more").where("name <> ''").distinct()
+
+
+def read_suffix_rules(spark: SparkSession, path: str | None = None, private: bool = False) -> DataFrame:
+    """The rule table of a list file; without a path, of the list that comes with Spark's HTTP client, some 250 kB of text on
+    the driver's class path, and of SUFFIXES, some of which are younger than it."""
+    if path:
+        return suffix_rules(spark.read.text(path, wholetext=True), private=private)
+    jvm = spark._jvm
+    stream = jvm.java.lang.Thread.currentThread().getContextClassLoader().getResourceAsStream("mozilla/public-suffix-list.txt")
+    if stream is None:
+        raise FileNotFoundError("no public suffix list on the class path; give a path")
+    text = jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+    stream.close()
+    text = "\n".join((*SUFFIXES, text))
+    return suffix_rules(spark.createDataFrame([(text,)], "value string"), private=private)
+
+
 def read_feed(spark: SparkSession, path: str) -> DataFrame:
     """(url) of a saved feed: text, CSV (a url column, else the first), or JSON list of texts or of objects with url; bz2
     and gzip are unpacked by Spark."""

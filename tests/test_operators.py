@@ -7,7 +7,7 @@ from lurelens.operators import counts as N
 from lurelens.operators import evidence as E
 from lurelens.operators import metrics as M
 from lurelens.operators import rules as R
-from lurelens.operators.match import Brand, Host, edit_distance, match_brands, split_by_match
+from lurelens.operators.match import Brand, BrandIndex, Host, edit_distance, match_brands, split_by_match
 from lurelens.plans import learn
 from lurelens.plans.collect import collect
 from lurelens.plans.enrich import enrich
@@ -30,11 +30,12 @@ def brands_of(spark, *brands):
 def test_best_brand_rules():
     host = Host("bsnlportal.com", "bsnlportal", "bsnlportalcom")
     brand = Brand("bsnl.co.in", "bsnl.co.in", "bsnl", ["bsnl"])
-    assert host.best([brand], [])[:3] == ("bsnl.co.in", 0.85, 0)
-    assert host.best([], []) == ("", 0.0, -1, 0.0)
+    assert host.best(BrandIndex([brand]), None, [])[:3] == ("bsnl.co.in", 0.85, 0)
+    assert host.best(BrandIndex([]), None, []) == ("", 0.0, -1, 0.0, 0)
     # The first of equal brands wins; a token of the row's own name counts for every brand.
     first, second = Brand("a.com", "a.com", "a", []), Brand("b.com", "b.com", "b", [])
-    assert host.best([first, second], ["portal"])[0] == "a.com"
+    assert host.best(BrandIndex([first, second]), None, ["portal"])[0] == "a.com"
+    assert host.best(BrandIndex([first]), second, ["portal"])[0] == "b.com"
     assert edit_distance("kitten", "sitting") == 3
 
 
@@ -162,7 +163,7 @@ def test_numeric_features_and_truth_column(spark):
 def test_hash_joins(spark):
     rows = spark.createDataFrame([(1, "ff"), (2, "f0"), (3, ""), (4, None)], "id int, h string")
     refs = spark.createDataFrame([("fe",), ("zz",)], "hash string")
-    found = {r["id"]: r["s"] for r in E.nearest_hash(rows, "id", "h", refs, 1, "s").collect()}
+    found = {r["id"]: r["s"] for r in E.nearest_hash(rows, "h", refs, 1, "s").collect()}
     assert found == {1: round(1 - 1 / 64, 6), 2: round(1 - 3 / 64, 6), 3: 0.0, 4: 0.0}
     assert sorted(r["id"] for r in E.hamming_semi(rows, "h", refs, 2).collect()) == [1]
 
@@ -288,20 +289,3 @@ def test_command_line(spark, tmp_path):
     assert S.read_csv(spark, f"{p}/out").count() == 1
     main(["enrich", "--input", f"{p}/in", "--brands", f"{p}/brands.csv", "--output", f"{p}/rich"], spark)
     assert S.read_csv(spark, f"{p}/rich/features").first()["validation_status"] == "suspected_inactive"
-
-
-def test_training_query_runs_the_whole_procedure(spark, tmp_path, monkeypatch):
-    from lurelens import queries
-
-    spark.createDataFrame([(1, "text")], "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
-    spark.createDataFrame([(1, 0)], "doc_id bigint, quality int").write.parquet(f"{tmp_path}/labels.parquet")
-    seen = {}
-
-    def train(rows, s, **options):
-        seen.update(options, settings=s)
-        scored = rows.selectExpr("row_key", "'' AS pu_training_role", "0D AS pu_score", "0 AS pu_prediction")
-        return queries.learn.Trained(None, 0.5, [], scored=scored)
-
-    monkeypatch.setattr(queries.learn, "train", train)
-    assert queries.QUERIES["pu_train_score"](spark, str(tmp_path)).count() == 1
-    assert seen == {"settings": queries.Settings(), "tries": 10}

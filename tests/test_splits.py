@@ -34,7 +34,7 @@ def test_nearest_hash_against_every_pair(spark):
     refs = spark.createDataFrame([(x,) for x in others], "hash string")
     every = {r["id"]: r["s"] for r in rows.crossJoin(refs).groupBy("id").agg(F.round(F.max(H.hash_similarity(F.col("h"), F.col("hash"))), 6).alias("s")).collect()}
     for limit in (1000, 2):
-        assert {r["id"]: r["s"] for r in E.nearest_hash(rows, "id", "h", refs, limit, "s").collect()} == every
+        assert {r["id"]: r["s"] for r in E.nearest_hash(rows, "h", refs, limit, "s").collect()} == every
 
 
 def test_hash_scores_come_back_by_content(spark):
