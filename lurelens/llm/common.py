@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import os
 import posixpath
+import sys
 import uuid
 from collections.abc import Iterable, Iterator
+from types import ModuleType
 from urllib.parse import urlsplit
 
 import pyarrow as pa
@@ -113,6 +115,12 @@ def texts(batches: Iterator[pa.RecordBatch], column: int = 1) -> Iterator[tuple[
             yield batch.column(0), [x or "" for x in batch.column(column).to_pylist()]
 
 
+def worker_memory() -> dict:
+    """A dict that the tasks of one Python worker share; functions that come with a task are new in each, and so are their
+    globals.  What is kept there must be bounded, and must not change a result."""
+    return vars(sys.modules.setdefault("_lurelens_worker", ModuleType("_lurelens_worker")))
+
+
 class Memo(dict):
     """A dict that computes what it lacks and starts again when it holds ``most`` entries, so that its size is
     bounded whatever the vocabulary is."""

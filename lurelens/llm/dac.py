@@ -9,8 +9,8 @@ File format (all little-endian).  A file holds the ids of consecutive documents:
     8      number of documents D
     8      number of ids N
     4      number of levels L
-    4      zero
-    8*D    document ids (int64)
+    4      number Z of documents without an id, which come first
+    8*D    document ids (int64; 0 where there is none)
     8*(D+1) offsets of the documents' first ids, then N (int64)
     then for each level: 8 bytes count M; M chunks (uint8), padded to 8 bytes; ceil(M/8) bytes of continuation
     bitmap, padded to 8 bytes; rank directory: for each run of 512 chunks the ones before it (uint32), padded.
@@ -43,8 +43,8 @@ def _padded(data: bytes) -> bytes:
     return data + b"\0" * (-len(data) % 8)
 
 
-def pack(doc_ids: np.ndarray, offsets: np.ndarray, ids: np.ndarray) -> Iterator[bytes]:
-    """The bytes of a file."""
+def pack(doc_ids: np.ndarray, offsets: np.ndarray, ids: np.ndarray, nulls: int = 0) -> Iterator[bytes]:
+    """The bytes of a file; the first ``nulls`` documents have no id."""
     levels = []
     rest = ids.astype(np.uint32)
     while len(rest) or not levels:
@@ -54,7 +54,7 @@ def pack(doc_ids: np.ndarray, offsets: np.ndarray, ids: np.ndarray) -> Iterator[
         ranks = np.concatenate((np.zeros(1, np.uint32), np.cumsum(ones)[:-1].astype(np.uint32))) if len(ones) else ones
         levels.append((len(rest), (rest & 0xFF).astype(np.uint8).tobytes(), bits, ranks.astype("<u4").tobytes()))
         rest = rest[goes_on] >> CHUNK_BITS
-    yield struct.pack(HEADER, MAGIC, 1, CHUNK_BITS, len(doc_ids), len(ids), len(levels), 0)
+    yield struct.pack(HEADER, MAGIC, 1, CHUNK_BITS, len(doc_ids), len(ids), len(levels), nulls)
     yield doc_ids.astype("<i8").tobytes()
     yield offsets.astype("<i8").tobytes()
     for n, chunks, bits, ranks in levels:
@@ -68,7 +68,7 @@ class DacFile:
     """Reads the bytes of a file (``bytes``, or a memory map) without decoding it."""
 
     def __init__(self, data):
-        magic, version, bits, docs, self.n, levels, _ = struct.unpack_from(HEADER, data)
+        magic, version, bits, docs, self.n, levels, self.nulls = struct.unpack_from(HEADER, data)
         if (magic, version, bits) != (MAGIC, 1, CHUNK_BITS):
             raise ValueError("not a file of directly addressable codes")
         at = struct.calcsize(HEADER)
@@ -123,18 +123,18 @@ def write_ids(docs: DataFrame, tokenizer_path: str, folder: str, id_col: str = "
 
     Returns the table of files, one row each: part, seq, path, n_docs, n_ids; (part, seq) is the order of the
     files.  A file holds at most ``file_ids`` ids, or one document.  A null text is empty (only the end id);
-    documents with equal ids stand together in any order; documents with a null id are left out, as they have no
-    place in the order.  The table is written beside the files, so that it never has to be made twice.
+    documents with equal ids stand together in any order; those with a null id come before all others.  The table is
+    written beside the files, so that it never has to be made twice.
     """
     spark = docs.sparkSession
     tune(spark)
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where("id is not null")
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     placed = rows.repartitionByRange("id").sortWithinPartitions("id").withColumn("part", F.spark_partition_id())
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = id_encoder(tokenizer_path)
         end = np.array([end_id], np.uint32)
-        keys: list[int] = []
+        keys: list[int | None] = []
         runs: list[np.ndarray] = []
         held, part, seq = 0, 0, 0
         attempt = TaskContext.get().taskAttemptId()  # one that runs again leaves the files of another alone
@@ -142,7 +142,7 @@ def write_ids(docs: DataFrame, tokenizer_path: str, folder: str, id_col: str = "
         def flush() -> pa.RecordBatch:
             offsets = np.concatenate(([0], np.cumsum([len(x) for x in runs])))
             path = f"{folder}/ids-{part:06d}-{seq:06d}-{attempt}.dac"
-            put_file(path, pack(np.array(keys, np.int64), offsets, np.concatenate(runs)))
+            put_file(path, pack(np.array([k or 0 for k in keys], np.int64), offsets, np.concatenate(runs), keys.count(None)))
             return pa.RecordBatch.from_pydict({"part": [part], "seq": [seq], "path": [path], "n_docs": [len(keys)], "n_ids": [held]})
 
         for batch in batches:
@@ -198,7 +198,7 @@ def _read(files: DataFrame, field: str, value, kind: pa.DataType) -> DataFrame:
                     cut = slice(a, ks.stop)
                     yield pa.RecordBatch.from_arrays(
                         [
-                            pa.array(file.doc_ids[cut]),
+                            pa.array(file.doc_ids[cut], mask=np.arange(a, ks.stop) < file.nulls),
                             pa.array(file.offsets[cut] + start),
                             pa.array(np.diff(file.offsets[a : ks.stop + 1])),
                             pa.array([value(file, k) for k in ks], kind),

@@ -7,7 +7,9 @@ once while the bounded memo holds it.
 
 from __future__ import annotations
 
+import json
 import re
+import struct
 from collections.abc import Iterator
 
 import numpy as np
@@ -15,12 +17,28 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Memo, tune
+from .common import Memo, tune, worker_memory
 from .pretokens import byte_letters, make_split
 
 BYTE_LEVEL_PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
 
+def check_settings(path: str) -> None:
+    """Raises if a file asks for what ByteBpe does not do: another model or split, a normalizer, or special strings that take
+    the space around them."""
+    with open(path, encoding="utf-8") as file:
+        said = json.load(file)
+    model, split = said["model"], said.get("pre_tokenizer") or {}
+    wrong = {
+        "model": model.get("type", "BPE") != "BPE" or any(model.get(k) for k in ("dropout", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback", "ignore_merges")),
+        "normalizer": said.get("normalizer") is not None,
+        "pre_tokenizer": split.get("type") != "ByteLevel" or split.get("add_prefix_space") or not split.get("use_regex", True),
+        "added_tokens": any(t.get(k) for t in said.get("added_tokens", ()) for k in ("lstrip", "rstrip", "single_word")),
+    }
+    if any(wrong.values()):
+        raise ValueError(f"{path}: these settings are not supported: {', '.join(k for k, v in wrong.items() if v)}")
+
+
 class ByteBpe:
     """The ids that a byte-level BPE file of the tokenizers library gives a text, without added special tokens;
     special strings inside a text become their ids, as is the library's default."""
@@ -28,6 +46,7 @@ class ByteBpe:
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
+        check_settings(path)
         self.library = Tokenizer.from_file(path)
         self.library.no_truncation()
         self.library.no_padding()
@@ -107,12 +126,16 @@ def count_tokens(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: s
 
 
 def id_encoder(path: str):
-    """text -> its ids as one little-endian uint32 array; words are merged once while a bounded memo holds them."""
-    bpe = ByteBpe(path)
-    words = Memo(lambda word: np.asarray(bpe.merge(word), "<u4").tobytes())
+    """text -> its ids as one little-endian uint32 array.  Words are merged once while a bounded memo holds them, which the
+    tasks of a worker share."""
+    shared = worker_memory()
+    if ("words", path) not in shared:
+        bpe = ByteBpe(path)
+        shared["words", path] = bpe, Memo(lambda word: struct.pack(f"<{len(ids := bpe.merge(word))}I", *ids), 600_000)
+    bpe, words = shared["words", path]
 
     def encode(text: str) -> np.ndarray:
-        runs = [np.uint32(i).tobytes() if run is None else b"".join(map(words.__getitem__, run)) for run, i in bpe.pieces(text)]
+        runs = [struct.pack("<I", i) if run is None else b"".join(map(words.__getitem__, run)) for run, i in bpe.pieces(text)]
         return np.frombuffer(b"".join(runs), "<u4")
 
     return encode

@@ -90,6 +90,35 @@ def test_token_id_files(spark, tmp_path):
     assert sum(len(r["ids"]) for r in dac.read_ids(files).collect()) == start
     empty = dac.write_ids(docs_of(spark, []), path, f"file://{tmp_path}/none")
     assert dac.read_checks(empty).count() == 0
+    # Documents without an id come first; equal ids stand together.
+    odd = spark.createDataFrame([(5, "b c"), (None, "a"), (2, "Hello world"), (5, "b c"), (None, "")], "doc_id bigint, text string")
+    read = sorted((r["start"], r["doc_id"], r["n_tokens"]) for r in dac.read_checks(dac.write_ids(odd, path, f"file://{tmp_path}/odd", file_ids=3)).collect())
+    assert [r[1] for r in read] == [None, None, 2, 5, 5] and sum(r[2] for r in read) == 2 + 1 + 3 + 3 + 3
+    assert [r[0] for r in read] == np.cumsum([0, *(r[2] for r in read[:-1])]).tolist()
+
+
+def test_unsupported_settings_are_errors(tmp_path):
+    import json
+
+    with open(public_tokenizers.path("byte_bpe_50k.json"), encoding="utf-8") as file:
+        said = json.load(file)
+    for change in ({"normalizer": {"type": "Lowercase"}}, {"pre_tokenizer": {"type": "ByteLevel", "add_prefix_space": True}}):
+        (tmp_path / "odd.json").write_text(json.dumps(said | change))
+        with pytest.raises(ValueError, match=next(iter(change))):
+            tokcount.ByteBpe(str(tmp_path / "odd.json"))
+    with pytest.raises(ValueError, match="model"):
+        tokcount.ByteBpe(public_tokenizers.path("word_bpe_49k.json"))
+
+
+def test_counts_of_null_ids_repeated_rows_and_empty_tables(spark, ranks):
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    odd = spark.createDataFrame([(None, "a b"), (3, "c"), (3, "c"), (None, None)], "doc_id bigint, text string")
+    assert sorted((r["doc_id"] or 0, r["n_tokens"]) for r in tokcount.count_tokens(odd, path).collect()) == [(0, 0), (0, 2), (3, 1), (3, 1)]
+    coded = bpe.decode(bpe.encode(odd, ranks, public_tokenizers.PATTERN), ranks).collect()
+    assert sorted((r["doc_id"] or 0, bytes(r["bytes"])) for r in coded) == [(0, b""), (0, b"a b"), (3, b"c"), (3, b"c")]
+    assert tokcount.count_tokens(odd.limit(0), path).count() == 0
+    scored = lm.score_texts(odd).collect()
+    assert len(scored) == 4 and sorted(r["n_tokens"] for r in scored) == [1, 2, 2, 3]
 
 
 def test_directly_addressable_codes():
