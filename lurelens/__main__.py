@@ -13,10 +13,12 @@ from .config import Settings
 from .operators.contexts import union_all
 from .operators.evidence import TABLES
 from .plans import learn
-from .plans.collect import collect
+from .plans.collect import budgeted_permutations, collect, format_counts
 from .plans.enrich import enrich
 from .sources import readers as R
 from .sources import writers as W
+from .sources.feeds import read_live_feed
+from .sources.generators import command_generator
 
 
 def parser() -> argparse.ArgumentParser:
@@ -28,6 +30,7 @@ def parser() -> argparse.ArgumentParser:
         for r in required:
             p.add_argument(f"--{r}", required=True)
         p.add_argument("--output", required=True)
+        p.add_argument("--suffix-list", default="", help="public suffix rules; by default those that come with Spark")
         p.add_argument("--observation-date", default=datetime.now(timezone.utc).date().isoformat())
         return p
 
@@ -35,6 +38,10 @@ def parser() -> argparse.ArgumentParser:
     for kind in ("local", "feed", "permutation"):
         p.add_argument(f"--{kind}", action="append", default=[])
     p.add_argument("--row-cap", type=int, default=Settings.row_cap)
+    p.add_argument("--live", action="append", default=[], metavar="ADDRESS[,ADDRESS...][#COLUMN]", help="a feed to download; the first address that can be read counts")
+    p.add_argument("--dns", help="Parquet evidence table: hosts that do not resolve are left out")
+    p.add_argument("--generator", default="", help="a program that prints the permutations of a domain as JSON")
+    p.add_argument("--budget", type=int, default=0, help="rows of permutations after which no more domains are permuted")
     for name in ("enrich", "validate"):
         p = add(name, "input", "brands")
         p.add_argument("--require-match", action="store_true")
@@ -59,7 +66,7 @@ def parser() -> argparse.ArgumentParser:
 def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> None:
     a = parser().parse_args(argv)
     spark = spark or SparkSession.builder.appName("lurelens").getOrCreate()
-    s = Settings(observation_date=a.observation_date)
+    s = Settings(observation_date=a.observation_date, suffixes=R.read_suffix_rules(spark, a.suffix_list or None))
     if a.command == "collect":
         s = replace(s, row_cap=a.row_cap)
         sources = []
@@ -73,7 +80,17 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> No
                 else:
                     urls = R.permutations_from(spark.read.text(path, wholetext=True).select(F.lit("").alias("brand"), F.col("value").alias("json"))).select(F.col("host").alias("url"))
                 sources.append((kind, path.rsplit("/", 1)[-1], urls.withColumn("ord", F.monotonically_increasing_id())))
-        found = collect(sources, R.read_brands(spark, a.brands), s, F.to_date(F.lit(a.observation_date)))
+        for address in a.live:
+            addresses, _, column = address.partition("#")
+            urls = read_live_feed(spark, addresses.split(","), column)
+            sources.append(("feed", addresses.split("/")[2], urls.withColumn("ord", F.monotonically_increasing_id())))
+        brands, dns = R.read_brands(spark, a.brands), spark.read.parquet(a.dns) if a.dns else None
+        if a.generator:
+            gate = (lambda hosts: dns) if dns is not None else None
+            permuted = budgeted_permutations(brands, command_generator(a.generator), s, a.budget, dns=gate)
+            print(f"permutations: {format_counts(permuted.counters)}")
+            sources.append(("permutation", "permutations", permuted.rows.select("url", "ord")))
+        found = collect(sources, brands, s, F.to_date(F.lit(a.observation_date)), dns)
         W.write_csv(found, a.output, found.columns, single=True)
     elif a.command in ("enrich", "validate"):
         s = replace(s, require_match=a.require_match, match_threshold=a.match_threshold)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, fields
 
 from pyspark.sql import DataFrame
 
@@ -165,6 +165,42 @@ class Settings:
     broadcast_rows: int = 20_000
 
 
+def number(value: object, default: float, least: float = 0):
+    """A setting's text as a number of the default's kind, ``least`` at least; the default for what is no number."""
+    try:
+        return max(type(default)(least), type(default)(value))
+    except (TypeError, ValueError, OverflowError):
+        return default
+
+
+@dataclass(frozen=True)
+class Pace:
+    """How many keys probers ask for at a time, and how long they wait."""
+
+    io: int = 12
+    dns: int = 32
+    http: int = 12
+    registry: int = 20
+    fallback: int = 2
+    fallback_pause: float = 0.5
+    tls: int = 6
+    owner: int = 6
+    http_timeout: int = 10
+    dns_timeout: float = 3.0
+    dns_lifetime: float = 6.0
+    dns_retries: int = 1
+
+    @staticmethod
+    def of(texts: dict[str, object]) -> Pace:
+        """From texts: counts are 1 at least, retries and times 0 at least; what is missing or no number has its default,
+        which for most counts goes by ``io``."""
+        io = number(texts.get("io"), Pace.io, 1)
+        defaults = {"dns": max(32, 2 * io), "http": io, "registry": max(20, io), "tls": max(4, io // 2), "owner": max(4, io // 2)}
+        every = {f.name: defaults.get(f.name, f.default) for f in fields(Pace)} | {"io": io}
+        at_least_1 = ("io", "dns", "http", "registry", "fallback", "tls", "owner", "http_timeout")
+        return Pace(**{k: number(texts.get(k), v, int(k in at_least_1)) for k, v in every.items()})
+
+
 #: Grid of decision thresholds: 181 points from 0.05 to 0.95, as a linear space gives them.
 def threshold_grid() -> list[float]:
     import numpy as np

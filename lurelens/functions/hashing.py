@@ -12,6 +12,7 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .images import gray_pixels, resized
 from .text import clean
 from .udf import vectorized
 
@@ -70,21 +71,25 @@ def bits_to_hex(bits: list[int]) -> str:
 
 
 def image_hash(data: bytes | None) -> str:
-    """pHash of an encoded image; "" if it cannot be read or there is no decoder."""
-    try:
-        from PIL import Image
-    except ImportError:
-        return ""
+    """pHash of an encoded image; "" if it cannot be read.  Pillow reads it, where it is installed; else PNG and icons of
+    PNG are read here, to the same bits."""
     if not data:
         return ""
     try:
-        with Image.open(io.BytesIO(data)) as image:
-            gray = image.convert("L").resize((32, 32), Image.Resampling.LANCZOS)
-            return perceptual_bits(np.asarray(gray))
+        return perceptual_bits(_small_gray(bytes(data)))
     except Exception:  # an image of any broken kind has no hash
         return ""
 
 
+def _small_gray(data: bytes) -> np.ndarray:
+    try:
+        from PIL import Image
+    except ImportError:
+        return resized(gray_pixels(data))
+    with Image.open(io.BytesIO(data)) as image:
+        return np.asarray(image.convert("L").resize((32, 32), Image.Resampling.LANCZOS))
+
+
 @vectorized("string")
 def image_hashes(images: Iterator[pd.Series]) -> Iterator[pd.Series]:
     for part in images:

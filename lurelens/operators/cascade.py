@@ -102,7 +102,7 @@ def ask_fallback(domains: DataFrame, fallback: Fallback, tasks: int = 2, pause:
     return domains.select("registered_domain").repartition(tasks, "registered_domain").mapInPandas(run, kinds)
 
 
-def registrations(domains: DataFrame, bootstrap: DataFrame, rules: DataFrame, client: Client, fallback: Fallback | None = None, **pace) -> DataFrame:
+def registrations(domains: DataFrame, bootstrap: DataFrame, rules: DataFrame, client: Client, fallback: Fallback | None = None, fallback_pause: float = 0.5, **pace) -> DataFrame:
     """REGISTRATION evidence of the distinct non-empty registered domains.
 
     ``rdap_status`` is success, not_found (404), rate_limited (429), unavailable (no service) or error.  Domains for which no
@@ -125,6 +125,6 @@ def registrations(domains: DataFrame, bootstrap: DataFrame, rules: DataFrame, cl
     if fallback is None:
         return first.select(*columns)
     dated = F.col("creation_date").isNotNull() | F.col("expiration_date").isNotNull()
-    second = keep(ask_fallback(first.where(~dated), fallback), "fallback-answers")
+    second = keep(ask_fallback(first.where(~dated), fallback, pause=fallback_pause), "fallback-answers")
     mended = second.withColumn("source", F.lit("whois")).join(first.select("registered_domain", "rdap_status"), "registered_domain")
     return first.where(dated).select(*columns).unionByName(mended.select(*columns))

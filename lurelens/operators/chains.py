@@ -126,8 +126,7 @@ def redirect_chains(hops: DataFrame, suffixes: T.Suffixes | DataFrame, most: int
     """
     one = hops.groupBy("url").agg(F.min(F.struct("next", "status_code", "html", "content_type", "error")).alias("h")).select("url", "h.*")
     one = keep(one.withColumns({"_from": T.hostname("url"), "_to": T.hostname("next")}), "hops")
-    named, a = resolve(one, F.col("_from"), suffixes, "_na")
-    named, b = resolve(named, F.col("_to"), suffixes, "_nb")
+    named, (a, b) = resolve(one, {"_na": F.col("_from"), "_nb": F.col("_to")}, suffixes)
     here, there = T.registered_domain(F.col("_from"), a), T.registered_domain(F.col("_to"), b)
     crossing = F.coalesce((here != "") & (there != "") & (here != there), F.lit(False)).cast("int")
     goes = F.col("next").isNotNull()

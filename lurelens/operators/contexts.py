@@ -133,6 +133,6 @@ def union_all(*parts: DataFrame) -> DataFrame:
 def registered_changes(chain: DataFrame, key: str, order: str, url: str, suffixes: T.Suffixes | DataFrame) -> DataFrame:
     """(key, changes): how often the registered domain differs from that of the URL before it in the chain."""
     w = Window.partitionBy(key).orderBy(order)
-    chain, known = resolve(chain.withColumn("_h", T.hostname(url)), F.col("_h"), suffixes, "_sh")
+    chain, (known,) = resolve(chain.withColumn("_h", T.hostname(url)), {"_sh": F.col("_h")}, suffixes)
     seen = chain.withColumn("_d", T.registered_domain(F.col("_h"), known)).withColumn("_p", F.lag("_d").over(w))
     return seen.groupBy(key).agg(F.sum(((F.coalesce("_p", F.lit("")) != "") & (F.col("_d") != "") & (F.col("_d") != F.col("_p"))).cast("int")).alias("changes"))

@@ -16,6 +16,7 @@ from ..functions import html as H
 from ..functions import registry as R
 from ..functions import text as T
 from ..functions.hashing import hash_number, hash_similarity, image_hashes
+from ..storage import keep
 from .hosts import registered_domains, resolve
 
 DNS = "host string, dns_check_pass int, dns_resolves_to_ip int, resolved_ips string, cname_exists int, cname_chain_length int, dns_error string, status string"
@@ -67,10 +68,20 @@ def registration_from_answers(answers: DataFrame) -> DataFrame:
     )
 
 
+def hosting_from_answers(answers: DataFrame) -> DataFrame:
+    """Hosting evidence from (ip, http_status, answer JSON, error) of an address registry's RDAP service."""
+    rows = answers.where("ip <> ''").withColumn("a", R.answer(F.col("answer")))
+    owner, http = F.coalesce(R.address_owner(F.col("a")), F.lit("")), F.col("http_status")
+    wrong = F.concat(F.lit("http_"), http.cast("string"))
+    status = F.when(F.coalesce("error", F.lit("")) != "", "error").when(http != 200, wrong).when(owner != "", "success").otherwise("not_found")
+    said = F.when(F.coalesce("error", F.lit("")) != "", F.col("error")).when(http != 200, F.concat(F.lit("HTTP "), http.cast("string"))).otherwise("")
+    return rows.select("ip", F.when(http == 200, owner).otherwise("").alias("asn_org"), F.coalesce(status, F.lit("error")).alias("status"), said.alias("error"))
+
+
 def hash_references(references: DataFrame, hash_col: str, suffixes: T.Suffixes | DataFrame) -> DataFrame:
     """(key, hash) of brand references: under the host and under its registered domain."""
     host = F.col("_host")
-    references, known = resolve(references.withColumn("_host", T.hostname("domain")), host, suffixes, "_sh")
+    references, (known,) = resolve(references.withColumn("_host", T.hostname("domain")), {"_sh": host}, suffixes)
     keyed = references.where(F.coalesce(F.col(hash_col), F.lit("")) != "").select(F.explode(F.array_distinct(F.array(host, T.registered_domain(host, known)))).alias("key"), F.lower(T.clean(hash_col)).alias("hash"))
     return keyed.where("key <> '' and hash <> ''").distinct()
 
@@ -129,8 +140,7 @@ def page_evidence(rows: DataFrame, s: Settings) -> DataFrame:
     cse_name.  Where a brand is claimed but the target or the page has no domain, all of it is the default of an error."""
     columns = rows.columns
     named = T.hostname(F.coalesce(F.nullif("matched_brand_domain", F.lit("")), T.hostname("target_domain")))
-    rows, of_named = resolve(rows.withColumn("_named", named), F.col("_named"), s.suffixes, "_sn")
-    rows, of_host = resolve(rows, F.col("host"), s.suffixes, "_sh")
+    rows, (of_named, of_host) = resolve(rows.withColumn("_named", named), {"_sn": F.col("_named"), "_sh": F.col("host")}, s.suffixes)
     tokens = T.brand_tokens(F.col("_named"), F.col("cse_name"), of_named)
     rows = rows.withColumn("_page", F.when(F.coalesce("html", F.lit("")) != "", H.page_parts("html"))).withColumn("_tokens", tokens)
     p, tok = F.col("_page"), F.col("_tokens")
@@ -180,10 +190,13 @@ def feature_rows(rows: DataFrame, brands: DataFrame, s: Settings, given: dict[st
         "html": F.coalesce("h_html", text), "final_url": F.coalesce("h_final_url", text), "fetch_success": F.coalesce("h_fetch_success", zero),
         "resolved_ips": F.coalesce("d_resolved_ips", text), "favicon_hash": F.coalesce(image_hashes("a_favicon"), text), "logo_hash": F.coalesce(image_hashes("a_logo"), text),
     })
+    if isinstance(s.suffixes, DataFrame):
+        base = keep(base, "evidence")
     base = page_evidence(base, s)
     named = F.coalesce(F.nullif("matched_brand_domain", text), F.col("target"))
-    base, of_named = resolve(base.withColumn("_named", T.hostname(named)), F.col("_named"), s.suffixes, "_sn")
-    base, of_target = resolve(base, F.col("target"), s.suffixes, "_st")
+    if isinstance(s.suffixes, DataFrame):  # pages are parsed once, not for the look-up too
+        base = keep(base, "pages")
+    base, (of_named, of_target) = resolve(base.withColumn("_named", T.hostname(named)), {"_sn": F.col("_named"), "_st": F.col("target")}, s.suffixes)
     keys = F.array(*(k for h, n in ((F.col("_named"), of_named), (F.col("target"), of_target)) for k in (h, T.registered_domain(h, n))))
     for kind in ("favicon", "logo"):
         if kind in references:
@@ -221,5 +234,5 @@ def feature_rows(rows: DataFrame, brands: DataFrame, s: Settings, given: dict[st
     }
     from .rules import extraction_status
 
-    keep = [c for c in ("ord",) if c in rows.columns]
-    return base.select(*keep, *(v.alias(k) for k, v in out.items()), extraction_status(*statuses.values()).alias("extraction_status"))
+    also = [c for c in ("ord",) if c in rows.columns]
+    return base.select(*also, *(v.alias(k) for k, v in out.items()), extraction_status(*statuses.values()).alias("extraction_status"))

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..storage import keep
 
 #: A rule table of more rows than this is not broadcast; the join then splits hot endings by itself.
 MOST_BROADCAST_RULES = 50_000
@@ -36,15 +37,18 @@ def suffix_lengths(hosts: DataFrame, rules: DataFrame, host: str = "host") -> Da
     return asked.join(longest.select("host", F.col("rule.col2").alias("suffix_labels")), "host", "left").withColumn("suffix_labels", F.coalesce("suffix_labels", F.lit(0)))
 
 
-def resolve(rows: DataFrame, host: Column, suffixes: T.Suffixes | DataFrame, name: str) -> tuple[DataFrame, T.Suffixes]:
-    """(rows, suffixes) for the functions of a host column: with a rule table, ``rows`` get the column ``name`` of suffix
-    labels by an equi-join on the host, and it is what the functions take."""
+def resolve(rows: DataFrame, hosts: dict[str, Column], suffixes: T.Suffixes | DataFrame) -> tuple[DataFrame, list[T.Suffixes]]:
+    """(rows, suffixes for the functions of each of the host columns).  With a rule table, the distinct hosts of all the columns
+    are looked up together and written out, and ``rows`` get a column of suffix labels for each, by its name."""
     if not isinstance(suffixes, DataFrame):
-        return rows, suffixes
-    keyed = rows.withColumn(f"{name}_host", host)
-    found = suffix_lengths(keyed, suffixes, f"{name}_host").select(F.col("host").alias(f"{name}_host"), F.col("suffix_labels").alias(name))
-    joined = keyed.join(found, f"{name}_host", "left").drop(f"{name}_host")
-    return joined.select(*rows.columns, F.coalesce(name, F.lit(0)).alias(name)), F.col(name)
+        return rows, [suffixes] * len(hosts)
+    keyed = rows.withColumns({f"{name}_host": host for name, host in hosts.items()})
+    every = keyed.select(F.explode(F.array_distinct(F.array(*(f"{name}_host" for name in hosts)))).alias("host"))
+    found = keep(suffix_lengths(every, suffixes), "suffix-lengths")
+    for name in hosts:
+        one = found.select(F.col("host").alias(f"{name}_host"), F.col("suffix_labels").alias(name))
+        keyed = keyed.join(one, f"{name}_host", "left")
+    return keyed.select(*rows.columns, *(F.coalesce(name, F.lit(0)).alias(name) for name in hosts)), [F.col(name) for name in hosts]
 
 
 def registered_domains(rows: DataFrame, urls: str, out: str, suffixes: T.Suffixes | DataFrame) -> DataFrame:
@@ -53,7 +57,7 @@ def registered_domains(rows: DataFrame, urls: str, out: str, suffixes: T.Suffixe
     if not isinstance(suffixes, DataFrame):
         return rows.withColumn(out, F.transform(urls, lambda u: T.registered_domain(T.hostname(u), suffixes)))
     each = rows.select(F.col(urls).alias("_urls")).where("_urls is not null").distinct().select("_urls", F.posexplode("_urls").alias("_at", "_url"))
-    each, known = resolve(each.withColumn("_host", T.hostname("_url")), F.col("_host"), suffixes, "_n")
+    each, (known,) = resolve(each.withColumn("_host", T.hostname("_url")), {"_n": F.col("_host")}, suffixes)
     named = each.groupBy("_urls").agg(F.sort_array(F.collect_list(F.struct("_at", T.registered_domain(F.col("_host"), known).alias("_d")))).alias("_all"))
     joined = rows.join(named, F.col(urls) == F.col("_urls"), "left")
     empty = F.array().cast("array<string>")

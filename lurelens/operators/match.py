@@ -26,6 +26,7 @@ from pyspark.sql.functions import pandas_udf
 from ..config import HOMOGLYPHS, TOKEN_OVERRIDE_SCORE, TOKEN_SCORE, UNKNOWN, Settings
 from ..functions import text as T
 from ..functions.similarity import indel_ratio
+from ..storage import keep
 from .hosts import resolve
 
 #: ``compared``: the brands whose similarity was worked out.
@@ -160,7 +161,7 @@ class Host:
 def brand_table(brands: DataFrame, settings: Settings) -> DataFrame:
     """(domain, name, registered, stem, tokens, own_tokens) of brands (domain, name); own_tokens has those of the name too."""
     host = F.col("domain")
-    brands, s = resolve(brands.select("domain", "name"), host, settings.suffixes, "_sb")
+    brands, (s,) = resolve(brands.select("domain", "name"), {"_sb": host}, settings.suffixes)
     return brands.select("domain", "name", T.registered_domain(host, s).alias("registered"), T.domain_stem(host, s).alias("stem"), T.domain_tokens(host, s).alias("tokens"), T.brand_tokens(host, F.col("name"), s).alias("own_tokens"))
 
 
@@ -189,7 +190,8 @@ _KEY = ["host", "target", "cse_name"]
 HOSTS_IN_TASK = 100_000
 
 
-def _compare_all(index: BrandIndex, frame: pd.DataFrame, seen: dict) -> list[tuple]:
+def _compare_all(index: BrandIndex, frame: pd.DataFrame, seen: dict) -> pd.DataFrame:
+    """BEST for each row of inputs; types are set, as an empty frame has none of its own."""
     out = []
     for r, st, al, ex, domain, own_r, own_s, own_t in frame.itertuples(index=False):
         key = (r, st, al, tuple(ex), domain)
@@ -198,14 +200,15 @@ def _compare_all(index: BrandIndex, frame: pd.DataFrame, seen: dict) -> list[tup
                 seen.clear()
             seen[key] = Host(r, st, al).best(index, Brand(domain, own_r, own_s, list(own_t)) if domain else None, list(ex))
         out.append(seen[key])
-    return out
+    kinds = {"brand": "object", "score": "float64", "distance": "int32", "homoglyph": "float64", "compared": "int64"}
+    return pd.DataFrame({c: pd.Series([r[k] for r in out], index=frame.index, dtype=kind) for k, (c, kind) in enumerate(kinds.items())})
 
 
 def _comparer(listed: list[tuple]):
     def compare(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         index, seen = BrandIndex([Brand(*b) for b in listed]), {}
         for part in parts:
-            yield pd.DataFrame(_compare_all(index, part, seen), columns=["brand", "score", "distance", "homoglyph", "compared"])
+            yield _compare_all(index, part, seen)
 
     return pandas_udf(compare, BEST)
 
@@ -235,8 +238,7 @@ def best_brands(rows: DataFrame, brands: BrandSet, settings: Settings) -> DataFr
     """
     host, columns = F.col("host"), rows.columns
     asked = rows if brands.rows is not None else rows.select(*_KEY).distinct()
-    asked, s = resolve(asked, host, settings.suffixes, "_sh")
-    asked, of_target = resolve(asked, F.col("target"), settings.suffixes, "_st")
+    asked, (s, of_target) = resolve(asked, {"_sh": host, "_st": F.col("target")}, settings.suffixes)
     own = _own(F.col("target"), of_target)
     inputs = F.struct(T.registered_domain(host, s).alias("registered"), T.domain_stem(host, s).alias("stem"), T.alnum(host).alias("alnum"), T.tokens(T.clean("cse_name")).alias("extra"), *(own[c].alias(f"own_{c}") for c in ("domain", "registered", "stem", "tokens")))
     if brands.rows is not None:
@@ -247,8 +249,7 @@ def best_brands(rows: DataFrame, brands: BrandSet, settings: Settings) -> DataFr
     def work(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         right = right.sort_values("domain")
         index = BrandIndex([Brand(d, r, s, list(t)) for d, r, s, t in zip(right["domain"], right["registered"], right["stem"], right["tokens"], strict=True)])
-        found = pd.DataFrame(_compare_all(index, left[names], {}), columns=["brand", "score", "distance", "homoglyph", "compared"], index=left.index)
-        return pd.concat([left[_KEY], found], axis=1)
+        return pd.concat([left[_KEY], _compare_all(index, left[names], {})], axis=1)
 
     keys = asked.select(*_KEY, inputs.alias("i")).select(*_KEY, "i.*")
     found = _in_blocks(keys, brands, ["domain", "registered", "stem", "tokens"], work, f"host string, target string, cse_name string, {BEST}")
@@ -283,8 +284,9 @@ def lexical_features(rows: DataFrame, brands: DataFrame, settings: Settings, kno
     host = F.col("host")
     named = F.when(F.col("brand") == "", F.col("target")).otherwise(F.col("brand"))
     columns = joined.columns
-    joined, s = resolve(joined, host, settings.suffixes, "_sh")
-    joined, of_named = resolve(joined, named, settings.suffixes, "_sn")
+    if isinstance(settings.suffixes, DataFrame):  # the match is worked out once, not for the look-up too
+        joined = keep(joined, "matched")
+    joined, (s, of_named) = resolve(joined, {"_sh": host, "_sn": named}, settings.suffixes)
     joined = joined.withColumn("brand_token_list", T.brand_tokens(named, F.col("cse_name"), of_named))
     tokens, registered = F.col("brand_token_list"), T.registered_domain(host, s)
     return joined.select(

@@ -42,7 +42,8 @@ def probe(keys: DataFrame, key: str, schema: str, ask: Callable[[str], dict], er
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         with ThreadPoolExecutor(threads) as pool:
             for part in parts:
-                yield pd.DataFrame(list(pool.map(one, part[key])), columns=fields)
+                rows = [[answer.get(f) for f in fields] for answer in pool.map(one, part[key])]
+                yield pd.DataFrame(rows, columns=fields, dtype="object")  # a column of nulls alone would count as numbers
 
     distinct = keys.select(F.col(key)).where(F.coalesce(F.col(key), F.lit("")) != "").distinct().repartition(partitions, key)
     return distinct.mapInPandas(run, schema)
@@ -79,16 +80,18 @@ def follow_aliases(host: str, alias_of: Callable[[str], str | None], most: int =
 
 
 def merged_dns(rows: DataFrame, answers: DataFrame) -> DataFrame:
-    """DNS evidence from answers (host, ips array, aliases array, errors array) and what the rows' own columns hosting_ip
-    and dns_records say: their addresses count, and a record text counts its CNAMEs."""
+    """DNS evidence from answers (host, ips array, aliases array, errors array; socket_failed, if it is there) and what the
+    rows' own columns hosting_ip and dns_records say: their addresses count, and a record text counts its CNAMEs.  Where
+    even the system's resolver failed and the row says neither, there is no evidence but the errors."""
     host = T.hostname("detected_domain")
     own = rows.select(host.alias("host"), T.ip_set(F.col("hosting_ip"), F.col("dns_records")).alias("own"), F.lower(T.clean("dns_records")).alias("records"))
     own = own.groupBy("host").agg(F.array_distinct(F.flatten(F.collect_set("own"))).alias("own"), F.max("records").alias("records"))
     empty = F.array().cast("array<string>")
-    both = own.join(answers, "host", "left")
+    both = own.join(answers if "socket_failed" in answers.columns else answers.withColumn("socket_failed", F.lit(False)), "host", "left")
+    dead = F.coalesce("socket_failed", F.lit(False)) & (F.size("own") == 0) & ~F.col("records").contains("cname")
     ips = F.array_sort(F.array_union("own", F.coalesce("ips", empty)))
-    count = F.greatest(F.size(F.array_distinct(F.coalesce("aliases", empty))), T.count_of(F.col("records"), "cname"))
-    found = (F.size(ips) > 0) | (count > 0) | (F.col("records") != "")
+    count = F.when(dead, 0).otherwise(F.greatest(F.size(F.array_distinct(F.coalesce("aliases", empty))), T.count_of(F.col("records"), "cname")))
+    found = ~dead & ((F.size(ips) > 0) | (count > 0) | (F.col("records") != ""))
     return both.select(
         "host", found.cast("int").alias("dns_check_pass"), (F.size(ips) > 0).cast("int").alias("dns_resolves_to_ip"), F.array_join(ips, ";").alias("resolved_ips"),
         (count > 0).cast("int").alias("cname_exists"), count.alias("cname_chain_length"), F.array_join(F.coalesce("errors", empty), ";").alias("dns_error"),

@@ -6,6 +6,7 @@ The tables have no forms, logos or registrations, so some operators run on stand
 from __future__ import annotations
 
 from collections.abc import Callable
+from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -22,9 +23,15 @@ from .operators import counts as N
 from .operators import evidence as E
 from .operators import metrics as M
 from .operators import rules as R
+from .operators.cascade import registrations
+from .operators.chains import alias_chains, redirect_chains
+from .operators.hosts import host_parts
 from .operators.match import best_brands, brand_set, match_brands, split_by_match
+from .operators.store import EvidenceStore
 from .plans import learn, reports
 from .plans.enrich import imitation_report
+from .sources.readers import suffix_rules
+from .storage import new_path
 
 #: With these as suffixes, the label before them varies; all test hosts lie below them.
 SETTINGS = Settings(suffixes=(*SUFFIXES, "example.com", "example.net", "example.org"), observation_date="2026-01-01")
@@ -162,7 +169,16 @@ def _candidates(spark, d):
     return pages.select("url", host.alias("detected_domain"), F.lit("").alias("target_domain"), F.lit("").alias("cse_name"), F.lit("").alias("remarks"), F.lit("Unlabeled").alias("source_label"), F.lit("pages").alias("source_file"), F.col("page_id").cast("int").alias("source_row"), F.col("page_id").alias("ord"))
 
 
-@query()
+@query(
+    _BEST
+    + f""", u AS (SELECT page_id, url, {_host('url')} AS host, {_alnum("regexp_replace(regexp_replace(regexp_extract(url, '^[^:]*://([^/?#]*[^?#]*)', 1), '^[^/]*@', ''), '^([^/:]*):[0-9]+', '\\1')")} AS ual FROM pages),
+tok AS (SELECT domain, {_tokens("regexp_extract(domain, " + _P + ", 1) || ' ' || " + _label('domain') + " || ' ' || name")} AS t2 FROM {_BRAND_ROWS}),
+ov AS (SELECT page_id, min(domain) AS tb FROM u, tok WHERE len(list_filter(t2, lambda t: contains(ual, t))) > 0 GROUP BY page_id),
+m AS (SELECT u.page_id, u.url, u.host, fin.brand, CASE WHEN tb IS NOT NULL AND 0.86 > greatest(score, homoglyph) THEN 0.86::DOUBLE ELSE greatest(score, homoglyph) END AS top, tb FROM u JOIN fin ON fin.host = u.host LEFT JOIN ov ON ov.page_id = u.page_id)
+SELECT url, host AS domain, '' AS target_brand_domain, '' AS critical_sector_entity_name, 'Unlabeled' AS source_label, 'pages' AS source_file, page_id::INTEGER AS source_row,
+  'filtered_below_cse_match_threshold' AS validation_status, 'CSE match score ' || printf('%.6f', top) || ' < 0.75' AS validation_reason
+FROM m WHERE NOT (coalesce(tb, '') <> '' OR brand <> '') OR top < 0.75"""
+)
 def match_threshold_split(spark, d):
     _, unmatched = split_by_match(match_brands(_candidates(spark, d), _brands(spark), SETTINGS), SETTINGS)
     return unmatched
@@ -239,9 +255,11 @@ def url_shape_features(spark, d):
     return _t(spark, d, "pages").select("page_id", *(v.alias(k) for k, v in shape.items()))
 
 
-@query(f"""SELECT domain, array_to_string(list_sort({_tokens(f"regexp_extract(domain, {_P}, 1) || ' ' || {_label('domain')} || ' ' || name")}), ' ') AS tokens FROM {_BRAND_ROWS}""")
+@query(f"""SELECT page_id, array_to_string(list_sort({_tokens(f"regexp_extract({_host('url')}, {_P}, 1) || ' ' || {_label(_host('url'))} || ' ' || c_name")}), ' ') AS tokens FROM pages JOIN customer ON c_custkey = page_id""")
 def brand_token_sets(spark, d):
-    return _brands(spark).select("domain", F.array_join(F.array_sort(T.brand_tokens(F.col("domain"), F.col("name"), SETTINGS.suffixes)), " ").alias("tokens"))
+    """Tokens of page hosts, as brands, with the names of customers."""
+    rows = _t(spark, d, "pages").join(_t(spark, d, "customer"), F.col("c_custkey") == F.col("page_id"))
+    return rows.select("page_id", F.array_join(F.array_sort(T.brand_tokens(T.hostname("url"), F.col("c_name"), SETTINGS.suffixes)), " ").alias("tokens"))
 
 
 @query(f"SELECT page_id, {_looks('lower(url)')} AS plain, {_alnum('url')} AS alnum FROM pages")
@@ -589,12 +607,12 @@ def listed_hosts(spark, d):
     return reports.hosts_in(rows, rows.where("page_id % 10 = 3").select(F.col("url").alias("host"))).select("page_id")
 
 
-@query("""SELECT page_id, 'in-' || page_id AS form, page_id % 2 = 0 AS has_password, 'hello brand ' || page_id AS meta, CASE WHEN page_id % 3 = 0 THEN '/fav.ico' END AS icon, 'logo' || page_id || '.png' AS image FROM pages""")
+@query("""SELECT page_id, 'in-' || page_id AS form, page_id % 2 = 0 AS has_password, 'hello brand ' || page_id AS meta, CASE WHEN page_id % 3 = 0 THEN '/fav.ico' END AS icon, 'logo' || page_id || '.png' AS image, len(regexp_extract_all(html, '<a href="')) AS links FROM pages""")
 def html_form_parts(spark, d):
     """Forms, password fields, meta texts, icons and images, in pages with such a head put before them."""
     head = F.concat(F.lit('<form action="in-'), F.col("page_id"), F.lit('"><input type="'), F.expr("CASE WHEN page_id % 2 = 0 THEN 'Password' ELSE 'text' END"), F.lit('"></form><meta name="description" content="Hello Brand '), F.col("page_id"), F.lit('"><img src="logo'), F.col("page_id"), F.lit('.png" alt="x">'), F.expr("""CASE WHEN page_id % 3 = 0 THEN '<link rel="shortcut ICON" href="/fav.ico">' ELSE '' END"""))
-    parts = _t(spark, d, "pages").select("page_id", P.page_parts(head).alias("p"))
-    return parts.select("page_id", F.get("p.forms", F.lit(0)).alias("form"), "p.has_password", "p.meta", "p.icon", F.get("p.images", F.lit(0))["src"].alias("image"))
+    parts = _t(spark, d, "pages").select("page_id", P.page_parts(F.concat(head, "html")).alias("p"))
+    return parts.select("page_id", F.get("p.forms", F.lit(0)).alias("form"), "p.has_password", "p.meta", "p.icon", F.get("p.images", F.lit(0))["src"].alias("image"), F.size("p.links").cast("long").alias("links"))
 
 
 @query(f"SELECT page_id, CASE WHEN page_id % 3 = 0 THEN 'active' ELSE 'failed' END AS side, CASE page_id % 3 WHEN 0 THEN '' WHEN 1 THEN 'NXDOMAIN' ELSE 'error' END AS dns_status FROM pages")
@@ -631,3 +649,108 @@ def model_agreement(spark, d):
 @query(f"SELECT page_id, CASE WHEN page_id % 3 = 0 THEN regexp_extract(url, '^([^:]*://[^/?#]*)', 1) || '/fav.ico' ELSE regexp_extract(url, '^([^:]*://[^/?#]*)', 1) || '/favicon.ico' END AS icon FROM pages")
 def favicon_urls(spark, d):
     return _t(spark, d, "pages").select("page_id", P.favicon_url(F.col("url"), F.expr("CASE WHEN page_id % 3 = 0 THEN '/fav.ico' END")).alias("icon"))
+
+
+# Rules, chains, stores and cascades, on keys and answers made of the tables' columns.
+
+RULES = ["com", "uk", "co.uk", "nl", "nz", "co.nz", "*.ck", "!www.ck", "jp", "*.kawasaki.jp", "!city.kawasaki.jp"]
+ENDINGS = ["com", "co.uk", "uk", "nl", "co.nz", "geek.nz", "shop.ck", "www.ck", "other.kawasaki.jp", "city.kawasaki.jp", "local"]
+_ENDING = "(CASE page_id % 11 " + " ".join(f"WHEN {i} THEN {_q(e)}" for i, e in enumerate(ENDINGS)) + " END)"
+_RULED = f"""
+WITH rules AS (SELECT regexp_replace(rule, '^(\\*\\.|!)', '') AS name, CASE WHEN rule LIKE '*.%' THEN 1 WHEN rule LIKE '!%' THEN -1 ELSE 0 END AS more FROM {_values([(r,) for r in RULES], "r(rule)")}),
+hosts AS (SELECT page_id, {_label(_host('url'))} || '.p' || page_id || '.' || {_ENDING} AS host FROM pages),
+parts AS (SELECT page_id, host, string_split(host, '.') AS l FROM hosts),
+ends AS (SELECT page_id, host, l, unnest(range(1, len(l) + 1)) AS n FROM parts),
+fits AS (SELECT page_id, max_by(n + more, (more < 0)::INT * 1000 + n + more) AS k FROM ends JOIN rules ON name = array_to_string(l[len(l) - n + 1:], '.') WHERE n + more <= len(l) GROUP BY page_id)
+"""
+
+
+def _ruled_hosts(spark, d):
+    ending = F.expr(_ENDING)
+    label = T.domain_label(T.hostname("url"), SETTINGS.suffixes)
+    return _t(spark, d, "pages").select("page_id", F.concat(label, F.lit(".p"), "page_id", F.lit("."), ending).alias("host"))
+
+
+@query(_RULED + "SELECT page_id, host, array_to_string(l[greatest(1, len(l) - k):], '.') AS registered_domain, greatest(0, len(l) - k - 1)::INTEGER AS depth FROM parts JOIN (SELECT page_id, coalesce(k, len(l)) AS k FROM parts LEFT JOIN fits USING (page_id)) USING (page_id) WHERE k < len(l) UNION ALL SELECT page_id, host, host, greatest(0, len(l) - 1)::INTEGER FROM parts WHERE page_id NOT IN (SELECT page_id FROM fits)")
+def public_suffixes(spark, d):
+    """Registered domains by rules with wildcards and exceptions, of hosts with endings of every kind."""
+    rules = suffix_rules(spark.createDataFrame([("\n".join(RULES),)], "value string"))
+    hosts = _ruled_hosts(spark, d)
+    parts = host_parts(hosts, rules)
+    depth = F.size(F.filter(F.split("subdomain", r"\."), lambda x: x != "")).alias("depth")
+    return hosts.join(parts, "host").select("page_id", "host", "registered_domain", depth)
+
+
+@query("""WITH RECURSIVE chain AS (SELECT page_id AS id, page_id AS at, [page_id] AS seen, 0 AS n FROM pages WHERE page_id > 0
+  UNION ALL SELECT id, CASE WHEN at % 13 = 0 THEN at + 1 ELSE at // 2 END, list_append(seen, CASE WHEN at % 13 = 0 THEN at + 1 ELSE at // 2 END), n + 1
+  FROM chain WHERE at > 1 AND at % 7 <> 0 AND n < 10 AND NOT list_contains(seen[2:], CASE WHEN at % 13 = 0 THEN at + 1 ELSE at // 2 END))
+SELECT id AS page_id, max(n)::INTEGER AS aliases, max_by(at, n) AS last FROM chain GROUP BY id""")
+def alias_chain_ends(spark, d):
+    """Each page's host is an alias of that of half its number (or of the next, which may close a loop); multiples of 7 fail."""
+    ids = _t(spark, d, "pages").select("page_id").where("page_id > 0")
+    target = F.when(F.col("id") % 13 == 0, F.col("id") + 1).otherwise(F.floor(F.col("id") / 2))
+
+    def ask(names: DataFrame) -> DataFrame:
+        rows = names.withColumn("id", F.substring_index("name", "h", -1).cast("long"))
+        goes = (F.col("id") > 1) & (F.col("id") % 7 != 0)
+        return rows.select("name", "kind", F.when(goes, F.array(F.concat(F.lit("H"), target, F.lit(".")))).alias("values"), F.when(goes, "").otherwise(F.when(F.col("id") % 7 == 0, "LifetimeTimeout").otherwise("NoAnswer")).alias("error"))
+
+    chains, _ = alias_chains(ids.select(F.concat(F.lit("h"), "page_id").alias("host")), ask)
+    last = F.when(F.size("aliases") > 0, F.element_at("aliases", -1)).otherwise(F.col("host"))
+    return chains.select(F.substring_index("host", "h", -1).cast("long").alias("page_id"), F.size("aliases").alias("aliases"), F.substring_index(last, "h", -1).cast("long").alias("last"))
+
+
+@query("""SELECT page_id, CASE WHEN (page_id // 4) % 5 = 4 AND page_id // 4 * 4 + 3 <= n THEN page_id WHEN page_id // 4 * 4 + 3 > n THEN page_id ELSE page_id // 4 * 4 + 3 END AS final,
+  CASE WHEN page_id // 4 * 4 + 3 > n THEN 'NotFetched' WHEN (page_id // 4) % 5 = 4 THEN 'TooManyRedirects' ELSE '' END AS error,
+  CASE WHEN page_id // 4 * 4 + 3 > n OR (page_id // 4) % 5 = 4 THEN 0 ELSE 3 - page_id % 4 END::INTEGER AS hops, CASE WHEN page_id // 4 * 4 + 3 > n OR (page_id // 4) % 5 = 4 THEN 0 ELSE 3 - page_id % 4 END::INTEGER AS crossings
+FROM pages, (SELECT max(page_id) AS n FROM pages)""")
+def redirect_ends(spark, d):
+    """Pages in fours: each leads to the next by another domain, up to the fourth; every fifth four is a loop; the last may be cut."""
+    url = lambda i: F.concat(F.lit("http://w.site"), i % 3, F.lit(".com/"), i)
+    i = F.col("page_id")
+    goes = F.when(i % 4 != 3, url(i + 1)).when(F.floor(i / 4) % 5 == 4, url(i - 3))
+    hops = _t(spark, d, "pages").select(url(i).alias("url"), goes.alias("next"), F.when(goes.isNull(), 200).otherwise(302).alias("status_code"), "html", F.lit("text/html").alias("content_type"), F.lit("").alias("error"))
+    ends = redirect_chains(hops, SETTINGS.suffixes)
+    number = lambda c: F.substring_index(c, "/", -1).cast("long")
+    return ends.select(number("url").alias("page_id"), number("final_url").alias("final"), "error", F.col("redirect_count").alias("hops"), F.col("redirect_cross_domain_count").alias("crossings"))
+
+
+@query(f"""WITH {_HOSTS}, n AS (SELECT count(*) FILTER (WHERE length(host) % 2 = 0) AS half, count(*) AS all_ FROM hosts WHERE host <> '')
+SELECT host, 'ip-' || length(host) AS ips, half AS first_asked, all_ - half AS then_asked, half AS then_hits, 0::BIGINT AS last_asked FROM hosts, n WHERE host <> ''""")
+def evidence_from_store(spark, d):
+    """Hosts of even length are asked for and stored; then all hosts, which asks for the others only; then all again."""
+    schema = "host string, resolved_ips string, status string"
+    hosts = _t(spark, d, "pages").select(T.hostname("url").alias("host"))
+    store = EvidenceStore(spark, new_path(spark, "evidence"), "2026-01-01")
+    ask = lambda keys: keys.select("host", F.concat(F.lit("ip-"), F.length("host")).alias("resolved_ips"), F.lit("success").alias("status"))
+    first = store.serve(hosts.where(F.length("host") % 2 == 0), "dns", "host", schema, ask)
+    then = store.serve(hosts, "dns", "host", schema, ask)
+    last = store.serve(hosts, "dns", "host", schema, ask)
+    counts = {"first_asked": first.asked, "then_asked": then.asked, "then_hits": then.hits, "last_asked": last.asked}
+    return last.table.select("host", F.col("resolved_ips").alias("ips"), *(F.lit(n).cast("long").alias(k) for k, n in counts.items()))
+
+
+@query("""SELECT page_id, CASE WHEN page_id % 5 = 4 THEN 'unavailable' WHEN page_id % 7 = 0 THEN 'not_found' WHEN page_id % 7 = 1 THEN 'rate_limited' WHEN page_id % 7 = 2 THEN 'error' ELSE 'success' END AS rdap_status,
+  CASE WHEN page_id % 5 <> 4 AND page_id % 7 > 2 THEN 'rdap' ELSE 'whois' END AS source,
+  CASE WHEN page_id % 5 <> 4 AND page_id % 7 > 2 THEN 'skipped' WHEN page_id % 2 = 0 THEN 'success' ELSE 'error' END AS whois_status,
+  CASE WHEN page_id % 5 <> 4 AND page_id % 7 > 2 THEN 2000 + page_id % 20 WHEN page_id % 2 = 0 THEN 1999 END::INTEGER AS created FROM pages""")
+def registration_cascade(spark, d):
+    """Registries that answer, know nothing, limit or fail by page number; the fallback knows even numbers."""
+    tld = F.expr("CASE page_id % 5 WHEN 0 THEN 'com' WHEN 1 THEN 'co.uk' WHEN 2 THEN 'nl' WHEN 3 THEN 'co.nz' ELSE 'jp' END")
+    domains = _t(spark, d, "pages").select(F.concat(F.lit("d"), "page_id", F.lit("."), tld).alias("registered_domain"))
+    bootstrap = spark.createDataFrame([("com", "https://a"), ("uk", "https://b"), ("nl", "https://c"), ("co.nz", "https://d")], "tld string, server string")
+
+    def client(server: str, domain: str) -> tuple[int, str]:
+        n = int(domain[1:].split(".")[0])
+        if n % 7 == 2:
+            raise ConnectionError
+        return {0: 404, 1: 429}.get(n % 7, 200), '{"events":[{"eventAction":"registration","eventDate":"%d-05-01T00:00:00Z"}]}' % (2000 + n % 20)
+
+    def fallback(domain: str) -> dict:
+        if int(domain[1:].split(".")[0]) % 2:
+            raise ValueError("no match")
+        return {"creation_date": datetime(1999, 1, 2), "nameservers": "NS1.a."}
+
+    rules = suffix_rules(spark.createDataFrame([("\n".join(RULES),)], "value string"))
+    found = registrations(domains, bootstrap, rules, client, fallback, fallback_pause=0.0, lanes=4, backoff=0.0)
+    return found.select(F.regexp_extract("registered_domain", r"^d(\d+)\.", 1).cast("long").alias("page_id"), "rdap_status", "source", "whois_status", F.year("creation_date").alias("created"))

@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 from ..config import ASN_HEADERS, BRAND_DOMAIN_HEADERS, BRAND_NAME_HEADERS, HEADERS, SUFFIXES
 from ..functions import text as T
 from ..functions.udf import vectorized
+from ..storage import keep
+from .workbook import read_workbook
 
 CONTEXT = ("url", "detected_domain", "target_domain", "cse_name", "source_label", "registrar_name", "registrant_name", "registrant_country", "nameservers", "hosting_ip", "hosting_isp", "hosting_country", "dns_records", "remarks", "source_file", "source_row")
 SKIPPED_NAMES = ("audit", "dns_failed", "failed_urls")
@@ -57,18 +59,11 @@ def read_csv(spark: SparkSession, path: str, encoding: str | None = None) -> Dat
     return df.toDF(*(c.lstrip("﻿") for c in df.columns))
 
 
-def read_excel(spark: SparkSession, path: str) -> DataFrame:
-    """A workbook's first sheet, by pandas, where its reader is installed."""
-    import pandas as pd
-
-    return spark.createDataFrame(pd.read_excel(path.removeprefix("file:"), dtype=str).fillna(""))
-
-
 def read_table(spark: SparkSession, path: str) -> DataFrame:
     low = path.lower()
     if low.endswith(".txt"):
         return read_lines(spark, path)
-    return read_excel(spark, path) if low.endswith((".xlsx", ".xls")) else read_csv(spark, path)
+    return read_workbook(spark, path) if low.endswith((".xlsx", ".xls")) else read_csv(spark, path)
 
 
 def aliased(df: DataFrame, headers: tuple[str, ...]) -> Column:
@@ -99,7 +94,7 @@ def to_contexts(df: DataFrame, file: str) -> DataFrame:
     out = numbered.select(
         T.ensure_url(aliased(df, HEADERS["detected"])).alias("url"), host.alias("detected_domain"), one("target_domain"), one("cse_name"),
         T.inferred_label(aliased(df, HEADERS["source_label"]), F.lit(file)).alias("source_label"), *map(one, CONTEXT[5:14]),
-        F.lit(file).alias("source_file"), (F.col("_n") + 2).cast("int").alias("source_row"),
+        F.lit(file).alias("source_file"), (F.col("_n") + 2).alias("source_row"),
     )
     return out.where("detected_domain <> ''")
 
@@ -178,7 +173,7 @@ def read_suffix_rules(spark: SparkSession, path: str | None = None, private: boo
     """The rule table of a list file; without a path, of the list that comes with Spark's HTTP client, some 250 kB of text on
     the driver's class path, and of SUFFIXES, some of which are younger than it."""
     if path:
-        return suffix_rules(spark.read.text(path, wholetext=True), private=private)
+        return keep(suffix_rules(spark.read.text(path, wholetext=True), private=private), "suffix-rules")
     jvm = spark._jvm
     stream = jvm.java.lang.Thread.currentThread().getContextClassLoader().getResourceAsStream("mozilla/public-suffix-list.txt")
     if stream is None:
@@ -186,7 +181,7 @@ def read_suffix_rules(spark: SparkSession, path: str | None = None, private: boo
     text = jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
     stream.close()
     text = "\n".join((*SUFFIXES, text))
-    return suffix_rules(spark.createDataFrame([(text,)], "value string"), private=private)
+    return keep(suffix_rules(spark.createDataFrame([(text,)], "value string"), private=private), "suffix-rules")  # many joins read it
 
 
 def read_feed(spark: SparkSession, path: str) -> DataFrame:
@@ -209,15 +204,21 @@ def read_feed(spark: SparkSession, path: str) -> DataFrame:
 PERMUTATION_KEYS = ("domain-name", "domain", "hostname", "url", "URL")
 
 
-def permutations_from(texts: DataFrame, column: str = "json", brand: str = "brand") -> DataFrame:
-    """(brand, host) from the JSON output of a permutation generator, which may stand among other text; the brand's own
-    domain and what lies below it are left out."""
+def ordered_permutations(texts: DataFrame, column: str = "json", brand: str = "brand") -> DataFrame:
+    """(brand, host, at) from the JSON output of a permutation generator, which may stand among other text, with the first
+    place of each host; the brand's own domain and what lies below it are left out."""
     begin, end = F.locate("[", F.col(column)), F.length(F.col(column)) - F.locate("]", F.reverse(F.col(column))) + 1
     sliced = F.when((begin > 0) & F.col(column).contains("]"), F.substr(F.col(column), begin, end - begin + 1)).otherwise(F.concat(F.lit("["), F.col(column), F.lit("]")))
-    items = texts.select(brand, F.explode(F.from_json(sliced, "array<map<string,string>>")).alias("item"))
+    items = texts.select(brand, F.posexplode(F.from_json(sliced, "array<map<string,string>>")).alias("at", "item"))
     host = T.hostname(T.first_filled(*(F.col("item")[k] for k in PERMUTATION_KEYS)))
     own = T.hostname(brand)
-    return items.select(brand, host.alias("host")).where((F.col("host") != "") & (F.col("host") != own) & ~F.col("host").endswith(F.concat(F.lit("."), own))).distinct()
+    found = items.select(brand, host.alias("host"), "at").where((F.col("host") != "") & (F.col("host") != own) & ~F.col("host").endswith(F.concat(F.lit("."), own)))
+    return found.groupBy(brand, "host").agg(F.min("at").alias("at"))
+
+
+def permutations_from(texts: DataFrame, column: str = "json", brand: str = "brand") -> DataFrame:
+    """(brand, host): the distinct permutations."""
+    return ordered_permutations(texts, column, brand).drop("at")
 
 
 def permutation_sources(brands: DataFrame, wanted: list[str] | None = None, limit: int = 0) -> DataFrame:
