@@ -681,10 +681,10 @@ def public_suffixes(spark, d):
     return hosts.join(parts, "host").select("page_id", "host", "registered_domain", depth)
 
 
-@query("""WITH RECURSIVE chain AS (SELECT page_id AS id, page_id AS at, [page_id] AS seen, 0 AS n FROM pages WHERE page_id > 0
-  UNION ALL SELECT id, CASE WHEN at % 13 = 0 THEN at + 1 ELSE at // 2 END, list_append(seen, CASE WHEN at % 13 = 0 THEN at + 1 ELSE at // 2 END), n + 1
-  FROM chain WHERE at > 1 AND at % 7 <> 0 AND n < 10 AND NOT list_contains(seen[2:], CASE WHEN at % 13 = 0 THEN at + 1 ELSE at // 2 END))
-SELECT id AS page_id, max(n)::INTEGER AS aliases, max_by(at, n) AS last FROM chain GROUP BY id""")
+@query("""WITH RECURSIVE chain AS (SELECT page_id AS id, page_id AS cur, [page_id] AS seen, 0 AS n FROM pages WHERE page_id > 0
+  UNION ALL SELECT id, CASE WHEN cur % 13 = 0 THEN cur + 1 ELSE cur // 2 END, list_append(seen, CASE WHEN cur % 13 = 0 THEN cur + 1 ELSE cur // 2 END), n + 1
+  FROM chain WHERE cur > 1 AND cur % 7 <> 0 AND n < 10 AND NOT list_contains(seen[2:], CASE WHEN cur % 13 = 0 THEN cur + 1 ELSE cur // 2 END))
+SELECT id AS page_id, max(n)::INTEGER AS aliases, max_by(cur, n) AS last FROM chain GROUP BY id""")
 def alias_chain_ends(spark, d):
     """Each page's host is an alias of that of half its number (or of the next, which may close a loop); multiples of 7 fail."""
     ids = _t(spark, d, "pages").select("page_id").where("page_id > 0")
@@ -733,7 +733,7 @@ def evidence_from_store(spark, d):
 @query("""SELECT page_id, CASE WHEN page_id % 5 = 4 THEN 'unavailable' WHEN page_id % 7 = 0 THEN 'not_found' WHEN page_id % 7 = 1 THEN 'rate_limited' WHEN page_id % 7 = 2 THEN 'error' ELSE 'success' END AS rdap_status,
   CASE WHEN page_id % 5 <> 4 AND page_id % 7 > 2 THEN 'rdap' ELSE 'whois' END AS source,
   CASE WHEN page_id % 5 <> 4 AND page_id % 7 > 2 THEN 'skipped' WHEN page_id % 2 = 0 THEN 'success' ELSE 'error' END AS whois_status,
-  CASE WHEN page_id % 5 <> 4 AND page_id % 7 > 2 THEN 2000 + page_id % 20 WHEN page_id % 2 = 0 THEN 1999 END::INTEGER AS created FROM pages""")
+  CASE WHEN page_id % 5 <> 4 AND page_id % 7 > 2 THEN 2000 + page_id % 20 WHEN page_id % 2 = 0 THEN 1999 ELSE 0 END::INTEGER AS created FROM pages""")
 def registration_cascade(spark, d):
     """Registries that answer, know nothing, limit or fail by page number; the fallback knows even numbers."""
     tld = F.expr("CASE page_id % 5 WHEN 0 THEN 'com' WHEN 1 THEN 'co.uk' WHEN 2 THEN 'nl' WHEN 3 THEN 'co.nz' ELSE 'jp' END")
@@ -753,4 +753,4 @@ def registration_cascade(spark, d):
 
     rules = suffix_rules(spark.createDataFrame([("\n".join(RULES),)], "value string"))
     found = registrations(domains, bootstrap, rules, client, fallback, fallback_pause=0.0, lanes=4, backoff=0.0)
-    return found.select(F.regexp_extract("registered_domain", r"^d(\d+)\.", 1).cast("long").alias("page_id"), "rdap_status", "source", "whois_status", F.year("creation_date").alias("created"))
+    return found.select(F.regexp_extract("registered_domain", r"^d(\d+)\.", 1).cast("long").alias("page_id"), "rdap_status", "source", "whois_status", F.coalesce(F.year("creation_date"), F.lit(0)).alias("created"))
