@@ -136,6 +136,11 @@ class Windows:
         return found
 
 
+def _tasks(work: int) -> int:
+    """Tasks for so many packed rows, each of which is some work of its own."""
+    return max(1, min(work, 20_000))
+
+
 def _packs(rows: DataFrame, scale: int, size: int) -> DataFrame:
     """Rows (id, label, v) sorted by norm, longest first, in packs of ``size`` at most of one length of vector, numbered from 0 in
     that order; ``top`` is the largest norm of a pack."""
@@ -181,7 +186,7 @@ def _packs(rows: DataFrame, scale: int, size: int) -> DataFrame:
         done += n
     before = rows.sparkSession.createDataFrame(starts, "part int, before bigint")
     numbered = packed.join(before, "part").select((F.col("before") + F.col("seq") - 1).alias("number"), "length", "n", "top", "ids", "labels", "data")
-    numbered = keep(numbered, "packs-numbered")
+    numbered = keep(numbered.coalesce(_tasks(done)), "packs-numbered")
     discard(measured, packed)
     numbered.packs = done
     return numbered
@@ -192,7 +197,7 @@ def _unpacked(n: int, length: int, ids: bytes, labels: bytes, data: bytes) -> tu
     return np.frombuffer(ids, "<i8"), np.frombuffer(labels, "<i8"), x, np.sqrt((x * x).sum(1))
 
 
-def _wave(blocks: DataFrame, state: DataFrame, buckets: DataFrame, first: int, last: int, windows: Callable) -> DataFrame:
+def _wave(blocks: DataFrame, n_blocks: int, state: DataFrame, buckets: DataFrame, first: int, last: int, windows: Callable) -> DataFrame:
     """The state after the buckets from ``first`` to before ``last``."""
     mine = [F.col(c).alias(f"a_{c}") for c in ("n", "ids", "labels", "data", "given")]
     asking = state.join(blocks.select("block", "length", *mine), "block")
@@ -207,7 +212,7 @@ def _wave(blocks: DataFrame, state: DataFrame, buckets: DataFrame, first: int, l
                 found = wanted.visit(now, _unpacked(n, length, ids, labels, data), _unpacked(m, length, i, l, d))
                 yield pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([found.tobytes()], pa.binary())], ["block", "best"])
 
-    added = cells.select("block", "best", "length", "a_n", "a_ids", "a_labels", "a_data", "a_given", "n", "ids", "labels", "data").mapInArrow(visit, "block bigint, best binary")
+    added = cells.select("block", "best", "length", "a_n", "a_ids", "a_labels", "a_data", "a_given", "n", "ids", "labels", "data").coalesce(_tasks(n_blocks * (last - first))).mapInArrow(visit, "block bigint, best binary")
     old = state.join(blocks.select("block", "length", *mine), "block").select("block", "best", "length", "a_n", "a_ids", "a_labels", "a_data", "a_given")
     new = added.select("block", "best", F.lit(None).cast("int").alias("length"), F.lit(None).cast("int").alias("a_n"), *(F.lit(None).cast("binary").alias(f"a_{c}") for c in ("ids", "labels", "data", "given")))
     met = old.unionByName(new).repartition("block").sortWithinPartitions("block", F.col("length").isNull())
@@ -232,10 +237,10 @@ def _wave(blocks: DataFrame, state: DataFrame, buckets: DataFrame, first: int, l
         if key is not None:
             yield row()
 
-    return met.mapInArrow(merge, _STATE)
+    return met.coalesce(_tasks(n_blocks)).mapInArrow(merge, _STATE)  # a block stays in one partition
 
 
-def _searched(blocks: DataFrame, buckets: DataFrame, windows: Callable) -> DataFrame:
+def _searched(blocks: DataFrame, n_blocks: int, buckets: DataFrame, windows: Callable) -> DataFrame:
     """The state of all blocks when no bucket can change it any more."""
 
     def begin(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -253,7 +258,7 @@ def _searched(blocks: DataFrame, buckets: DataFrame, windows: Callable) -> DataF
         live = state.where(F.col("reach") <= top)
         if live.isEmpty():
             break
-        new = keep(_wave(blocks, live, buckets, first, last, windows).unionByName(state.where(F.col("reach") > top)), "state")
+        new = keep(_wave(blocks, n_blocks, live, buckets, first, last, windows).unionByName(state.where(F.col("reach") > top)).coalesce(_tasks(n_blocks)), "state")
         discard(state)
         state, first, length = new, last, 2 * length
     return state
@@ -284,6 +289,7 @@ def hard_negatives(vectors: DataFrame, anchors: DataFrame, k_positives: int = 5,
     buckets = _packs(clean(vectors), scale, bucket_rows)
     asked = clean(anchors).groupBy("id").agg(F.min(F.struct("label", "v")).alias("r")).select("id", "r.*")
     blocks = _packs(asked, scale, block_rows)
+    n_blocks = blocks.packs
     blocks = blocks.withColumnRenamed("number", "block").withColumn("given", F.lit(None).cast("binary"))
 
     def positive_windows(n: int, _: bytes | None) -> Windows:
@@ -292,9 +298,9 @@ def hard_negatives(vectors: DataFrame, anchors: DataFrame, k_positives: int = 5,
     def negative_windows(n: int, positives: bytes) -> Windows:
         return Windows.of_negatives(np.frombuffer(positives, np.int64).reshape(n, k_positives, 2), percent, k_negatives)
 
-    positives = _searched(blocks, buckets, positive_windows)
-    given = blocks.drop("given").join(positives.select("block", F.col("best").alias("given")), "block")
-    found = _searched(given, buckets, negative_windows)
+    positives = _searched(blocks, n_blocks, buckets, positive_windows)
+    given = keep(blocks.drop("given").join(positives.select("block", F.col("best").alias("given")), "block").coalesce(_tasks(n_blocks)), "given")
+    found = _searched(given, n_blocks, buckets, negative_windows)
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
