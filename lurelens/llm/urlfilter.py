@@ -1,8 +1,8 @@
 """URL filters by a temporal list join, in DataFrame operations only.
 
 Dated list entries (a pattern is listed or taken off) become validity intervals; a capture is evaluated against
-the entries that are active at its fetch time, by an as-of join on the patterns that can match its URL: its host,
-the parent domains of its host, and the prefixes of host and path.
+the entries that are active at its fetch time, by an as-of merge of captures and changes on the patterns that can match
+its URL: its host, the parent domains of its host, and the prefixes of host and path.
 """
 
 from __future__ import annotations
@@ -37,21 +37,51 @@ def match_keys(url: Column) -> Column:
     return F.when(h == "", F.array().cast("array<string>")).otherwise(F.array_distinct(F.concat(domains, prefixes)))
 
 
-def intervals(entries: DataFrame) -> DataFrame:
-    """(pattern, category, valid_from, valid_to) from entries (pattern, category, listed boolean, effective timestamp).
+def states(entries: DataFrame) -> DataFrame:
+    """(pattern, category, effective, listed): the changes of entries (pattern, category, listed boolean, effective timestamp).
 
-    An entry holds from its time until the next entry of the same pattern and category; the last one has no end
-    (null).  Of entries of one time, listing wins.  Entries with a null pattern, listed or time are left out; a null
-    category is "".
+    Of changes of one time, listing wins.  Entries with a null pattern, listed or time are left out; a null category is "".
     """
     known = entries.where("pattern is not null and listed is not null and effective is not null")
     known = known.select("pattern", F.coalesce("category", F.lit("")).alias("category"), "listed", "effective")
-    states = known.groupBy("pattern", "category", "effective").agg(F.max("listed").alias("listed"))
+    return known.groupBy("pattern", "category", "effective").agg(F.max("listed").alias("listed"))
+
+
+def intervals(entries: DataFrame) -> DataFrame:
+    """(pattern, category, valid_from, valid_to): from each listing until the next change of the same pattern and category; the
+    last one has no end (null)."""
     history = Window.partitionBy("pattern", "category").orderBy("effective")
-    dated = states.withColumn("valid_to", F.lead("effective").over(history))
+    dated = states(entries).withColumn("valid_to", F.lead("effective").over(history))
     return dated.where("listed").select("pattern", "category", F.col("effective").alias("valid_from"), "valid_to")
 
 
+def as_of(captures: DataFrame, entries: DataFrame, slice_days: int = 16) -> DataFrame:
+    """(row, category) for each capture (row, at, pattern) and category in which its pattern is listed at the time ``at``.
+
+    The changes and the captures of a (pattern, category) are merged once, in order of time, and each capture takes the last
+    change up to its own time.  Time is cut in slices, so that no pattern, however many captures it has, is merged in one
+    task; a slice begins with the listings that are valid when it begins.
+    """
+    length = slice_days * 86400
+    of_time = lambda c: F.floor(F.unix_timestamp(c) / length)
+    listed = keep(intervals(entries), "intervals")
+    names = listed.select("pattern", "category").distinct()
+    asked = captures.where("at is not null").join(names, "pattern")
+    last = F.coalesce(of_time(F.col("valid_to")), F.lit(captures.agg(F.max(of_time(F.col("at")))).first()[0]))
+    first = of_time(F.col("valid_from")) + 1
+    carried = listed.where(first <= last).select("pattern", "category", F.explode(F.sequence(first, last)).alias("slice"))
+    event = lambda df, slice_, at, kind, on, row: df.select("pattern", "category", slice_.alias("slice"), at.alias("at"), F.lit(kind).alias("kind"), on.cast("boolean").alias("on"), row.cast("bigint").alias("row"))
+    none, slice_ = F.lit(None), F.col("slice")
+    changes = states(entries)
+    events = (
+        event(carried, slice_, F.timestamp_seconds(slice_ * length), 0, F.lit(True), none)
+        .union(event(changes, of_time(F.col("effective")), F.col("effective"), 1, F.col("listed"), none))
+        .union(event(asked, of_time(F.col("at")), F.col("at"), 2, none, F.col("row")))
+    )
+    merged = Window.partitionBy("pattern", "category", "slice").orderBy("at", "kind").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return events.withColumn("on", F.last("on", True).over(merged)).where("kind = 2 and on").select("row", "category")
+
+
 def evaluate(captures: DataFrame, entries: DataFrame, id_col: str = "page_id", url_col: str = "url", time_col: str = "fetched_at") -> DataFrame:
     """(``id_col``, host, fetched_at, blocked, n_active, categories) for each row of ``captures``.
 
@@ -59,13 +89,11 @@ def evaluate(captures: DataFrame, entries: DataFrame, id_col: str = "page_id", u
     on, before valid_to); categories are theirs, sorted and joined by commas.  A null or malformed URL matches
     nothing, and neither does a capture without a time.  Repeated rows come back as they are; other columns are left
     out.  The captures are written once with a number of each, so that it stays the same if a task runs again.  Only keys
-    that are listed at all go on to the join with the intervals, in which Spark splits a hot pattern's captures.
+    that are listed at all go on to the as-of merge.
     """
     rows = keep(captures.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"), F.col(url_col).alias("url"), F.col(time_col).alias("at")), "captures")
-    keyed = rows.select("row", "at", F.explode(match_keys(F.col("url"))).alias("pattern")).where("at is not null")
-    listed = intervals(entries)
-    keyed = keyed.join(listed.select("pattern").distinct(), "pattern", "left_semi")
-    active = keyed.join(listed, "pattern").where("valid_from <= at and (valid_to is null or at < valid_to)")
+    keyed = rows.select("row", "at", F.explode(match_keys(F.col("url"))).alias("pattern"))
+    active = as_of(keyed, entries)
     summed = active.groupBy("row").agg(F.count("*").alias("n"), F.array_join(F.array_sort(F.collect_set("category")), ",").alias("categories"))
     out = rows.select("row", "id", host(F.col("url")).alias("host"), "at").join(summed, "row", "left")
     return out.select(
