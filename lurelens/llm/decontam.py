@@ -61,7 +61,11 @@ def find_windows(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text
     sizes = sorted(r["q"] for r in shingles.select("q").distinct().collect())
     keys = keep(shingles.select("key").distinct(), "item-keys").withColumn("known", F.lit(True))
 
-    source = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("doc_id"), word_array(F.col(text_col)).alias("w"))
+    numbered = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    n_keys = keys.count()
+    if n_keys > MOST_BROADCAST_ROWS:  # rows are met again by their numbers
+        numbered = keep(numbered, "numbered")
+    source = numbered.select("row", "doc_id", word_array(F.col("text")).alias("w"))
     # Each row also has a place behind its last word, which stays whatever the items are.
     placed = source.select("row", "doc_id", "w", F.size("w").alias("n"), F.explode(F.sequence(F.lit(0), F.size("w"))).alias("pos"))
     here = [F.when(F.col("pos") + q <= F.col("n"), _key(F.col("w"), F.col("pos"), q)) for q in sizes]
@@ -70,7 +74,13 @@ def find_windows(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text
     else:
         placed = placed.withColumn("key", here[0] if here else F.lit(None).cast("bigint"))
     before = F.least("pos", F.lit(window - 1))
-    marked = placed.join(small(keys), "key", "left").where(F.col("known") | (F.col("pos") == F.col("n")))
+    if n_keys <= MOST_BROADCAST_ROWS:
+        marked = placed.join(small(keys, n_keys), "key", "left").where(F.col("known") | (F.col("pos") == F.col("n")))
+    else:
+        # Keys are shuffled alone, with the places they stand at; the words come back, by row, to those places that are left.
+        met = placed.where("pos < n").select("row", "pos", "key").join(keys, "key").select("row", "pos", "key", "known").distinct()
+        marked = source.withColumn("n", F.size("w")).join(met, "row")
+        marked = marked.unionByName(source.select("row", "doc_id", "w", F.size("w").alias("n"), F.size("w").alias("pos")), allowMissingColumns=True)
     found = marked.select(
         "row", "doc_id", "n", "pos", F.when(F.col("known"), F.col("key")).alias("key"), before.alias("before"),
         F.when(F.col("known"), F.slice("w", F.col("pos") - before + 1, before + window)).alias("around"),

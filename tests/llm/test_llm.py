@@ -276,7 +276,7 @@ def test_loser_tree():
         assert merged == sorted(x for r in runs for x in r)
 
 
-def test_decontamination(spark):
+def test_decontamination(spark, monkeypatch):
     items = ["One two three four five six seven eight nine ten eleven twelve", "short item", "x", "", None, "one two three four five six seven eight nine ten"]
     texts = list(ODD) + ["ONE two, three-four five six seven eight nine ten eleven! twelve and one two three", "a short ITEM x", "one two three four five six seven eight nine", "ten " * 40, "a one two three four five six seven eight nine ten eleven b short item c"]
     words = lambda t: [] if t is None else [w.decode() for w in Shinglerless(t)]
@@ -300,6 +300,12 @@ def test_decontamination(spark):
         assert (r["n_words"], r["n_hit"], r["n_items"], r["items_sha256"], r["contaminated"]) == want, t
     assert decontam.contamination(table, bench.limit(0)).where("contaminated").count() == 0
     assert decontam.contamination(table.limit(0), bench).count() == 0
+    # A list too large to send to all tasks: its keys are met without the words.
+    monkeypatch.setattr(decontam, "MOST_BROADCAST_ROWS", 0)
+    large = decontam.contamination(table.unionByName(table.limit(3)), bench)
+    again = [tuple(r) for r in large.collect()]
+    assert len(again) == len(texts) + 3 and set(again) == set(map(tuple, found.values()))
+    assert decontam.contamination(table, bench.limit(0)).count() == len(texts) and decontam.contamination(table.limit(0), bench).count() == 0
 
 
 def Shinglerless(text):
