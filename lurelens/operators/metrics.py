@@ -97,11 +97,6 @@ def assign_folds(rows: DataFrame, role: str, key: str, folds: int, seed: int) ->
     return placed.select(*rows.columns, (F.col("_place") % folds).cast("int").alias("fold"))
 
 
-def test_size(n: Column) -> Column:
-    """A quarter, rounded half to even, one at least."""
-    return F.greatest(F.lit(1), F.bround(n * 0.25).cast("int"))
-
-
 def group_holdout(rows: DataFrame, group: str, split: int, seed: int, share: float = 0.25) -> DataFrame:
     """``is_test``: a quarter of the distinct groups, rounded up, drawn by hash; whole groups stay together."""
     groups = keep(rows.select(F.coalesce(F.col(group).cast("string"), F.lit("")).alias("_g")).distinct(), "groups")

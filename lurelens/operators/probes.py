@@ -10,6 +10,8 @@ from __future__ import annotations
 import socket
 import ssl
 import time
+import urllib.error
+import urllib.request
 from collections.abc import Callable, Iterator
 from concurrent.futures import ThreadPoolExecutor
 from datetime import date, datetime, timezone
@@ -67,6 +69,48 @@ def tls(host: str, observed: date | None = None, timeout: float = 5.0) -> dict:
     return {"https_enabled": 1, "ssl_valid": 1, "cert_age_days": age, "ct_log_first_seen_days": -1, "tls_error": "", "status": "success"}
 
 
+AGENT = {"User-Agent": "Mozilla/5.0"}
+MOST_IMAGE_BYTES = 128_000
+
+
+class _Stay(urllib.request.HTTPRedirectHandler):
+    """Redirects are answers, not followed."""
+
+    def redirect_request(self, *_):
+        return None
+
+
+def _open(url: str, timeout: float, follow: bool, **headers: str):
+    """A response of any status; certificates are not judged here, as they are evidence of another probe."""
+    context = ssl.create_default_context()
+    context.check_hostname, context.verify_mode = False, ssl.CERT_NONE
+    handlers = [urllib.request.HTTPSHandler(context=context), *([] if follow else [_Stay()])]
+    try:
+        return urllib.request.build_opener(*handlers).open(urllib.request.Request(url, headers=AGENT | headers), timeout=timeout)
+    except urllib.error.HTTPError as answer:
+        return answer
+
+
+def hop(url: str, timeout: float = 10.0) -> dict:
+    """One request, not followed: a row of ``chains.HOP``."""
+    with _open(url, timeout, False) as answer:
+        body, kind = answer.read(), answer.headers
+        text = body.decode(kind.get_content_charset() or "utf-8", "replace")
+        return {"location": kind.get("Location") or "", "status_code": answer.status, "html": text, "content_type": kind.get("Content-Type") or "", "error": ""}
+
+
+def image(url: str, timeout: float = 5.0, most: int = MOST_IMAGE_BYTES) -> dict:
+    """The first ``most`` bytes of an image; none for a status other than 200."""
+    with _open(url, timeout, True) as answer:
+        return {"data": answer.read(most) if answer.status == 200 else b""}
+
+
+def registry(server: str, domain: str, timeout: float = 10.0) -> tuple[int, str]:
+    """Status and body of a registry's RDAP service, as ``cascade.ask_registries`` wants them."""
+    with _open(f"{server}/domain/{domain}", timeout, True, Accept="application/rdap+json") as answer:
+        return answer.status, answer.read().decode("utf-8", "replace")
+
+
 def follow_aliases(host: str, alias_of: Callable[[str], str | None], most: int = 10) -> list[str]:
     """The chain of aliases from a host; it ends at a loop, or after ``most``."""
     chain: list[str] = []

@@ -29,6 +29,7 @@ from .operators.hosts import host_parts
 from .operators.match import best_brands, brand_set, match_brands, split_by_match
 from .operators.store import EvidenceStore
 from .plans import learn, reports
+from .plans.collect import active_only
 from .plans.enrich import imitation_report
 from .sources.readers import suffix_rules
 from .storage import new_path
@@ -184,12 +185,42 @@ def match_threshold_split(spark, d):
     return unmatched
 
 
-@query(f"SELECT page_id, {_host('url')} AS host FROM pages WHERE {_host('url')} NOT IN ({', '.join(map(_q, OFFICIAL))})")
+@query(f"""SELECT page_id, {_host('url')} AS host FROM pages WHERE {_host('url')} NOT IN ({', '.join(map(_q, OFFICIAL))})
+  AND {_host('url')} NOT IN (SELECT {_host('url')} FROM pages WHERE page_id % 50 = 7)""")
 def official_exact_split(spark, d):
-    kept, _ = C.official_split(_candidates(spark, d), spark.createDataFrame([(o,) for o in OFFICIAL], "domain string"))
+    """Official are two domains, and the targets of some rows, which are their own hosts here."""
+    rows = _candidates(spark, d).withColumn("target_domain", F.when(F.col("ord") % 50 == 7, F.col("url")).otherwise(""))
+    kept, _ = C.official_split(rows, spark.createDataFrame([(o,) for o in OFFICIAL], "domain string"))
     return kept.select(F.col("ord").alias("page_id"), F.col("detected_domain").alias("host"))
 
 
+@query(f"SELECT page_id FROM pages WHERE {_host('url')} IN (SELECT {_host('url')} FROM pages WHERE page_id % 3 = 0)")
+def dns_active_rows(spark, d):
+    """Rows whose host has passing DNS evidence, which the hosts of every third page have."""
+    pages = _t(spark, d, "pages").select("page_id", T.hostname("url").alias("host"))
+    dns = pages.select("host", (F.col("page_id") % 3 == 0).cast("int").alias("dns_check_pass"))
+    return active_only(pages, dns).select("page_id")
+
+
+@query("""SELECT page_id, CASE page_id % 4 WHEN 0 THEN 'net-' || page_id WHEN 1 THEN 'org ' || page_id ELSE '' END AS owner, CASE page_id % 4 WHEN 2 THEN 'not_found' WHEN 3 THEN 'http_429' ELSE 'success' END AS status FROM pages""")
+def hosting_answers(spark, d):
+    """Owners of address blocks: by the block's name, by an entity's card, by neither; and a service that limits."""
+    card = F.concat(F.lit('{"entities":[{"roles":["abuse"],"vcardArray":["vcard",[["version",{},"text","4.0"],["fn",{},"text","org '), "page_id", F.lit('"]]]}]}'))
+    answer = F.when(F.col("page_id") % 4 == 0, F.concat(F.lit('{"name":"net-'), "page_id", F.lit('"}'))).when(F.col("page_id") % 4 == 1, card).otherwise("{}")
+    answers = _t(spark, d, "pages").select(F.concat(F.lit("10.0.0."), "page_id").alias("ip"), F.when(F.col("page_id") % 4 == 3, 429).otherwise(200).alias("http_status"), answer.alias("answer"), F.lit("").alias("error"))
+    return E.hosting_from_answers(answers).select(F.substring_index("ip", ".", -1).cast("long").alias("page_id"), F.col("asn_org").alias("owner"), "status")
+
+
+@query("""SELECT page_id, CASE page_id % 3 WHEN 0 THEN 'b' || page_id || '.png' WHEN 1 THEN 'a' || page_id || '.png' ELSE '' END AS logo FROM pages""")
+def logo_sources(spark, d):
+    """The image that is a logo and names the brand; else the first that is or does either; else none."""
+    i = F.col("page_id")
+    image = lambda name, words: F.concat(F.lit(f'<img src="{name}'), i, F.lit('.png" alt="'), words, F.lit('">'))
+    head = F.concat(image("a", F.when(i % 3 == 2, "plain").otherwise("the logo")), image("b", F.when(i % 3 == 0, "brandname logo").otherwise("plain")))
+    parts = _t(spark, d, "pages").select("page_id", P.page_parts(F.concat(head, "html")).alias("p"))
+    return parts.select("page_id", P.logo_source(F.col("p.images"), F.array(F.lit("brandname"))).alias("logo"))
+
+
 @query(f"SELECT page_id, {_host('url')} AS host FROM pages WHERE {_host('url')} IN ({', '.join(map(_q, OFFICIAL))}) OR {' OR '.join(f'ends_with({_host(chr(117) + chr(114) + chr(108))}, {_q(chr(46) + o)})' for o in OFFICIAL)}")
 def official_suffix_filter(spark, d):
     rows = _t(spark, d, "pages").select("page_id", T.hostname("url").alias("host"))
@@ -448,7 +479,7 @@ def final_decisions(spark, d):
 @query(f"""WITH f AS (SELECT {_LINE}, {", ".join(f"{v} AS {k}" for k, v in _DECIDE.items())} FROM lineitem)
 SELECT CASE WHEN standard_prediction = 1 OR (validation_status = 'phishing' AND hardened_prediction = 1) THEN 'confirmed_phishing' WHEN hardened_prediction = 1 OR validation_status = 'suspected_inactive' THEN 'suspicious_needs_review' ELSE 'low_risk' END AS final_classification, count(*) AS n FROM f GROUP BY 1""")
 def classification_counts(spark, d):
-    return final_decisions(spark, d).groupBy("final_classification").agg(F.count("*").alias("n"))
+    return reports.per_class(final_decisions(spark, d))
 
 
 @query(f"SELECT {_LINE}, m AS model, s AS score, CAST(s >= t AS INTEGER) AS prediction FROM (SELECT {_LINE}, unnest(['standard', 'hardened']) AS m, unnest([l_discount, l_tax]) AS s, unnest([0.05, 0.04]) AS t FROM lineitem)")

@@ -1,9 +1,11 @@
 """Chains, the evidence store, the registration cascade, the permutation budget, references, workbooks and images."""
 
 import struct
+import threading
 import zipfile
 import zlib
 from datetime import datetime
+from http.server import BaseHTTPRequestHandler, ThreadingHTTPServer
 
 import numpy as np
 import pytest
@@ -13,6 +15,7 @@ from lurelens.config import Pace, Settings, number
 from lurelens.functions import hashing, images
 from lurelens.operators import cascade, chains
 from lurelens.operators import evidence as E
+from lurelens.operators import probes
 from lurelens.operators.probes import merged_dns
 from lurelens.operators.store import EvidenceStore
 from lurelens.plans import collect, references
@@ -380,3 +383,33 @@ def test_pace_is_clamped():
     odd = Pace.of({"io": "40", "tls": "-3", "fallback": "none", "fallback_pause": "-1", "dns_retries": "-5", "http_timeout": "2.5"})
     assert (odd.io, odd.dns, odd.http, odd.registry, odd.tls, odd.owner) == (40, 80, 40, 40, 1, 20)
     assert (odd.fallback, odd.fallback_pause, odd.dns_retries, odd.http_timeout) == (2, 0.0, 0, 10)
+
+
+class Site(BaseHTTPRequestHandler):
+    def do_GET(self):  # noqa: N802
+        code, headers, body = {"/a": (302, {"Location": "/b"}, b""), "/b": (200, {"Content-Type": "text/html; charset=latin-1"}, "<p>caf\xe9".encode("latin-1")), "/big": (200, {}, b"x" * 200_000)}.get(self.path, (404, {}, b"gone"))
+        self.send_response(code)
+        for k, v in headers.items():
+            self.send_header(k, v)
+        self.send_header("Content-Length", str(len(body)))
+        self.end_headers()
+        self.wfile.write(body)
+
+    def log_message(self, *_):
+        pass
+
+
+def test_clients(spark):
+    with ThreadingHTTPServer(("127.0.0.1", 0), Site) as server:
+        threading.Thread(target=server.serve_forever, daemon=True).start()
+        at = f"http://127.0.0.1:{server.server_port}"
+        assert probes.hop(f"{at}/a") == {"location": "/b", "status_code": 302, "html": "", "content_type": "", "error": ""}
+        assert probes.hop(f"{at}/b")["html"] == "<p>café"
+        assert len(probes.image(f"{at}/big")["data"]) == 128_000 and probes.image(f"{at}/none") == {"data": b""}
+        assert probes.registry(at, "x.com") == (404, "gone")
+        urls = spark.createDataFrame([(f"{at}/a",), (f"{at}/none",), ("http://127.0.0.1:1/",)], "url string")
+        hops = chains.fetch_hops(urls, lambda u: probes.probe(u, "url", chains.HOP, probes.hop, "error", 2))
+        found = {r["url"].removeprefix(at): r for r in chains.redirect_chains(hops, SET.suffixes).collect()}
+        server.shutdown()
+    assert (found["/a"]["final_url"], found["/a"]["html"], found["/a"]["redirect_count"]) == (f"{at}/b", "<p>café", 1)
+    assert found["/none"]["status"] == "http_404" and found["http://127.0.0.1:1/"]["error"] == "URLError"
