@@ -15,11 +15,13 @@ from __future__ import annotations
 
 import json
 import math
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -194,31 +196,23 @@ class _Numbers(dict):
 
 
 def _range_bounds(rows: DataFrame, ranges: int, share: int, range_words: int) -> dict[str, list[tuple[bytes, ...]]]:
-    """At most ``ranges`` bounds over all langs, from the tries of about one document in ``share``.  A fixed number of paths
-    for each range comes to the driver, so it holds as much as a sampling range exchange does."""
+    """At most ``ranges`` bounds over all langs, from the tries of about one document in ``share``.  Of these every ``step``-th
+    path is taken, so some eight for each range come to the driver, which holds as much as for a range exchange."""
     if ranges < 2:
         return {}
-    step = max(1, range_words // (share * 16))
+    step = max(1, range_words // (share * 8))
 
     def thin(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for lang, trie in _shards(batches, range_words):
-            every = max(1, min(step, len(trie.ids) // 16))
-            paths = [json.dumps([w.decode() for w in trie.path(k)]) for k in range(every // 2, len(trie.ids), every)]
-            yield pa.RecordBatch.from_pydict({"lang": pa.array([lang] * len(paths), pa.string()), "path": pa.array(paths, pa.string()), "n": pa.array([every] * len(paths), pa.int64())})
-
-    found: dict[str, list[tuple[tuple[bytes, ...], int]]] = {}
-    for r in rows.sample(1 / share, seed=5).mapInArrow(thin, "lang string, path string, n bigint").collect():
-        found.setdefault(r["lang"], []).append((tuple(w.encode() for w in json.loads(r["path"])), r["n"]))
-    total = sum(n for paths in found.values() for _, n in paths)
-    bounds: dict[str, list[tuple[bytes, ...]]] = {}
-    for lang, paths in found.items():
-        held = 0
-        for path, n in sorted(paths):
-            held += n
-            if held * ranges >= total:
-                bounds.setdefault(lang, []).append(path)
-                held = 0
-    return {lang: sorted(set(b)) for lang, b in bounds.items()}
+        for k, (lang, trie) in enumerate(_shards(batches, range_words)):
+            first = zlib.crc32(f"{TaskContext.get().partitionId()} {k} {lang}".encode()) % step  # a trie may be shorter than a step
+            paths = [json.dumps([w.decode() for w in trie.path(i)]) for i in range(first, len(trie.ids), step)]
+            yield pa.RecordBatch.from_pydict({"lang": pa.array([lang] * len(paths), pa.string()), "path": pa.array(paths, pa.string())})
+
+    found: dict[str, list[tuple[bytes, ...]]] = {}
+    for r in rows.sample(1 / share, seed=5).mapInArrow(thin, "lang string, path string").collect():
+        found.setdefault(r["lang"], []).append(tuple(w.encode() for w in json.loads(r["path"])))
+    every = max(1, math.ceil(sum(map(len, found.values())) / ranges))
+    return {lang: sorted(set(sorted(paths)[every - 1 :: every])) for lang, paths in found.items()}
 
 
 def _words_from(phrase: Column, first: Column | int, n: Column | int) -> Column:
