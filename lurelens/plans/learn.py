@@ -1,7 +1,7 @@
 """Two-step positive-unlabeled training of random forests, and scoring with two models.
 
-Forests are Spark's: the procedure is the point, not equal scores.  Features are binned once into a table of packed
-vectors, which all forests are fitted on, those of independent folds and draws side by side.  Rows carry a key; folds
+The procedure is the point, not equal scores.  Features are binned once into a table of packed vectors, which all forests
+(``forest.py``) are fitted on, those of independent folds and draws side by side.  Rows carry a key; folds
 and splits are by hash of it, so they do not depend on how the rows lie.
 """
 
@@ -15,10 +15,7 @@ from dataclasses import dataclass, field
 from functools import reduce
 
 from pyspark import inheritable_thread_target
-from pyspark.ml import PipelineModel
-from pyspark.ml.classification import RandomForestClassifier
-from pyspark.ml.feature import Bucketizer, VectorAssembler
-from pyspark.ml.functions import vector_to_array
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -28,6 +25,8 @@ from ..operators import metrics as M
 from ..operators.ranking import positions
 from ..operators.rules import final_decision, pu_roles, training_role
 from ..storage import delete, keep
+from . import forest
+from .forest import Forest, Growth
 
 MODEL_COLUMNS = {"standard": ("standard_score", "standard_threshold", "standard_prediction"), "hardened": ("hardened_score", "hardened_threshold", "hardened_prediction")}
 DECISION_COLUMNS = ("final_classification", "classification_confidence", "recommended_action", "classification_reason")
@@ -35,7 +34,7 @@ DECISION_COLUMNS = ("final_classification", "classification_confidence", "recomm
 
 @dataclass
 class Trained:
-    model: PipelineModel
+    model: Forest
     threshold: float
     features: list[str]
     summary: dict = field(default_factory=dict)
@@ -43,23 +42,23 @@ class Trained:
     cross_validated: DataFrame | None = None
 
     def importances(self) -> list[tuple[str, float]]:
-        values = self.model.stages[-1].featureImportances.toArray().tolist()
+        values = self.model.gains(SparkSession.getActiveSession())
         return sorted(zip(self.features, values, strict=True), key=lambda x: (-x[1], x[0]))
 
     def save(self, path: str) -> None:
-        self.model.write().overwrite().save(f"{path}/model")
+        self.model.save(f"{path}/model")
         meta = json.dumps({"threshold": self.threshold, "features": self.features, "summary": self.summary}, default=str)
         SparkSession.getActiveSession().createDataFrame([(meta,)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/meta")
 
     @staticmethod
     def load(spark: SparkSession, path: str) -> Trained:
         meta = json.loads(spark.read.text(f"{path}/meta", wholetext=True).first()["value"])
-        return Trained(PipelineModel.load(f"{path}/model"), meta["threshold"], meta["features"], meta["summary"])
+        return Trained(Forest.load(f"{path}/model"), meta["threshold"], meta["features"], meta["summary"])
 
 
-#: What options are drawn from: 72 combinations.  Depth 0 is no bound of one's own; Spark's trees end at 30 levels.
+#: What options are drawn from: 72 combinations.  Depth 0 is no bound.
 GRID = {"trees": (100, 200, 300), "depth": (0, 10, 20), "split": (2, 5), "leaf": (1, 2), "weights": ("balanced_subsample", "balanced")}
-DEEPEST, BINS = 30, 64
+BINS = 64
 #: Forests that are fitted at the same time; Spark deals their tasks.
 SIDE_BY_SIDE = 8
 
@@ -80,24 +79,17 @@ class Forests:
     """Fits forests of one packed table: ``rows`` have the bins of all features as one vector, and whatever marks the fold
     or the draw a row takes part in."""
 
-    stages: list  #: what makes the vector ``x`` of the features
+    bins: Bucketizer
     s: Settings
 
-    def fit(self, rows: DataFrame, seed: int, label: str = "y", trees: int = 0, depth: int = 0, split: int = 2, leaf: int = 2, weights: str = "balanced") -> PipelineModel:
-        """A forest in which both classes weigh the same; ``weights`` is only named: Spark weighs a class in all bootstraps
-        alike.  A node of fewer than ``split`` rows is not split where no child may have less than half of that."""
-        n = {r[label]: r["count"] for r in rows.groupBy(label).count().collect()}
-        total = sum(n.values())
-        weight = reduce(lambda w, k: w.when(F.col(label) == k, total / (len(n) * n[k])), n, F.when(F.lit(False), 1.0)).otherwise(1.0)
-        forest = RandomForestClassifier(
-            labelCol=label, featuresCol="x", weightCol="_w", numTrees=trees or self.s.trees, minInstancesPerNode=max(leaf, split // 2), maxDepth=min(depth or DEEPEST, DEEPEST),
-            maxBins=BINS + 8, seed=seed, maxMemoryInMB=64,
-        )
-        return PipelineModel([*self.stages, forest.fit(rows.select("x", label, weight.cast("double").alias("_w")))])
-
-    def predict(self, model: PipelineModel, rows: DataFrame, out: str = "score") -> DataFrame:
+    def fit(self, rows: DataFrame, seed: int, label: str = "y", trees: int = 0, depth: int = 0, split: int = 2, leaf: int = 2, weights: str = "balanced") -> Forest:
+        """A forest in which both classes weigh the same.  A node of fewer than ``split`` rows is not split, nor may a child
+        have fewer than ``leaf``."""
+        return forest.fit(rows, self.bins, Growth(trees or self.s.trees, depth, split, leaf, weights), seed, label)
+
+    def predict(self, model: Forest, rows: DataFrame, out: str = "score") -> DataFrame:
         """``rows`` of the packed table with a model's score."""
-        return model.stages[-1].transform(rows).withColumn(out, F.get(vector_to_array("probability"), F.lit(1))).drop("rawPrediction", "probability", "prediction")
+        return rows.withColumn(out, model.score(F.col("x")))
 
 
 def side_by_side(spark: SparkSession, jobs: list) -> list:
@@ -106,10 +98,10 @@ def side_by_side(spark: SparkSession, jobs: list) -> list:
         return list(pool.map(lambda job: inheritable_thread_target(spark)(job)(), jobs))
 
 
-def predict(model: PipelineModel, rows: DataFrame, out: str = "score") -> DataFrame:
+def predict(model: Forest, rows: DataFrame, out: str = "score") -> DataFrame:
     """``rows`` (f0, f1, ...) with the score of a whole model, bins included."""
     kept = rows.columns
-    return model.transform(rows).withColumn(out, F.get(vector_to_array("probability"), F.lit(1))).select(*(c for c in kept if c != out), out)
+    return model.bins.transform(rows).withColumn(out, model.score(forest.bin_vector(model.bins))).select(*(c for c in kept if c != out), out)
 
 
 def out_of_fold(rows: DataFrame, forests: Forests, key: str, folds: int, seed: int) -> DataFrame:
@@ -118,6 +110,8 @@ def out_of_fold(rows: DataFrame, forests: Forests, key: str, folds: int, seed: i
     models = side_by_side(rows.sparkSession, [lambda k=k: forests.fit(dealt.where(F.col("fold") != k), seed) for k in range(folds)])
     scored = keep(reduce(DataFrame.unionByName, (forests.predict(m, dealt.where(F.col("fold") == k)) for k, m in enumerate(models))).drop("fold"), "out-of-fold")
     delete(dealt)
+    for m in models:
+        m.delete(rows.sparkSession)
     return scored
 
 
@@ -142,7 +136,9 @@ def search_forest(rows: DataFrame, forests: Forests, key: str, tries: int = 10,
 
     def f1(options: dict, k: int) -> float:
         model = forests.fit(dealt.where(F.col("fold") != k), s.seed + 11, **options)
-        return M.metric_summary(forests.predict(model, dealt.where(F.col("fold") == k)), "y", "score", 0.5).first()["f1"]
+        found = M.metric_summary(forests.predict(model, dealt.where(F.col("fold") == k)), "y", "score", 0.5).first()["f1"]
+        model.delete(rows.sparkSession)
+        return found
 
     found = side_by_side(rows.sparkSession, [lambda o=o, k=k: f1(o, k) for o in drawn for k in range(folds)])
     delete(dealt)
@@ -158,7 +154,10 @@ def train(rows: DataFrame, s: Settings, key: str = "row_key", hardened: bool = F
     Too few positives or unlabeled rows, or no varying numeric column, is an error.
     """
     excluded = (key, *LEAK_COLUMNS, *(HARDENED_COLUMNS if hardened else ()))
+    # Written once, as what follows reads the columns several times; what is no feature in any case is left out.
     roled = pu_roles(rows)
+    numbers = [c for c, kind in roled.dtypes if c not in excluded and not kind.startswith(("array", "map", "struct", "binary", "date", "timestamp", "void"))]
+    roled = keep(roled.select(key, *(F.col(f"`{c}`") for c in numbers)), "roles")
     n = roled.agg(F.count("*").alias("all"), F.count_if("is_positive").alias("p"), F.count_if("is_unlabeled").alias("u")).first()
     if n["p"] < s.min_positives or n["u"] < s.min_unlabeled:
         raise ValueError(f"need {s.min_positives} positives and {s.min_unlabeled} unlabeled rows, got {n['p']} and {n['u']}")
@@ -169,10 +168,10 @@ def train(rows: DataFrame, s: Settings, key: str = "row_key", hardened: bool = F
     inputs = [f"f{i}" for i in range(len(features))]
     table = keep(table.select(key, "is_positive", "is_unlabeled", *(F.col(f"`{c}`").alias(i) for c, i in zip(features, inputs, strict=True))), "features")
     bins = binning(table, inputs)
-    forests = Forests([bins, VectorAssembler(inputCols=bins.getOutputCols(), outputCol="x")], s)
-    packed = PipelineModel(forests.stages).transform(table).select(key, "is_positive", "is_unlabeled", "x")
+    forests = Forests(bins, s)
+    packed = bins.transform(table).select(key, "is_positive", "is_unlabeled", forest.bin_vector(bins).alias("x"))
     packed = keep(packed.repartition(max(1, n["all"] // 50_000)), "packed")  # few tasks for few rows: the fits run side by side
-    delete(table)
+    delete(roled, table)
 
     positives = keep(hold_out(packed.where("is_positive").withColumn("y", F.lit(1)), key, s.seed), "positives")
     fitted = positives.where("not held").drop("held")

@@ -4,7 +4,12 @@ from __future__ import annotations
 
 import os
 import uuid
+from collections.abc import Iterator
+from urllib.parse import urlsplit
 
+import pyarrow as pa
+import pyarrow.parquet as pq
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -38,6 +43,19 @@ def keep(df: DataFrame, what: str) -> DataFrame:
 def delete(*tables: DataFrame) -> None:
     """Delete tables that ``keep`` wrote, when nothing that is still to run reads them."""
     for kept in tables:
-        spark = kept.sparkSession
-        path = spark._jvm.org.apache.hadoop.fs.Path(kept.kept_path)
-        path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+        delete_path(kept.sparkSession, kept.kept_path)
+
+
+def delete_path(spark: SparkSession, uri: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(uri)
+    path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+
+
+def read_batches(uri: str, columns: list[str], rows: int) -> Iterator[pa.RecordBatch]:
+    """The rows of a table that ``keep`` wrote, file by file, ``rows`` at most in a batch; works in executors."""
+    parts = urlsplit(uri)
+    store, path = (fs.LocalFileSystem(), parts.path or uri) if parts.scheme in ("", "file") else fs.FileSystem.from_uri(uri)
+    for info in sorted(store.get_file_info(fs.FileSelector(path)), key=lambda i: i.path):
+        if info.path.endswith(".parquet"):
+            with store.open_input_file(info.path) as file:
+                yield from pq.ParquetFile(file).iter_batches(rows, columns=columns)

@@ -204,3 +204,64 @@ def test_bins_tell_rare_values_apart(spark):
     found = dict(zip(["f0", "f1", "f2"], learn.binning(rows, ["f0", "f1", "f2"]).getSplitsArray(), strict=True))
     assert found["f0"][1:-1] == [1.0] and found["f2"][1:-1] == [0.0, 1.0] and 60 < len(found["f1"]) < 80
     assert len(learn.GRID) == 5 and np.prod([len(v) for v in learn.GRID.values()]) == 72
+
+
+def test_trees_against_brute_force():
+    from lurelens.plans.forest import Growth, grow, walk
+
+    rng = np.random.default_rng(5)
+    x, n = rng.integers(0, 9, (400, 5)).astype(np.uint8), rng.integers(0, 4, (2, 400))
+    for how in (Growth(1, leaf=3), Growth(1, depth=4, split=5, weights="balanced_subsample"), Growth(1)):
+        together = grow(x, n, how, 7, list(range(6)))
+        for k, tree in enumerate(together):
+            assert all(np.array_equal(tree[f], v) for f, v in grow(x, n, how, 7, [k])[0].items())  # whichever task grows it
+            sample = np.random.default_rng([7, k]).poisson(n)
+            w = (sample if how.weights == "balanced_subsample" else n).sum(1)
+            w = w.sum() / (2 * w)
+            purity = lambda c, w=w: ((w * c) ** 2).sum() / max((w * c).sum(), 1e-300)
+            cells, depth = {0: np.arange(400)}, {0: 0}
+            for i, (f, cut, child) in enumerate(zip(tree["feature"], tree["cut"], tree["child"], strict=True)):
+                mine = cells[i]
+                c = sample[:, mine].sum(1)
+                assert tree["value"][i] == pytest.approx((w * c)[1] / (w * c).sum(), abs=1e-6) and c.sum() >= how.leaf
+                scores = {}
+                for g in range(5):
+                    for b in range(8):
+                        sides = [sample[:, mine[(x[mine, g] <= b) == s]].sum(1) for s in (True, False)]
+                        if min(s.sum() for s in sides) >= how.leaf:
+                            scores[g, b] = sum(map(purity, sides))
+                if f < 0:  # pure, too small, too deep, or without a cut
+                    assert c.min() == 0 or c.sum() < max(how.split, 2 * how.leaf) or depth[i] == how.depth or not scores
+                    continue
+                assert depth[i] < (how.depth or 99) and c.sum() >= how.split
+                assert scores[f, cut] == pytest.approx(max(v for (g, _), v in scores.items() if g == f))
+                for s in (0, 1):
+                    cells[child + s], depth[child + s] = mine[(x[mine, f] > cut) == s], depth[i] + 1
+            leaf_of = {int(m): i for i, v in cells.items() if tree["feature"][i] < 0 for m in v}
+            assert np.array_equal(walk(x, *(tree[f] for f in ("feature", "cut", "child", "value"))), tree["value"][[leaf_of[m] for m in range(400)]])
+
+
+def test_a_fit_takes_few_jobs_at_any_depth(spark):
+    """And its trees stay in shared storage, as rows."""
+    from lurelens.config import Settings
+
+    rows = spark.range(6000).select("id", F.col("id").cast("double").alias("f0"), (F.xxhash64("id") % 5).cast("double").alias("f1"), F.abs(F.hash("id") % 2).alias("y"))
+    bins = learn.binning(rows, ["f0", "f1"])
+    packed = bins.transform(rows).select("id", "y", learn.forest.bin_vector(bins).alias("x")).cache()
+    packed.count()
+    forests = learn.Forests(bins, Settings(trees=40))
+    spark.sparkContext.setJobGroup("one-fit", "one fit")
+    model = forests.fit(packed, 3)
+    spark.sparkContext.setJobGroup("after", "after")
+    assert len(spark.sparkContext.statusTracker().getJobIdsForGroup("one-fit")) <= 6
+    trees = model.trees(spark).collect()
+    assert sorted(t["tree"] for t in trees) == list(range(40)) and max(len(t["cut"]) for t in trees) > 50
+    from lurelens.plans.forest import walk
+
+    scored = forests.predict(model, packed).collect()
+    x = np.array([r["x"] for r in scored], np.uint8)
+    want = np.mean([walk(x, *(np.frombuffer(t[c], k) for c, k in (("feature", "<i2"), ("cut", "u1"), ("child", "<i4"), ("value", "<f4")))) for t in sorted(trees)], axis=0)
+    assert len(scored) == 6000 and np.allclose([r["score"] for r in scored], want)
+    again = forests.predict(forests.fit(packed.repartition(7), 3), packed)
+    assert {r["id"]: r["score"] for r in again.collect()} == pytest.approx({r["id"]: r["score"] for r in scored})
+    packed.unpersist()
