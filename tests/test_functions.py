@@ -116,6 +116,23 @@ def test_page_parts(spark):
     assert one(spark, P.dom_hash("h"), h=None) == ""
 
 
+def test_page_parts_hold_few_pages_at_once(spark):
+    import pandas as pd
+
+    htmls = [None, "", *(f"<title>{i}</title>" + "<a href='x'>y z</a>" * (i * 400) for i in range(30)), "<p>" + "w " * 900_000, "<title>end</title>"]
+    whole = pd.concat([next(P.page_parts.__wrapped__(iter([pd.Series([h], dtype="object")]))) for h in htmls], ignore_index=True)
+    pieces = list(P.page_parts.__wrapped__(iter([pd.Series(htmls, dtype="object")])))
+    at = 0
+    for piece in pieces:
+        assert len(piece) == 1 or sum(len(h or "") for h in htmls[at : at + len(piece)]) <= P.PARSED_CHARS
+        at += len(piece)
+    assert len(pieces) > 3 and at == len(htmls)
+    pd.testing.assert_frame_equal(pd.concat(pieces, ignore_index=True), whole)
+    found = spark.createDataFrame(list(enumerate(htmls)), "i int, h string").coalesce(1).select("i", "h", P.page_parts("h").alias("p")).collect()
+    assert [(r["i"], r["h"], r["p"]["title"]) for r in found] == [(i, h, t) for i, (h, t) in enumerate(zip(htmls, whole["title"], strict=True))]
+    assert int(spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch").lower().removesuffix("b")) <= 4 << 20
+
+
 def test_dates(spark):
     today = F.to_date(F.lit("2020-01-02"))
     d = lambda x: str(one(spark, D.observation_date(F.col("x"), today), x=x))
