@@ -20,6 +20,7 @@ import base64
 import heapq
 import json
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -249,6 +250,19 @@ def _fold_blocks(asked: DataFrame, blocks: dict[int, int], ranks: dict[bytes, in
     discard(words)
 
 
+class Numbers(dict):
+    """Numbers words in the order in which they come, in one look-up each; ``fresh`` has those since it was last cleared."""
+
+    def __init__(self):
+        super().__init__()
+        self.fresh: list[str] = []
+
+    def __missing__(self, word: str) -> int:
+        number = self[word] = len(self)
+        self.fresh.append(word)
+        return number
+
+
 class BlockCodes:
     """The hashes of a block's words, and where their ids are in ``ids``."""
 
@@ -296,21 +310,26 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, id_col: str =
 
     def lay_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         split, units, (ranks, blocks) = make_split(pattern), Units(block_chars), shared.value
-        block, codes, known, own, own_at = None, None, {}, [], np.zeros(1, np.int64)
+        block, codes, known, own, own_at = None, None, Numbers(), [], np.zeros(1, np.int64)
+        place_of = np.zeros(0, np.int64)  # of each numbered word
 
-        def learn(fresh: list[str]) -> None:
-            nonlocal own_at
-            words = [w.encode() for w in fresh]
+        def learn() -> None:
+            nonlocal own_at, place_of
+            words = [w.encode() for w in known.fresh]
             at = codes.find(words) if codes else np.full(len(words), -1)
             for k in np.flatnonzero(at < 0).tolist():
                 at[k] = -len(own) - 1
                 own.append(merge_word(words[k], ranks))
             own_at = np.cumsum([0, *map(len, own)])
-            known.update(zip(fresh, at.tolist(), strict=True))
+            place_of = np.concatenate((place_of, at))
+            known.fresh.clear()
 
         def ids_of(found: list[list[str]]) -> tuple[np.ndarray, np.ndarray]:
             """The ids of some documents, one after another, and how many each has."""
-            places = np.fromiter((known[w] for words in found for w in words), np.int64, sum(map(len, found)))
+            numbers = np.fromiter(map(known.__getitem__, chain.from_iterable(found)), np.int64, sum(map(len, found)))
+            if known.fresh:
+                learn()
+            places = place_of[numbers]
             mine = places < 0
             there = np.where(mine, 0, places)
             if codes is None or not len(codes.ids):
@@ -322,8 +341,10 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, id_col: str =
                 sizes[mine], first[mine] = own_at[k + 1] - own_at[k], own_at[k] + len(ids)
             ends = np.concatenate(([0], np.cumsum(sizes)))
             at = np.repeat(first - ends[:-1], sizes) + np.arange(ends[-1])
-            flat = ids[np.minimum(at, len(ids) - 1)].astype(np.int32)
-            if mine.any():
+            if not mine.any():
+                flat = ids[at].astype(np.int32)
+            else:
+                flat = ids[np.minimum(at, len(ids) - 1)].astype(np.int32)
                 merged = at >= len(ids)
                 flat[merged] = np.array([i for x in own for i in x], np.int32)[at[merged] - len(ids)]
             return flat, ends[np.cumsum([0, *map(len, found)])]
@@ -338,14 +359,11 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, id_col: str =
                     held, stop = held + len(texts[stop]), stop + 1
                 now = blocks.get(unit)
                 if now != block or len(known) > 200_000:
-                    known, own = {}, []
+                    known, own, place_of = Numbers(), [], np.zeros(0, np.int64)
                 if now != block:
                     block, codes = now, None
                     codes = None if now is None else BlockCodes(folder, now)
                 found = [split(x) for x in texts[begin:stop]]
-                fresh = {w for words in found for w in words if w not in known}
-                if fresh:
-                    learn(list(fresh))
                 flat, ends = ids_of(found)
                 listed = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(flat))
                 yield pa.RecordBatch.from_arrays([keys.slice(begin, stop - begin), listed], ["id", "ids"])

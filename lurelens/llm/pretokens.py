@@ -18,7 +18,15 @@ _S = " \t-\r\x85\xa0"
 _NARROW = re.compile(
     rf" ?[{_L}]+|'(?:s|t|re|ve|m|ll|d)| ?[{_N}]+| ?[^{_S}{_L}{_N}]+|[{_S}]+(?![^{_S}])|[{_S}]+"
 ).findall
-_WIDE_CHAR = re.compile("[^\x00-\xff]").search
+
+
+def _is_narrow(text: str) -> bool:
+    """All characters lie below U+0100; much faster to try than to search for one that does not."""
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return False
+    return True
 
 
 def wide_splitter(pattern: str):
@@ -34,7 +42,7 @@ def make_split(pattern: str):
     wide = wide_splitter(pattern)
 
     def split(text: str) -> list[str]:
-        return wide(text) if _WIDE_CHAR(text) else _NARROW(text)
+        return _NARROW(text) if _is_narrow(text) else wide(text)
 
     return split
 

@@ -446,3 +446,18 @@ def test_long_words_are_merged_like_others(ranks):
     encoding = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
     for word in ("a", "Anblewh" * 300, "x" * 1500, "zażółć" * 200, "éü" * 77):
         assert bpe.merge_word(word.encode(), ranks) == encoding.encode_ordinary(word)
+
+
+def test_words_are_numbered_in_one_look_up_each():
+    from lurelens.llm.pretokens import make_split, wide_splitter
+
+    import public_tokenizers
+
+    known = bpe.Numbers()
+    words = ["a", " b", "a", "ü", " b", "文"]
+    assert list(map(known.__getitem__, words)) == [0, 1, 0, 2, 1, 3] and known.fresh == ["a", " b", "ü", "文"]
+    known.fresh.clear()
+    assert known["a"] == 0 and known["c"] == 4 and known.fresh == ["c"]
+    split = make_split(public_tokenizers.PATTERN)
+    for text in ("", "plain a1", "na\xefve \xff\xa0 x", "Ā", "x ’s \U0001f600 \x85", "\x1c\x1d 1\xb2"):
+        assert "".join(split(text)) == text and split(text) == wide_splitter(public_tokenizers.PATTERN)(text)
